@@ -1,70 +1,74 @@
 """Exact interpolated quantiles of groups of any size, and robust scaling.
 
 `percentile` keeps a group's values in one task, which is fine for the block maxima of
-a series but not for a whole panel. Here each round cuts a group's value range into
-equal bins, counts them, and keeps only the bins that hold a wanted rank; after
-`ROUNDS` rounds what is left to order is a sliver of the group.
+a series but not for a whole panel. Here a mergeable sketch brackets each quantile, one
+more pass counts what lies below the bracket and what lies inside, and only the inside,
+a fixed small share of the group, is put in order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BINS = 2048
-ROUNDS = 2
+ACCURACY = 100_000
+# Sketch errors a bracket spans on either side; the pass after it proves the bracket holds.
+SLACK = 4
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, qs: list[float], bins: int = BINS, rounds: int = ROUNDS
+    df: DataFrame, keys: list[str], value: str, qs: list[float], accuracy: int = ACCURACY,
+    few_groups: bool = False
 ) -> DataFrame:
     """One row per (keys, q) with the linearly interpolated quantile of `value`.
 
-    Equal values are counted before any shuffle, so repeats of one value cost one row.
+    Both passes combine before their shuffle, so a hot group costs no more than others.
+    `few_groups` states that the number of groups is fixed by the caller (columns, say),
+    and lets the brackets be broadcast; else Spark decides by their size.
     """
-    flat = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if not keys:
-        flat = flat.withColumn("_all", F.lit(1))
     by = list(keys) or ["_all"]
-    left = flat.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    wanted = (
-        flat.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-        .withColumn("_p", (F.col("_n") - 1) * F.col("q"))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_p"), F.ceil("_p")))))
-        .withColumn("_rel", F.col("_rank"))
-        .drop("_n")
+    flat = df.where(F.col(value).isNotNull()).select(
+        *keys, *([] if keys else [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v")
     )
-    cell = list(by)
-    for r in range(rounds):
-        b = f"_b{r}"
-        spread = left.groupBy(*cell).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        width = F.col("_hi") - F.col("_lo")
-        bin_ = F.when(width == 0, F.lit(0)).otherwise(
-            F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1))
-        )
-        placed = left.join(spread, cell).withColumn(b, bin_).drop("_lo", "_hi")
-        # At most `bins` rows per cell reach this window.
-        before = Window.partitionBy(*cell).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        per_bin = placed.groupBy(*cell, b).agg(F.sum("_c").alias("_bc")).withColumn(
-            "_from", F.coalesce(F.sum("_bc").over(before), F.lit(0))
-        )
-        wanted = (
-            wanted.join(per_bin, cell)
-            .where((F.col("_rel") >= F.col("_from")) & (F.col("_rel") < F.col("_from") + F.col("_bc")))
-            .withColumn("_rel", F.col("_rel") - F.col("_from"))
-            .drop("_from", "_bc")
-        )
-        cell.append(b)
-        left = placed.join(wanted.select(*cell).distinct(), cell, "left_semi")
-    inside = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = left.withColumn("_upto", F.sum("_c").over(inside))
-    picked = wanted.join(ordered, cell).where(
-        (F.col("_rel") < F.col("_upto")) & (F.col("_rel") >= F.col("_upto") - F.col("_c"))
+    margin = SLACK / accuracy
+    lows = [max(q - margin, 0.0) for q in qs]
+    highs = [min(q + margin, 1.0) for q in qs]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in lows + highs]), accuracy)
+    ends = flat.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
     )
-    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
-    fraction = F.first("_p") - F.floor(F.first("_p"))
-    return picked.groupBy(*by, "q").agg((low + (high - low) * fraction).alias("value")).drop("_all")
+    # At either end of the range the true extreme is the bracket.
+    brackets = ends.select(*by, F.array(*[
+        F.struct(
+            F.lit(float(q)).alias("q"),
+            ((F.col("_n") - 1) * F.lit(float(q))).alias("_p"),
+            (F.col("_min") if lows[i] == 0.0 else F.col("_s")[i]).alias("_lo"),
+            (F.col("_max") if highs[i] == 1.0 else F.col("_s")[len(qs) + i]).alias("_hi"),
+        ) for i, q in enumerate(qs)
+    ]).alias("_b"))
+    placed = (
+        flat.join(F.broadcast(brackets) if few_groups else brackets, by)
+        .select(*by, "_v", F.explode("_b").alias("_b"))
+        .select(*by, "_b.*", "_v")
+        .where(F.col("_v") <= F.col("_hi"))
+    )
+    # Values below the bracket share the NULL cell, which sorts first.
+    cells = placed.groupBy(*by, "q", "_p", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_x")).agg(
+        F.count(F.lit(1)).alias("_c")
+    )
+    w = Window.partitionBy(*by, "q").orderBy(F.col("_x").asc_nulls_first())
+    upto = cells.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def at(rank):
+        """Smallest cell that reaches the rank; a NULL cell means the bracket failed."""
+        return F.min_by("_x", F.when(F.col("_upto") > rank, F.col("_upto")))
+
+    found = upto.groupBy(*by, "q").agg(
+        F.first("_p").alias("_p"), at(F.floor("_p")).alias("_low"), at(F.ceil("_p")).alias("_high")
+    )
+    low, high = F.col("_low"), F.col("_high")
+    exact = low + (high - low) * (F.col("_p") - F.floor("_p"))
+    checked = F.coalesce(exact, F.raise_error(F.lit("quantile outside its bracket: raise the accuracy")))
+    return found.select(*keys, "q", checked.cast("double").alias("value"))
 
 
 def _scaled(c: str, low, mid, high):
@@ -95,7 +99,7 @@ def robust_scale_all(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
     ])).alias("s")).select("s.column", "s.v")
-    quantiles = exact_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75])
+    quantiles = exact_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75], few_groups=True)
     # A scalar subquery: one struct with three numbers for each scaled column.
     stats = quantiles.agg(F.struct(*[
         F.max(F.when((F.col("column") == c) & (F.col("q") == q), F.col("value"))).alias(f"{n}_{c}")

@@ -136,6 +136,32 @@ def horizon_label(
     )
 
 
+def horizon_labels(
+    df: DataFrame, keys: list[str], order: str, predictor: str, configs: list[tuple[int, int]],
+    label: str = "flood", **kw
+) -> DataFrame:
+    """`horizon_label` for many (window, n_ahead) at once, told apart by two columns.
+
+    All frames share one sort; rows are copied per configuration after it.
+    """
+    frames: Frames = {}
+    for i, (window, n_ahead) in enumerate(configs):
+        frames[f"_l{i}"] = _full_max(label, n_ahead, n_ahead + window - 1)
+        frames[f"_p{i}"] = lambda w, k=n_ahead - 1: F.lead(predictor, k).over(w) if k else F.col(predictor)
+    reach = max(window + n_ahead - 1 for window, n_ahead in configs)
+    framed = add_frames(df, keys, order, frames, 0, reach, **kw)
+    rest = [c for c in df.columns if c not in (label, predictor)]
+    options = F.array(*[
+        F.struct(
+            F.lit(window).alias("window"), F.lit(n_ahead).alias("n_ahead"),
+            F.col(f"_l{i}").alias(label), F.col(f"_p{i}").alias(predictor),
+        ) for i, (window, n_ahead) in enumerate(configs)
+    ])
+    return (
+        framed.select(*rest, F.explode(options).alias("_c")).select(*rest, "_c.*").na.drop(subset=[label, predictor])
+    )
+
+
 def shift_columns(df: DataFrame, keys: list[str], order: str, offsets: dict[str, int], **kw) -> DataFrame:
     """Move columns along the series: a positive offset lags, a negative one leads."""
     moved = {c: k for c, k in offsets.items() if k}

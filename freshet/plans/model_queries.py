@@ -8,7 +8,7 @@ from freshet.functions.expressions import SEASONS, rounded, year_season
 from freshet.operators import blocks as B, compare as C, explore as E, reshape as R, scores as S, spatial as G, sweep as SW
 from freshet.operators.panel import clip_to_events
 from freshet.operators.resample import block_maxima, block_quantiles, resample
-from freshet.operators.windows import discharge_features, horizon_label, minmax_scale
+from freshet.operators.windows import discharge_features, horizon_label, horizon_labels, minmax_scale
 from freshet.plans import views as V
 from freshet.plans.registry import query
 from freshet.plans.views import CELLS_SQL, EVENT_SCORES_SQL, MODELS, SCORES_SQL
@@ -587,15 +587,8 @@ def window_scores(spark, d) -> DataFrame:
         "flood", F.coalesce("flood", F.lit(0))
     )
     thresholds = block_quantiles(block_maxima(series, ["district"], "dis"), ["district"], [80])
-    shifted = [
-        horizon_label(series, ["district"], "time", "dis", w, n).select(
-            "district", "dis", "flood", F.lit(w).alias("window"), F.lit(n).alias("n_ahead")
-        ) for w in _WINDOWS for n in _AHEADS
-    ]
-    stacked = shifted[0]
-    for part in shifted[1:]:
-        stacked = stacked.unionByName(part)
-    days = stacked.join(thresholds, "district").withColumn(
+    configs = [(w, n) for w in _WINDOWS for n in _AHEADS]
+    days = horizon_labels(series, ["district"], "time", "dis", configs).join(thresholds, "district").withColumn(
         "predicted", (F.col("dis") >= F.col("thresholds")[0]).cast("int")
     )
     return S.daily_scores(days, ["window", "n_ahead", "district"])
@@ -630,18 +623,20 @@ def score_matrix(spark, d):
 
 
 @query("score_bins", "v_results", """
-SELECT (b * 5) || '-' || (b * 5 + 4) AS "interval", COUNT(r.district) AS n_districts, ROUND(AVG(f1), 6) AS avg_f1,
-       ROUND(MEDIAN(f1), 6) AS med_f1
+SELECT (b * 5) || '-' || (b * 5 + 4) AS "interval", COUNT(r.district) AS n_districts, ROUND(AVG(f1), 12) AS avg_f1,
+       ROUND(MEDIAN(f1), 12) AS med_f1
 FROM RANGE(0, 11) t(b) LEFT JOIN (SELECT * FROM v_results WHERE model = 'Q80') r ON r.n_floods // 5 = b GROUP BY b""")
 def score_bins(spark, d):
     binned = C.score_bins(V.v_results(spark, d).where(F.col("model") == "Q80"), "n_floods", "f1")
-    return binned.select("interval", "n_districts", *rounded(["avg_f1", "med_f1"]))
+    return binned.select("interval", "n_districts", *rounded(["avg_f1", "med_f1"], 12))
 
 
 @query("score_summary", "v_results", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", ROUND(AVG({c}), 6) AS mean, ROUND(MEDIAN({c}), 6) AS median FROM v_results" for c in SKILLS))
+    f"SELECT '{c}' AS \"column\", ROUND(AVG({c}), 12) AS mean, ROUND(MEDIAN({c}), 12) AS median FROM v_results" for c in SKILLS))
 def score_summary(spark, d):
-    return C.score_summary(V.v_results(spark, d), SKILLS).select("column", *rounded(["mean", "median"]))
+    return C.score_summary(V.v_results(spark, d), SKILLS).select(
+        "column", *rounded(["mean", "median"], 12)
+    )
 
 
 @query("min_far_ties", "v_results", """

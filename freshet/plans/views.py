@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from freshet.operators.resample import block_maxima, block_quantiles
+from freshet.operators.resample import block_quantiles
 from freshet.operators.sweep import sweep_scores
 from freshet.sources.tables import read_table
 
-# Share of a district's urgent-order days that do not count as an event.
-IMPACT_QUANTILE = 0.95
+# Share of a district's days that do not count as an event.
+IMPACT_QUANTILE = 0.98
 
 
 def _day(column: str):
@@ -75,11 +75,12 @@ def v_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _impact(spark: SparkSession, d: str, level: str) -> DataFrame:
-    orders = read_table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    """Days on which the quantity of well-discounted lines is extreme for the district."""
+    lines = read_table(spark, d, "lineitem").where(F.col("l_discount") >= 0.05)
     daily = (
-        orders.join(customer_district(spark, d), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(_day("o_orderdate").alias("time"), F.col(level).alias("district"))
-        .agg(F.round(F.sum("o_totalprice"), 2).alias("loss"))
+        lines.join(supplier_district(spark, d), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(_day("l_shipdate").alias("time"), F.col(level).alias("district"))
+        .agg(F.sum("l_quantity").alias("loss"))
     )
     cut = daily.groupBy("district").agg(
         F.round(F.percentile("loss", F.lit(IMPACT_QUANTILE)), 6).alias("cut")
@@ -205,11 +206,12 @@ MODELS = [f"Q{p}" for p in MODEL_PERCENTS]
 
 
 def v_results(spark: SparkSession, d: str) -> DataFrame:
-    """Daily scores of five quantile models per nation, from half-year maxima of discharge."""
+    """Daily scores per nation of five models: discharge above a quantile of the nation's days."""
     series = v_nation_series(spark, d).join(v_nation_impact(spark, d), ["time", "district"], "left").withColumn(
         "flood", F.coalesce("flood", F.lit(0))
     )
-    thresholds = block_quantiles(block_maxima(series, ["district"], "dis"), ["district"], MODEL_PERCENTS)
+    daily = series.select("district", F.col("dis").alias("block_max"))
+    thresholds = block_quantiles(daily, ["district"], MODEL_PERCENTS)
     scores = sweep_scores(series, thresholds, ["district"], "dis", MODEL_PERCENTS)
     return scores.select(
         F.concat(F.lit("Q"), F.col("percent").cast("string")).alias("model"), "district",
@@ -242,22 +244,18 @@ COUNT(*) FILTER (WHERE flood = 0 AND predicted = 0) AS corr_neg
 """
 
 
+_LINES = """lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey"""
+
+
 def _impact_sql(level: str) -> str:
+    daily = f"""SELECT CAST(l_shipdate AS DATE) AS time, {level} AS district, SUM(l_quantity) AS loss
+      FROM {_LINES} WHERE l_discount >= 0.05 GROUP BY 1, 2"""
     return f"""
-SELECT d.time, d.district, 1 AS flood
-FROM (SELECT CAST(o_orderdate AS DATE) AS time, {level} AS district, ROUND(SUM(o_totalprice), 2) AS loss
-      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-      JOIN region ON n_regionkey = r_regionkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2) d
-JOIN (SELECT district, ROUND(QUANTILE_CONT(loss, {IMPACT_QUANTILE}), 6) AS cut
-      FROM (SELECT CAST(o_orderdate AS DATE) AS time, {level} AS district, ROUND(SUM(o_totalprice), 2) AS loss
-            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-            JOIN region ON n_regionkey = r_regionkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)
-      GROUP BY district) t ON d.district = t.district
-WHERE d.loss >= t.cut"""
-
+SELECT d.time, d.district, 1 AS flood FROM ({daily}) d
+JOIN (SELECT district, ROUND(QUANTILE_CONT(loss, {IMPACT_QUANTILE}), 6) AS cut FROM ({daily}) GROUP BY district) t
+ON d.district = t.district WHERE d.loss >= t.cut"""
 
-_LINES = """lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-JOIN region ON n_regionkey = r_regionkey"""
 
 _VIEWS: dict[str, tuple[list[str], str]] = {
     "v_series": ([], f"""
@@ -315,11 +313,7 @@ FROM (SELECT *, {_SCORES_SQL} FROM (
                CASE WHEN s.dis >= t.cut THEN 1 ELSE 0 END AS predicted
         FROM v_nation_series s
         JOIN (SELECT district, UNNEST({MODEL_PERCENTS}) AS q, ROUND(UNNEST(cuts), 6) AS cut FROM (
-              SELECT district, QUANTILE_CONT(m, {[p / 100 for p in MODEL_PERCENTS]}) AS cuts
-              FROM (SELECT district, CEIL(((YEAR(time)*12+MONTH(time)) - f) / 6.0) AS b, MAX(dis) AS m
-                    FROM v_nation_series JOIN (SELECT district AS d2, MIN(YEAR(time)*12+MONTH(time)) AS f
-                                               FROM v_nation_series GROUP BY 1) ON district = d2
-                    GROUP BY 1, 2)
+              SELECT district, QUANTILE_CONT(dis, {[p / 100 for p in MODEL_PERCENTS]}) AS cuts FROM v_nation_series
               GROUP BY district)) t ON t.district = s.district
         LEFT JOIN v_nation_impact i ON i.time = s.time AND i.district = s.district) s
   GROUP BY 1, 2))"""),
