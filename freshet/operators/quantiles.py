@@ -36,13 +36,19 @@ def exact_quantiles(
     ends = flat.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
     )
-    # At either end of the range the true extreme is the bracket.
+    # Groups no longer than the accuracy, and either end of the range, use the true extremes.
+    small = F.col("_n") <= accuracy
+
+    def end(extreme: str, at_end: bool, i: int):
+        sketched = F.col("_s")[i]
+        return F.col(extreme) if at_end else F.when(small, F.col(extreme)).otherwise(sketched)
+
     brackets = ends.select(*by, F.array(*[
         F.struct(
             F.lit(float(q)).alias("q"),
             ((F.col("_n") - 1) * F.lit(float(q))).alias("_p"),
-            (F.col("_min") if lows[i] == 0.0 else F.col("_s")[i]).alias("_lo"),
-            (F.col("_max") if highs[i] == 1.0 else F.col("_s")[len(qs) + i]).alias("_hi"),
+            end("_min", lows[i] == 0.0, i).alias("_lo"),
+            end("_max", highs[i] == 1.0, len(qs) + i).alias("_hi"),
         ) for i, q in enumerate(qs)
     ]).alias("_b"))
     placed = (

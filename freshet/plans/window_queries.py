@@ -267,22 +267,18 @@ WITH k AS (SELECT *, LAST_VALUE(dis IGNORE NULLS) OVER p AS pv,
     FIRST_VALUE(CASE WHEN dis IS NOT NULL THEN time END IGNORE NULLS) OVER n AS nt FROM v_daily_gap
   WINDOW p AS (PARTITION BY district, station ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          n AS (PARTITION BY district, station ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT district, station, time, ROUND(COALESCE(dis, CASE WHEN pv IS NOT NULL AND nv IS NOT NULL
-    THEN pv + (nv - pv) * DATE_DIFF('day', pt, time) / DATE_DIFF('day', pt, nt) END, pv{head}), 6) AS dis FROM k"""
+SELECT district, station, time, COALESCE(dis, CASE WHEN pv IS NOT NULL AND nv IS NOT NULL
+    THEN pv + (nv - pv) * (DATE_DIFF('day', pt, time) / DATE_DIFF('day', pt, nt)) END, pv{head}) AS dis FROM k"""
 
 
 @query("interpolate_linear", "v_daily_gap", _LINEAR.format(head=""))
 def interpolate_linear(spark, d):
-    return impute.interpolate_linear(V.v_daily_gap(spark, d), KEYS, ["dis"]).select(
-        *KEYS, "time", F.round("dis", 6).alias("dis")
-    )
+    return impute.interpolate_linear(V.v_daily_gap(spark, d), KEYS, ["dis"])
 
 
 @query("interpolate_backfill", "v_daily_gap", _LINEAR.format(head=", nv"))
 def interpolate_backfill(spark, d):
-    return impute.interpolate_linear(V.v_daily_gap(spark, d), KEYS, ["dis"], backfill=True).select(
-        *KEYS, "time", F.round("dis", 6).alias("dis")
-    )
+    return impute.interpolate_linear(V.v_daily_gap(spark, d), KEYS, ["dis"], backfill=True)
 
 
 @query("interpolate_spline")
@@ -302,12 +298,10 @@ j AS (SELECT g.district, g.station, g.time, g.dis, g.k, a.dis AS y1, b.dis AS y2
       LEFT JOIN pts p ON p.district = g.district AND p.station = g.station AND p.k = g.k - 1
       LEFT JOIN pts c ON c.district = g.district AND c.station = g.station AND c.k = g.k + 2
       LEFT JOIN pts f ON f.district = g.district AND f.station = g.station AND f.k = 1)
-SELECT district, station, time, ROUND(COALESCE(dis, y1 * (t-u) * (t-v) / (u*v) + y2 * t * (t-v) / (u*(u-v))
-  + y3 * t * (t-u) / (v*(v-u)), y1 + (y2-y1) * t / u, y1, head), 6) AS dis FROM j""")
+SELECT district, station, time, COALESCE(dis, y1 * (t-u) * (t-v) / (u*v) + y2 * t * (t-v) / (u*(u-v))
+  + y3 * t * (t-u) / (v*(v-u)), y1 + (y2-y1) * t / u, y1, head) AS dis FROM j""")
 def interpolate_quadratic(spark, d):
-    return impute.interpolate_quadratic(V.v_daily_gap(spark, d), KEYS, "dis").select(
-        *KEYS, "time", F.round("dis", 6).alias("dis")
-    )
+    return impute.interpolate_quadratic(V.v_daily_gap(spark, d), KEYS, "dis")
 
 
 def _swt_sql() -> str:
