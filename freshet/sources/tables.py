@@ -70,7 +70,7 @@ def read_discharge_jdbc(spark: SparkSession, country: str, tables: dict[str, str
 
 def read_results(spark: SparkSession, path: str, models: list[str] | None = None, wt: bool | None = None) -> DataFrame:
     """Result sets of all configurations in one read; filters prune partition folders."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).withColumn("wt", F.col("wt").cast("boolean"))
     if models is not None:
         df = df.where(F.col("model").isin(*models))
     if wt is not None:
