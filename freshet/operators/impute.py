@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+
+
+def _so_far(keys: list[str], order: Column) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def interpolate_linear(
@@ -13,21 +17,20 @@ def interpolate_linear(
     """Time-weighted linear interpolation between known values.
 
     The tail repeats the last value; the head stays NULL unless `backfill` copies the
-    first value there. All columns share one sort.
+    first value there. One shuffle serves all columns, with one sort in each direction:
+    a frame that looks ahead without end would be rescanned for every row.
     """
-    ordered = Window.partitionBy(*keys).orderBy(time)
-    past = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    future = ordered.rowsBetween(0, Window.unboundedFollowing)
-    known = df
-    for c in columns:
-        day = F.when(F.col(c).isNotNull(), F.col(time))
-        known = known.select(
-            "*",
-            F.last(c, ignorenulls=True).over(past).alias(f"_pv_{c}"),
-            F.last(day, ignorenulls=True).over(past).alias(f"_pt_{c}"),
-            F.first(c, ignorenulls=True).over(future).alias(f"_nv_{c}"),
-            F.first(day, ignorenulls=True).over(future).alias(f"_nt_{c}"),
-        )
+    past = _so_far(keys, F.col(time).asc())
+    future = _so_far(keys, F.col(time).desc())
+
+    def last_known(w, value: str, day: str) -> list:
+        return [
+            F.last(e, ignorenulls=True).over(w).alias(f"{name}_{c}")
+            for c in columns
+            for name, e in ((value, F.col(c)), (day, F.when(F.col(c).isNotNull(), F.col(time))))
+        ]
+
+    known = df.select("*", *last_known(past, "_pv", "_pt")).select("*", *last_known(future, "_nv", "_nt"))
 
     def filled(c: str):
         pv, pt, nv, nt = (F.col(f"_{k}_{c}") for k in ("pv", "pt", "nv", "nt"))
@@ -149,6 +152,6 @@ def interpolate_quadratic(
         + F.col("_y3") * t * (t - b) / (c * (c - b))
     )
     linear = F.col("_y1") + (F.col("_y1n") - F.col("_y1")) * t / b
-    head = F.first(column, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    head = F.last(column, ignorenulls=True).over(_so_far(keys, F.col(time).desc()))
     value = F.coalesce(F.col(column), quadratic, linear, F.col("_y1"), head)
     return joined.select(*[value.alias(column) if n == column else F.col(n) for n in df.columns])

@@ -54,15 +54,18 @@ def group_folds(blocked: DataFrame, key: str = "district", block: str = "block",
     return sizes.groupBy(key).applyInPandas(assign, schema)
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, c: float, n_steps: int = 50) -> np.ndarray:
+def logistic_fit(
+    x: np.ndarray, y: np.ndarray, c: float, start: np.ndarray | None = None, n_steps: int = 50
+) -> np.ndarray:
     """Coefficients, intercept last, of L2-penalised logistic regression with balanced weights.
 
-    Minimises |w|^2 / 2 + c * sum of weighted losses by Newton steps; the intercept is free.
+    Minimises |w|^2 / 2 + c * sum of weighted losses by Newton steps; the intercept is
+    free. `start` may hold the solution for a neighbouring c.
     """
     a = np.column_stack([x, np.ones(len(x))])
     weight = c * np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1)))
     penalty = np.append(np.ones(x.shape[1]), 0.0)
-    beta = np.zeros(a.shape[1])
+    beta = np.zeros(a.shape[1]) if start is None else start.copy()
 
     def loss(b: np.ndarray) -> float:
         z = a @ b
@@ -73,8 +76,8 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, c: float, n_steps: int = 50) -> n
         gradient = penalty * beta + a.T @ (weight * (p - y))
         hessian = np.diag(penalty + 1e-10) + (a * (weight * p * (1 - p))[:, None]).T @ a
         step = np.linalg.solve(hessian, gradient)
-        size, start = 1.0, loss(beta)
-        while loss(beta - size * step) > start and size > 1e-8:
+        size, before = 1.0, loss(beta)
+        while loss(beta - size * step) > before and size > 1e-8:
             size /= 2
         beta = beta - size * step
         if np.abs(size * step).max() < 1e-8:
@@ -120,14 +123,13 @@ def district_logistic(
         x = train[features].to_numpy(dtype=float)
         n_inner = min(N_FOLDS, len(sizes))
         inner = train["block"].map(balanced_groups(sizes, n_inner)).to_numpy()
-        means = []
-        for c in grid:
-            scores = []
-            for k in range(n_inner):
-                fit, held = inner != k, inner == k
-                scores.append(_f1(y[held], _predict(x[held], logistic_fit(x[fit], y[fit], c))))
-            means.append(np.mean(scores))
-        best = float(grid[int(np.argmax(means))])
+        scores = np.zeros((n_inner, len(grid)))
+        for k in range(n_inner):
+            fit, held, beta = inner != k, inner == k, None
+            for j, c in enumerate(grid):
+                beta = logistic_fit(x[fit], y[fit], c, beta)
+                scores[k, j] = _f1(y[held], _predict(x[held], beta))
+        best = float(grid[int(scores.mean(axis=0).argmax())])
         beta = logistic_fit(x, y, best)
         return pd.DataFrame({
             key: test[key], "test_fold": outer, time: test[time], label: test[label].astype("int32"),

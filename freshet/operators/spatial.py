@@ -38,20 +38,23 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, point: str, coordinate:
         .unionByName(wanted.select("_s").distinct(), allowMissingColumns=True)
         .groupBy("_s").agg(F.min("_min").alias("_min"), F.max("_max").alias("_max"))
     )
-    slices = Window.partitionBy(F.lit(0)).orderBy("_s")
+    def nearest_before(value: str, keys: list, order: Column, end: int) -> Column:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        return F.last(value, ignorenulls=True).over(w)
+
+    whole = [F.lit(0)]
     borders = summary.select(
         "_s",
-        F.last("_max", ignorenulls=True).over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_min", ignorenulls=True).over(slices.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        nearest_before("_max", whole, F.col("_s").asc(), -1).alias("_before"),
+        nearest_before("_min", whole, F.col("_s").desc(), -1).alias("_after"),
     )
     both = cells.select("_s", F.col("_c").alias("_x"), F.col("_c")).unionByName(
         wanted.select("_s", "_x"), allowMissingColumns=True
     ).groupBy("_s", "_x").agg(F.max("_c").alias("_c"), F.max(F.col("_c").isNull()).alias("_is_point"))
-    inside = Window.partitionBy("_s").orderBy("_x")
     near = both.select(
         "_s", "_x", "_is_point",
-        F.last("_c", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_l"),
-        F.first("_c", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_r"),
+        nearest_before("_c", ["_s"], F.col("_x").asc(), 0).alias("_l"),
+        nearest_before("_c", ["_s"], F.col("_x").desc(), 0).alias("_r"),
     ).where("_is_point").join(borders, "_s")
     left, right = F.coalesce("_l", "_before"), F.coalesce("_r", "_after")
     nearest = F.when(right.isNull(), left).when(left.isNull(), right).when(

@@ -24,25 +24,28 @@ def level_of(x: Column, thresholds: Column) -> Column:
     return F.coalesce(F.size(F.filter(thresholds, lambda t: t <= x)), F.lit(0))
 
 
-def _suffix_sums(
-    counts: DataFrame, keys: list[str], thresholds: DataFrame, measures: list[str], n_levels: int
-) -> DataFrame:
-    """For every level 1..n: sums over that level and all higher ones, plus the totals."""
-    zero = thresholds.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.lit(n_levels))).alias("_level"),
-        *[F.lit(0).cast("long").alias(m) for m in measures],
+def _suffix_sums(counts: DataFrame, keys: list[str], measures: list[str], percents: list[int]) -> DataFrame:
+    """For every percent: sums over its level and all higher ones, plus the totals.
+
+    The histogram of a series, at most one entry per level, becomes one array.
+    """
+    packed = counts.groupBy(*keys).agg(F.collect_list(F.struct("_level", *measures)).alias("_h"))
+    each = packed.select("*", F.posexplode(F.array(*[F.lit(p) for p in percents])).alias("_i", "percent"))
+    each = each.withColumn("_level", F.col("_i") + 1)
+    zero = F.lit(0).cast("long")
+
+    def total(m: str, from_level: Column | None = None) -> Column:
+        def add(acc: Column, entry: Column) -> Column:
+            part = entry[m] if from_level is None else F.when(entry["_level"] >= from_level, entry[m]).otherwise(zero)
+            return acc + part
+
+        return F.aggregate("_h", zero, add)
+
+    return each.select(
+        *keys, "percent", "_level",
+        *[total(m, F.col("_level")).alias(m) for m in measures],
+        *[total(m).alias(f"{m}_total") for m in measures],
     )
-    full = counts.select(*keys, "_level", *measures).unionByName(zero)
-    full = full.groupBy(*keys, "_level").agg(*[F.sum(m).alias(m) for m in measures])
-    up = Window.partitionBy(*keys).orderBy(F.col("_level").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    return full.select(
-        *keys,
-        "_level",
-        *[F.sum(m).over(up).alias(m) for m in measures],
-        *[F.sum(m).over(every).alias(f"{m}_total") for m in measures],
-    ).where(F.col("_level") > 0)
 
 
 def _cells(table: DataFrame, keep: list[str]) -> DataFrame:
@@ -73,10 +76,8 @@ def sweep_scores(
         .groupBy(*keys, "_level")
         .agg(F.count(F.lit(1)).alias("_rows"), F.count(F.when(F.col(label) == 1, 1)).alias("_floods"))
     )
-    sums = _suffix_sums(counts, keys, thresholds, ["_rows", "_floods"], len(percents))
-    named = sums.join(thresholds, keys).withColumn(
-        "percent", F.element_at(F.array(*[F.lit(p) for p in percents]), F.col("_level"))
-    ).withColumn("threshold", F.element_at("thresholds", F.col("_level")))
+    sums = _suffix_sums(counts, keys, ["_rows", "_floods"], percents)
+    named = sums.join(thresholds, keys).withColumn("threshold", F.element_at("thresholds", F.col("_level")))
     return add_skill(_cells(named, [*keys, "percent", "threshold"]))
 
 
@@ -185,8 +186,7 @@ def cross_validate_thresholds(
         ])
     )
     measures = ["_rows", "_floods", "_rows_test", "_floods_test"]
-    sums = _suffix_sums(levels, fkeys, thresholds, measures, len(percents))
-    sums = sums.withColumn("percent", F.element_at(F.array(*[F.lit(p) for p in percents]), F.col("_level")))
+    sums = _suffix_sums(levels, fkeys, measures, percents)
     tests = [f"{m}{suffix}" for m in ("_rows_test", "_floods_test") for suffix in ("", "_total")]
     trained = add_skill(_cells(sums, [*fkeys, "percent", *tests]))
     best = best_by(trained, fkeys, loss, ["percent"])
@@ -254,11 +254,11 @@ def event_sweep(
     counts = spread.groupBy(*keys, "_level").agg(
         *[F.sum(m).alias(m) for m in ("_warnings", "_firsts", "_events")]
     )
-    sums = _suffix_sums(counts, keys, thresholds, ["_warnings", "_firsts", "_events"], len(percents))
+    sums = _suffix_sums(counts, keys, ["_warnings", "_firsts", "_events"], percents)
     hit = F.col("_firsts") if hits == "per_run" else F.col("_events")
     table = sums.join(thresholds, keys).select(
         *keys,
-        F.element_at(F.array(*[F.lit(p) for p in percents]), F.col("_level")).alias("percent"),
+        "percent",
         F.element_at("thresholds", F.col("_level")).alias("threshold"),
         hit.alias("hits"),
         (F.col("_events_total") - F.col("_events")).alias("misses"),

@@ -1,0 +1,106 @@
+"""End-to-end plans: integration, district forecast over all configurations, benchmark.
+
+Each returns a DataFrame; a caller writes it with `freshet.sources.sinks`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, functions as F
+
+from freshet.operators import blocks as B, learn as L, reshape as R
+from freshet.operators.impute import interpolate_linear, interpolate_spline
+from freshet.operators.panel import build_panel, drop_quiet_districts
+from freshet.operators.quantiles import robust_scale
+from freshet.operators.resample import resample
+from freshet.operators.sweep import best_station, cross_validate_thresholds
+from freshet.operators.wavelet import swt
+from freshet.operators.windows import discharge_offsets, horizon_label, shift_columns, spread_label_back
+from freshet.sources.tables import union_all
+
+# Interval length in days -> largest number of intervals ahead.
+MAX_AHEAD = {3: 5, 5: 3, 7: 2}
+SEASON_DUMMIES = ["spring", "summer", "winter"]
+
+
+def configurations() -> list[tuple[int, int]]:
+    return [(window, ahead) for window, most in MAX_AHEAD.items() for ahead in range(1, most + 1)]
+
+
+def integrate(countries: dict[str, dict]) -> DataFrame:
+    """Panels of all countries stacked; each entry holds the arguments of `build_panel`."""
+    panels = [build_panel(country=name, **parts) for name, parts in countries.items()]
+    return drop_quiet_districts(union_all(panels))
+
+
+def district_features(
+    panel: DataFrame, window: int, n_ahead: int, max_stations: int = 4, wavelet: bool = False, spline: bool = True
+) -> DataFrame:
+    """Scaled interval features of every district for one configuration.
+
+    `panel` has district, station, time, dis, flood, season, rainfall and soil1..soil4
+    (shallow to deep). The chain is one row per (district, day) after the first step, so
+    every window below is bounded by the calendar.
+    """
+    key = ["district"]
+    wide = R.stations_wide(panel, {"dis": "dis_station"}, max_stations)
+    daily = panel.groupBy("district", "time").agg(
+        F.max("flood").alias("flood"), F.first("season").alias("season"),
+        *[F.max(c).alias(c) for c in ("rainfall", "soil1", "soil2", "soil3", "soil4")],
+    )
+    joined = wide.join(daily, ["district", "time"])
+    stations = R.columns_like(wide, "^dis_station")
+    gaps = [*stations, "rainfall", "soil1", "soil2", "soil3", "soil4"]
+    joined = joined.select(*[F.col(c).cast("double").alias(c) if c in gaps else F.col(c) for c in joined.columns])
+    fill = interpolate_spline if spline else interpolate_linear
+    filled = spread_label_back(fill(joined, key, gaps), key, "time")
+    made = R.product_features(filled, "rainfall", "soil1", "soil2", "soil4", ["soil1", "soil2", "soil3", "soil4"])
+    made = R.season_dummies(made)
+    day_offset, interval_offset = discharge_offsets(window, n_ahead)
+    led = shift_columns(made, key, "time", {c: day_offset for c in stations})
+    features = [*stations, "rainSM_L1", "soilM_2x4"]
+    bins = resample(led, key, window, ["rainfall"], [*features, *SEASON_DUMMIES, "flood"])
+    lags = {c: interval_offset for c in stations} | {c: n_ahead for c in ("rainfall", "rainSM_L1", "soilM_2x4")}
+    moved = shift_columns(bins, key, "time", lags)
+    # A district may have fewer stations than columns: those columns count as 0.
+    absent = moved.na.drop(subset=["rainfall", "rainSM_L1", "soilM_2x4", "flood"]).na.fill(0.0, subset=stations)
+    continuous = [*features, "rainfall"]
+    if wavelet:
+        absent = swt(absent, key, continuous)
+        continuous = R.columns_like(absent, "_details_|_smooths_")
+    return robust_scale(absent, key, continuous).withColumn("flood", F.col("flood").cast("int"))
+
+
+def district_forecast(
+    panel: DataFrame, configs: Iterable[tuple[int, int]] | None = None, wavelets: Iterable[bool] = (False,), **kw
+) -> DataFrame:
+    """Cross-validated logistic scores per district for every configuration, stacked.
+
+    The columns model, window, n_ahead and wt tell configurations apart and are the
+    partition columns of the result sink.
+    """
+    parts = []
+    for wavelet in wavelets:
+        for window, n_ahead in configs or configurations():
+            frame = district_features(panel, window, n_ahead, wavelet=wavelet, **kw)
+            blocked = B.event_blocks(frame, window)
+            features = [c for c in frame.columns if c not in ("district", "time", "flood")]
+            scores = L.model_scores(L.district_logistic(blocked, features))
+            parts.append(scores.select(
+                F.lit("LR").alias("model"), F.lit(window).alias("window"), F.lit(n_ahead).alias("n_ahead"),
+                F.lit(wavelet).alias("wt"), *scores.columns,
+            ))
+    return union_all(parts)
+
+
+def benchmark(panel: DataFrame, predictor: str = "max_dt_3days", n_ahead: int = 1) -> DataFrame:
+    """Cross-validated quantile thresholds: best station per district with its scores.
+
+    A predictor named max_future_<k>days shifts label and predictor to the horizon first.
+    """
+    days = panel
+    if "future" in predictor:
+        window = int(predictor.removeprefix("max_future_")[0])
+        days = horizon_label(panel, ["district", "station"], "time", predictor, window, n_ahead)
+    return best_station(cross_validate_thresholds(days, predictor))
