@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Daubechies wavelet with four vanishing moments, decomposition filters.
@@ -41,32 +40,42 @@ def impulse_response(level: int, high: bool) -> dict[int, float]:
 def swt(df: DataFrame, keys: list[str], columns: list[str], time: str = "time", levels: int = 3) -> DataFrame:
     """Details 1..levels and the last smooth of each column; the column itself is dropped.
 
-    Beyond either end the series continues with its mean. All outputs read the same
-    shifted values, so the transform is one sort per series whatever the level.
+    Beyond either end the series continues with its mean. One frame per column gathers
+    the rows all filters read, so the transform is one sort whatever the level; each
+    output is the product of that short array with its weights.
     """
     outputs = {f"details_{j}": impulse_response(j, True) for j in range(1, levels + 1)}
     outputs[f"smooths_{levels}"] = impulse_response(levels, False)
-    offsets = sorted(set().union(*outputs.values()))
+    reads = sorted(set().union(*outputs.values()))
+    back, ahead = -reads[0], reads[-1]
     every = Window.partitionBy(*keys)
     ordered = every.orderBy(time)
-    means = df.select("*", *[F.avg(c).over(every).alias(f"_mean_{c}") for c in columns])
+    filled = df.select("*", *[F.avg(c).over(every).alias(f"_mean_{c}") for c in columns])
+    filled = filled.withColumns({c: F.coalesce(c, f"_mean_{c}") for c in columns})
+    near = filled.select(
+        "*",
+        F.row_number().over(ordered).alias("_rn"),
+        F.count(F.lit(1)).over(every).cast("int").alias("_n"),
+        *[F.collect_list(c).over(ordered.rowsBetween(-back, ahead)).alias(f"_near_{c}") for c in columns],
+    )
 
-    def at(c: str, offset: int) -> Column:
-        return F.col(c) if offset == 0 else F.lead(c, offset).over(ordered)
+    def padded(c: str) -> Column:
+        before, after = F.greatest(back + 1 - F.col("_rn"), F.lit(0)), F.greatest(ahead - F.col("_n") + F.col("_rn"), F.lit(0))
+        mean = F.col(f"_mean_{c}")
+        return F.concat(F.array_repeat(mean, before), F.col(f"_near_{c}"), F.array_repeat(mean, after))
 
-    shifted = means.select(
-        "*",
-        *[F.array(*[at(c, o) for o in offsets]).alias(f"_at_{c}") for c in columns],
+    whole = near.select(
+        *[c for c in df.columns if c not in columns], *[padded(c).alias(f"_near_{c}") for c in columns]
     )
 
     def filtered(c: str, weights: dict[int, float]) -> Column:
-        terms = [
-            F.coalesce(F.col(f"_at_{c}")[i], F.col(f"_mean_{c}")) * F.lit(weights[o])
-            for i, o in enumerate(offsets) if o in weights
-        ]
-        return sum(terms[1:], terms[0])
+        # The filter's taps as a literal array over the rows it reads.
+        start, stop = min(weights), max(weights)
+        taps = ", ".join(f"{weights.get(o, 0.0)!r}D" for o in range(start, stop + 1))
+        part = f"slice(`_near_{c}`, {start + back + 1}, {stop - start + 1})"
+        return F.expr(f"aggregate(zip_with({part}, array({taps}), (x, w) -> x * w), 0D, (acc, x) -> acc + x)")
 
-    return shifted.select(
+    return whole.select(
         *[c for c in df.columns if c not in columns],
         *[filtered(c, weights).alias(f"{c}_{name}") for c in columns for name, weights in outputs.items()],
     )
