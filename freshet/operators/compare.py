@@ -54,7 +54,7 @@ def best_model(results: DataFrame, models: list[str], score: str = "f1", distric
 
 def proportions(df: DataFrame) -> DataFrame:
     """The four contingency cells as shares of their sum."""
-    total = reduce(lambda a, b: a + b, [F.col(c) for c in CELLS])
+    total = F.nullif(reduce(lambda a, b: a + b, [F.col(c) for c in CELLS]), F.lit(0))
     return df.select(*[(F.col(c) / total).alias(c) if c in CELLS else F.col(c) for c in df.columns])
 
 

@@ -34,7 +34,7 @@ def interpolate_linear(
 
     def filled(c: str):
         pv, pt, nv, nt = (F.col(f"_{k}_{c}") for k in ("pv", "pt", "nv", "nt"))
-        share = F.datediff(F.col(time), pt) / F.datediff(nt, pt)
+        share = F.datediff(F.col(time), pt) / F.nullif(F.datediff(nt, pt), F.lit(0))
         between = F.when(pv.isNotNull() & nv.isNotNull(), pv + (nv - pv) * share)
         head = nv if backfill else F.lit(None)
         return F.coalesce(F.col(c), between, pv, head).alias(c)

@@ -75,7 +75,8 @@ def nearest_cell_series(cube: DataFrame, stations: DataFrame) -> DataFrame:
 def crosses_ray(px: Column, py: Column) -> Column:
     """Does the edge cross the ray from (px, py) towards larger x?"""
     straddles = (F.col("y1") > py) != (F.col("y2") > py)
-    at = (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    rise = F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    at = (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / rise + F.col("x1")
     return straddles & (px < at)
 
 
@@ -167,8 +168,14 @@ def polygon_intersects(left: DataFrame, left_key: str, right: DataFrame, right_k
     def side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> Column:
         return (F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax))
 
+    def overlap(axis: str) -> Column:
+        """The two edges' extents meet on this axis; checked before any orientation test."""
+        return (F.least(f"l{axis}1", f"l{axis}2") <= F.greatest(f"r{axis}1", f"r{axis}2")) & (
+            F.least(f"r{axis}1", f"r{axis}2") <= F.greatest(f"l{axis}1", f"l{axis}2")
+        )
+
     l, r = tiled(left, left_key, "l"), tiled(right, right_key, "r")
-    joined = l.join(r, ["_tx", "_ty"])
+    joined = l.join(r, ["_tx", "_ty"]).where(overlap("x") & overlap("y"))
     s1, s2 = side("lx1", "ly1", "lx2", "ly2", "rx1", "ry1"), side("lx1", "ly1", "lx2", "ly2", "rx2", "ry2")
     s3, s4 = side("rx1", "ry1", "rx2", "ry2", "lx1", "ly1"), side("rx1", "ry1", "rx2", "ry2", "lx2", "ly2")
     crossing = joined.where((s1 * s2 < 0) & (s3 * s4 < 0)).select(left_key, right_key)

@@ -13,7 +13,7 @@ from freshet.operators.reshape import columns_like, season_dummies, stations_wid
 from freshet.operators.resample import resample
 from freshet.operators.scores import daily_scores
 from freshet.operators.windows import rain_history, spread_label_back, trailing_max
-from freshet.plans import pipelines, views as V
+from freshet.plans import workflows, views as V
 from freshet.plans.registry import query
 
 WINDOW = 7
@@ -107,7 +107,7 @@ def panel_sequence(spark, d):
 
 
 def forecast_panel(spark, d) -> DataFrame:
-    """The panel in the shape the pipelines read."""
+    """The panel in the shape the workflows read."""
     days = V.v_days(spark, d).withColumn("season", season_of(F.col("time")))
     rain = V.v_rain(spark, d).withColumnRenamed("rain_max", "rainfall").drop("rain_mean")
     return days.join(rain, ["district", "time"], "left")
@@ -115,9 +115,9 @@ def forecast_panel(spark, d) -> DataFrame:
 
 @query("district_features")
 def district_features(spark, d):
-    return pipelines.district_features(forecast_panel(spark, d), 5, 2, max_stations=3)
+    return workflows.district_features(forecast_panel(spark, d), 5, 2, max_stations=3)
 
 
 @query("district_forecast")
 def district_forecast(spark, d):
-    return pipelines.district_forecast(forecast_panel(spark, d), [(7, 1)], [False, True], max_stations=3)
+    return workflows.district_forecast(forecast_panel(spark, d), [(7, 1)], [False, True], max_stations=3)

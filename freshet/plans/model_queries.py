@@ -9,7 +9,7 @@ from freshet.operators import blocks as B, compare as C, explore as E, reshape a
 from freshet.operators.panel import clip_to_events
 from freshet.operators.resample import block_maxima, block_quantiles, resample
 from freshet.operators.windows import discharge_features, horizon_label, horizon_labels, minmax_scale
-from freshet.plans import pipelines, views as V
+from freshet.plans import workflows, views as V
 from freshet.plans.registry import query
 from freshet.plans.views import CELLS_SQL, EVENT_SCORES_SQL, MODELS, SCORES_SQL
 
@@ -178,13 +178,13 @@ def threshold_cv_folds(spark, d):
 
 @query("threshold_cv", "v_series v_impact", _cv_sql("", "model", "max_dt_3days") + _STATION_OUT)
 def threshold_cv(spark, d):
-    best = pipelines.benchmark(model_frame(spark, d))
+    best = workflows.benchmark(model_frame(spark, d))
     return best.select(*KEYS, *rounded([f"{p}_{c}" for c in _STATION_COLS for p in ("avg", "std")]))
 
 
 @query("threshold_cv_ahead", "v_series v_impact", _cv_sql(_SHIFTED, "shifted", "max_future_3days") + _STATION_OUT)
 def threshold_cv_ahead(spark, d):
-    best = pipelines.benchmark(model_frame(spark, d), "max_future_3days", n_ahead=2)
+    best = workflows.benchmark(model_frame(spark, d), "max_future_3days", n_ahead=2)
     return best.select(*KEYS, *rounded([f"{p}_{c}" for c in _STATION_COLS for p in ("avg", "std")]))
 
 
