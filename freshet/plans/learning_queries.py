@@ -61,7 +61,7 @@ def lr_coefficient_ranks(spark, d):
 
 @query("svc_linear")
 def svc_linear(spark, d):
-    predictions = L.linear_svc(district_blocks(spark, d), FEATURES, grid=[0.01, 0.1, 1], max_iter=20)
+    predictions = L.linear_svc(district_blocks(spark, d), FEATURES, grid=[0.1, 1], max_iter=10)
     return L.model_scores(predictions)
 
 
