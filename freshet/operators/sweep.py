@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from freshet.functions.expressions import threshold_objective
 from freshet.operators.blocks import chronological_split, flood_count_folds
 from freshet.operators.resample import block_maxima, block_quantiles, half_year_block
-from freshet.operators.scores import CELLS, SCORES, add_event_skill, add_rates, add_skill
+from freshet.operators.scores import CELLS, add_event_skill, add_rates, add_skill
 
 PERCENTS = list(range(50, 100))
 EVENT_PERCENTS = list(range(50, 91, 5))

@@ -4,7 +4,6 @@ import datetime as dt
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from freshet import schemas
 from freshet.operators import panel as P, reshape as R
