@@ -148,17 +148,15 @@ def thresholds(
         )
 
     by_first = merged(base, [first], "_1").withColumnRenamed(first, "_first")
-    # Merging the merged keeps the last step to one row per language.
-    total = by_first.groupBy().agg(*(F.kll_merge_agg_double(f"{s}_1").alias(f"{s}_0") for s in named))
-    joined = base.join(by_first, base[first].eqNullSafe(by_first["_first"]), "left").join(
-        total.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"), "left"
-    )
+    # One row of a few KB, whatever the size of the input: the sketches of all rows.
+    total = by_first.groupBy().agg(*(F.kll_merge_agg_double(f"{s}_1").alias(s) for s in named)).first()
+    joined = base.join(by_first, base[first].eqNullSafe(by_first["_first"]), "left")
     columns = []
     for f in fences:
         sketch = (
             F.when(F.col("_n") >= least_rows, F.col(f.signal))
             .when(F.col("_n_1") >= least_rows, F.col(f"{f.signal}_1"))
-            .otherwise(F.col(f"{f.signal}_0"))
+            .otherwise(F.lit(total[f.signal]).cast("binary"))
         )
         filled = F.when(F.kll_sketch_get_n_double(sketch) > 0, sketch)
         q1, q3 = (F.kll_sketch_get_quantile_double(filled, F.lit(q)) for q in (0.25, 0.75))
