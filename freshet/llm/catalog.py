@@ -1,6 +1,6 @@
 """All queries of this subpackage, gathered from its query modules."""
 
-from freshet.llm import decontaminate_query, pii_query, quality_query  # noqa: F401
+from freshet.llm import decontaminate_query, pii_query, quality_query, toxicity_query  # noqa: F401
 from freshet.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
