@@ -104,22 +104,28 @@ class Model:
     def scores(self, b: Bags) -> np.ndarray:
         """Noisy-or over the sentences of each document."""
         quiet = -np.logaddexp(0, self.sentence_logits(b))  # log(1 - p)
-        return -np.expm1(np.bincount(b.doc, quiet, b.n_docs))
+        return np.clip(-np.expm1(np.bincount(b.doc, quiet, b.n_docs)), 0.0, 1.0)
 
 
 def fit(
-    b: Bags, labels: np.ndarray, steps: int = 80, rate: float = 0.05, ridge: float = 1e-4, least_docs: int = 5
+    b: Bags, labels: np.ndarray, steps: int = 100, rate: float = 0.05, ridge: float = 1e-5,
+    least_docs: int = 4, significant: float = 5.0,
 ) -> Model:
     """Maximum likelihood of the document labels under the noisy-or, by Adam on all bags."""
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1 or not len(b.names):
         share = min(max(share, 1e-12), 1 - 1e-12)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    # Words and runs of few documents say nothing about others.
+    # Only features that toxic documents have markedly more often than others can carry a weight.
     owner = b.doc[b.sentence].astype(np.int64)
-    seen = np.bincount(np.unique(owner * len(b.names) + b.codes) % len(b.names), minlength=len(b.names))
+    pairs = np.unique(owner * len(b.names) + b.codes)
+    word, truth = pairs % len(b.names), labels[pairs // len(b.names)].astype(float)
     buckets, owners = word_features(b.names)
-    usable = np.bincount(buckets, seen[owners], BUCKETS) >= least_docs
+    n_docs = np.bincount(buckets, np.bincount(word, minlength=len(b.names))[owners], BUCKETS)
+    n_toxic = np.bincount(buckets, np.bincount(word, truth, len(b.names))[owners], BUCKETS)
+    base = truth.mean()
+    excess = (n_toxic - n_docs * base) / np.sqrt(np.maximum(n_docs, 1) * base * (1 - base) + 1e-12)
+    usable = (excess >= significant) & (n_docs >= least_docs)
     buckets, owners = buckets[usable[buckets]], owners[usable[buckets]]
     sentences = np.bincount(b.doc, minlength=b.n_docs)
     bias = float(np.log(share / max(1.0, float(sentences.mean()))))
