@@ -1,6 +1,14 @@
 """All queries of this subpackage, gathered from its query modules."""
 
-from freshet.llm import decontaminate_query, hilbert_query, pii_query, quality_query, toxicity_query  # noqa: F401
+from freshet.llm import (  # noqa: F401
+    decontaminate_query,
+    hilbert_query,
+    licenses_query,
+    pii_query,
+    quality_query,
+    toxicity_query,
+    url_query,
+)
 from freshet.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
