@@ -49,8 +49,8 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts in one array, and the n + 1 bounds of the texts; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Bytes (UTF-8) of all values in one array, and their n + 1 bounds; null is empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if column.offset:
         column = pa.concat_arrays([column])
     _, offsets, data = column.buffers()

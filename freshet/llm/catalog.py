@@ -3,6 +3,7 @@
 from freshet.llm import (  # noqa: F401
     decontaminate_query,
     hilbert_query,
+    jaccard_query,
     licenses_query,
     pii_query,
     quality_query,
