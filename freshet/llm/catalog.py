@@ -5,6 +5,7 @@ from freshet.llm import (  # noqa: F401
     hilbert_query,
     jaccard_query,
     licenses_query,
+    packing_query,
     pii_query,
     quality_query,
     toxicity_query,
