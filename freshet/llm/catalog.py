@@ -4,6 +4,7 @@ from freshet.llm import (  # noqa: F401
     decontaminate_query,
     hilbert_query,
     jaccard_query,
+    language_model_query,
     licenses_query,
     packing_query,
     pii_query,
