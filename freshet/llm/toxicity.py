@@ -31,6 +31,8 @@ from freshet.llm.arrow_text import mix, slices, text_bytes, word_table, words
 BUCKETS = 1 << 20
 #: Lengths of the byte runs; a word's start counts as a byte, so prefixes are told apart.
 RUNS = (4, 5, 6, 7)
+#: Score from which a document counts as toxic.
+THRESHOLD = 0.3
 #: Labelled documents used for the fit, at most.
 SAMPLE = 8_000
 SENTENCE_ENDS = np.frombuffer(b".!?\n", np.uint8)

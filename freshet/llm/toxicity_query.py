@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.registry import query, table
-from freshet.llm.toxicity import score, train
-
-THRESHOLD = 0.3
+from freshet.llm.toxicity import THRESHOLD, score, train
 
 
 def held_out() -> Column:
