@@ -6,12 +6,8 @@ long as the list of administrative districts, so the built-in exact median serve
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from freshet.operators.scores import CELLS
-
 # Fixed value: one-sided normal quantile of the sign test.
 SIGNIFICANCE_Z = 1.645
 
@@ -52,12 +48,6 @@ def best_model(results: DataFrame, models: list[str], score: str = "f1", distric
     return picked.select(district, F.col("_b.model").alias("best_model"), *[f"_b.{c}" for c in rest])
 
 
-def proportions(df: DataFrame) -> DataFrame:
-    """The four contingency cells as shares of their sum."""
-    total = F.nullif(reduce(lambda a, b: a + b, [F.col(c) for c in CELLS]), F.lit(0))
-    return df.select(*[(F.col(c) / total).alias(c) if c in CELLS else F.col(c) for c in df.columns])
-
-
 def score_matrix(results: DataFrame, score: str, aheads: list[int]) -> DataFrame:
     """Mean and median of a score by window (rows) and lead (columns)."""
     both = results.groupBy("window", "n_ahead").agg(F.avg(score).alias("avg"), F.median(score).alias("median"))
@@ -68,18 +58,21 @@ def score_matrix(results: DataFrame, score: str, aheads: list[int]) -> DataFrame
 
 
 def score_bins(df: DataFrame, count: str, score: str, width: int = 5, n_bins: int = 11) -> DataFrame:
-    """Districts, mean and median score by bins of the event count; empty bins stay."""
-    placed = df.withColumn("bin", F.floor(F.col(count) / width).cast("int")).where(
-        F.col("bin").between(0, n_bins - 1)
-    )
+    """Districts, mean and median score by bins of the event count; empty bins stay.
+
+    The last bin is open and holds every larger count; an unknown count is 0 events.
+    """
+    place = F.floor(F.coalesce(F.col(count), F.lit(0)) / width)
+    placed = df.withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(n_bins)).cast("int"))
     grouped = placed.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n_districts"), F.avg(score).alias(f"avg_{score}"),
         F.median(score).alias(f"med_{score}"),
     )
-    spine = df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
+    spine = df.sparkSession.range(n_bins + 1).select(F.col("id").cast("int").alias("bin"))
     joined = spine.join(grouped, "bin", "left")
     low = F.col("bin") * width
-    interval = F.concat(low.cast("string"), F.lit("-"), (low + width - 1).cast("string"))
+    closed = F.concat(low.cast("string"), F.lit("-"), (low + width - 1).cast("string"))
+    interval = F.when(F.col("bin") == n_bins, F.concat(low.cast("string"), F.lit("+"))).otherwise(closed)
     return joined.select(
         interval.alias("interval"), F.coalesce("n_districts", F.lit(0)).alias("n_districts"),
         f"avg_{score}", f"med_{score}",

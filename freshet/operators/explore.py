@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.expressions import SEASONS, season_of, step_down, step_up, year_season
 
-YEARS = (2000, 2019)
-
 
 def _spine(df: DataFrame, keys: list[str], periods: Column, name: str) -> DataFrame:
     """Every key with every period. The period list is one array, so no join is involved."""
@@ -31,12 +29,19 @@ def season_matrix(df: DataFrame, keys: list[str], measure: Column, time: str = "
     return df.withColumn("season", season_of(F.col(time))).groupBy(*keys).pivot("season", SEASONS).agg(measure)
 
 
-def by_year(df: DataFrame, measure: Column, out: str, years: tuple[int, int] = YEARS, time: str = "time",
+def by_year(df: DataFrame, measure: Column, out: str, years: tuple[int, int] | None = None, time: str = "time",
             zero: bool = False) -> DataFrame:
-    """Measure for every year of the range; a year without rows is NULL, or 0 for counts."""
+    """Measure for every year from the first to the last; a year without rows is NULL, or 0 for counts.
+
+    The table gives the years; `years` asks for a range of its own instead.
+    """
     spark = df.sparkSession
-    grouped = df.groupBy(F.year(time).alias("year")).agg(measure.alias(out))
-    spine = spark.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("year"))
+    grouped = df.groupBy(F.year(time).alias("year")).agg(measure.alias(out)).where("year is not null")
+    if years is None:
+        span = grouped.agg(F.sequence(F.min("year"), F.max("year")).alias("years"))
+        spine = span.select(F.explode("years").alias("year"))
+    else:
+        spine = spark.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("year"))
     joined = spine.join(grouped, "year", "left")
     return joined.withColumn(out, F.coalesce(out, F.lit(0))) if zero else joined
 

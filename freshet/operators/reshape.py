@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -66,17 +65,24 @@ def series_long(wide: DataFrame, time: str, stations: list[str]) -> DataFrame:
 
 
 def stations_wide(
-    df: DataFrame, value_prefixes: dict[str, str], max_stations: int = 4, district: str = "district",
+    df: DataFrame, value_prefixes: dict[str, str], max_stations: int | None = None, district: str = "district",
     station: str = "station", time: str = "time"
 ) -> DataFrame:
     """One row per district and day; the n-th station by name becomes column <prefix><n>.
 
     The district's stations are numbered from its distinct station names, not by a
-    window over its rows. Joins on time, so gaps in one station shift nothing.
+    window over its rows. Joins on time, so gaps in one station shift nothing. Without
+    `max_stations` the data give the number of columns; with it, a district that has
+    more stations is an error, never a cut.
     """
     names = df.select(district, station).distinct().withColumn(
         "_n", F.row_number().over(Window.partitionBy(district).orderBy(station))
     )
+    if max_stations is None:
+        max_stations = most_stations(df, district, station)
+    else:
+        too_many = F.raise_error(F.concat(F.lit(f"more than {max_stations} stations in "), district)).cast("int")
+        names = names.withColumn("_n", F.when(F.col("_n") <= max_stations, F.col("_n")).otherwise(too_many))
     numbered = df.join(names, [district, station])
     cells = [
         F.max(F.when(F.col("_n") == n, F.col(c))).alias(f"{prefix}{n}")
@@ -85,6 +91,12 @@ def stations_wide(
     return numbered.groupBy(district, time).agg(*cells)
 
 
+def most_stations(df: DataFrame, district: str = "district", station: str = "station") -> int:
+    """Largest number of stations of one district: the one number a wide layout needs beforehand."""
+    per_district = df.select(district, station).distinct().groupBy(district).agg(F.count(station).alias("_k"))
+    return per_district.agg(F.max("_k")).first()[0] or 1
+
+
 def first_values(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """First non-null value of each column per key, in the order of `order`."""
     def first(c: str):
@@ -123,10 +135,6 @@ def quality_events(df: DataFrame, country: str, score: str, level: str = "medium
     return df if cut is None else df.where(F.col(score) > cut)
 
 
-def pivot_seasons(df: DataFrame, keys: list[str], season: str, value, name: str | None = None) -> DataFrame:
-    return df.groupBy(*keys).pivot(season, SEASONS).agg(value)
-
-
 def valid_scores(df: DataFrame, column: str, sentinels: tuple[str, ...] = ("1000", "1000.0", "none")) -> DataFrame:
     """Drop sentinel scores, then cast the rest to double."""
     text = F.col(column).cast("string")
@@ -144,7 +152,3 @@ def row_argmin(df: DataFrame, columns: list[str], out: str) -> DataFrame:
     smallest = F.least(*columns) if len(columns) > 1 else F.col(columns[0])
     names = F.coalesce(*[F.when(F.col(c) == smallest, F.lit(c)) for c in columns])
     return df.withColumn(out, names)
-
-
-def named_map(pairs: dict[str, str]):
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])

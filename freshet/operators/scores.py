@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from freshet.functions.expressions import event_skill_scores, skill_scores
 from freshet.operators.windows import run_ids
@@ -68,8 +68,8 @@ def add_event_skill(table: DataFrame) -> DataFrame:
 
 
 def add_rates(df: DataFrame, total: str | None = None) -> DataFrame:
-    """The four cells as shares of the number of scored rows."""
-    n = F.col(total) if total else sum((F.col(c) for c in CELLS[1:]), F.col(CELLS[0]))
+    """The four cells as shares of the number of scored rows; no rows give NULL."""
+    n = F.nullif(F.col(total) if total else sum((F.col(c) for c in CELLS[1:]), F.col(CELLS[0])), F.lit(0))
     return df.select(*[(F.col(c) / n).alias(c) if c in CELLS else F.col(c) for c in df.columns])
 
 
@@ -81,12 +81,15 @@ def fold_summary(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 
 
 def class_weights(df: DataFrame, label: str = "flood", balanced: bool = True) -> DataFrame:
-    """Attach weight n / (2 n_c), or n / n_c, to every row of class c.
+    """Attach weight n / (2 n_c), or n / n_c, to every row of class c; the label is 0 or 1.
 
-    The weight table has one row per class, so it is broadcast; counting by class is a
-    partial aggregate, never a window over a class.
+    One aggregate counts both classes; its single row is a scalar subquery.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = F.sum("_c").over(Window.partitionBy(F.lit(1)))
-    weight = total / (2 * F.col("_c")) if balanced else total / F.col("_c")
-    return df.join(F.broadcast(counts.select(label, weight.alias("weight"))), label)
+    sums = df.agg(F.struct(
+        F.count(F.when(F.col(label) == 0, 1)).alias("n0"), F.count(F.when(F.col(label) == 1, 1)).alias("n1")
+    ).alias("s")).scalar()
+    own = F.when(F.col(label) == 1, F.col("_s.n1")).when(F.col(label) == 0, F.col("_s.n0")).otherwise(
+        F.raise_error(F.lit("class weights need a label of 0 or 1")).cast("bigint")
+    )
+    weight = (F.col("_s.n0") + F.col("_s.n1")) / (own * (2 if balanced else 1))
+    return df.withColumn("_s", sums).withColumn("weight", weight).drop("_s")

@@ -66,8 +66,10 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, point: str, coordinate:
 
 def nearest_cell_series(cube: DataFrame, stations: DataFrame) -> DataFrame:
     """Daily series of the grid cell nearest to each station, matched axis by axis."""
-    located = nearest_on_axis(stations, cube, "lon", "lon", "_cell_lon")
-    located = nearest_on_axis(located, cube, "lat", "lat", "_cell_lat")
+    # Both axes come from the cells, a table without days; the cube is read for it once.
+    axes = cut_lineage(cube.select("lat", "lon").distinct())
+    located = nearest_on_axis(stations, axes, "lon", "lon", "_cell_lon")
+    located = nearest_on_axis(located, axes, "lat", "lat", "_cell_lat")
     cells = located.select("station", F.col("_cell_lat").alias("lat"), F.col("_cell_lon").alias("lon"))
     return cube.join(cells, ["lat", "lon"]).select("station", "time", F.col("dis24").alias("dis"))
 
@@ -150,10 +152,12 @@ def zone_period_reduce(
 
 
 def polygon_intersects(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
-                       tile: float = 1.0) -> DataFrame:
-    """Pairs of polygons that share any point: crossing edges, or one inside the other.
+                       tile: float = 1.0, part: str | None = None) -> DataFrame:
+    """Pairs of polygons that share any point: meeting edges, or a part of one inside the other.
 
-    Edges meet only edges that pass through the same tile.
+    Edges meet if they cross, touch or overlap, and only edges that pass through the same
+    tile are compared. Without a meeting, each ring lies inside or outside as a whole: one
+    vertex per ring decides if the column `part` names the rings, else every vertex is tested.
     """
     def tiled(edges: DataFrame, key: str, tag: str) -> DataFrame:
         named = edges.select(
@@ -178,43 +182,61 @@ def polygon_intersects(left: DataFrame, left_key: str, right: DataFrame, right_k
     joined = l.join(r, ["_tx", "_ty"]).where(overlap("x") & overlap("y"))
     s1, s2 = side("lx1", "ly1", "lx2", "ly2", "rx1", "ry1"), side("lx1", "ly1", "lx2", "ly2", "rx2", "ry2")
     s3, s4 = side("rx1", "ry1", "rx2", "ry2", "lx1", "ly1"), side("rx1", "ry1", "rx2", "ry2", "lx2", "ly2")
-    crossing = joined.where((s1 * s2 < 0) & (s3 * s4 < 0)).select(left_key, right_key)
+    # With overlapping extents, ends on the line or on both sides of it mean a common point.
+    crossing = joined.where((s1 * s2 <= 0) & (s3 * s4 <= 0)).select(left_key, right_key)
+
+    def vertices(edges: DataFrame, key: str) -> DataFrame:
+        if part is None:
+            return edges.select(key, F.col("x1").alias("_vx"), F.col("y1").alias("_vy")).distinct()
+        low = F.min(F.struct("x1", "y1"))
+        return edges.groupBy(key, part).agg(low.alias("_v")).select(key, F.col("_v.x1").alias("_vx"), F.col("_v.y1").alias("_vy"))
+
     left_inside = points_in_polygons(
-        left.groupBy(left_key).agg(F.min_by("x1", F.struct("x1", "y1")).alias("_vx"),
-                                   F.min_by("y1", F.struct("x1", "y1")).alias("_vy")),
-        [left_key], "_vx", "_vy", right, right_key, tile,
-    )
+        vertices(left, left_key), [left_key, "_vx", "_vy"], "_vx", "_vy", right, right_key, tile
+    ).select(left_key, right_key)
     right_inside = points_in_polygons(
-        right.groupBy(right_key).agg(F.min_by("x1", F.struct("x1", "y1")).alias("_vx"),
-                                     F.min_by("y1", F.struct("x1", "y1")).alias("_vy")),
-        [right_key], "_vx", "_vy", left, left_key, tile,
+        vertices(right, right_key), [right_key, "_vx", "_vy"], "_vx", "_vy", left, left_key, tile
     ).select(left_key, right_key)
     return crossing.unionByName(left_inside).unionByName(right_inside).distinct()
 
 
-def upstream_closure(
-    basins: DataFrame, seeds: DataFrame, zone: str = "zone", max_area: float = 25000, max_rounds: int = 10_000
-) -> DataFrame:
+def upstream_closure(basins: DataFrame, seeds: DataFrame, zone: str = "zone", max_area: float = 25000) -> DataFrame:
     """Seed basins and everything that drains into them through basins of limited area.
 
-    Each round joins the newest basins with the network and drops what is already known,
-    so cycles end. Rounds are written to the checkpoint folder: the plan does not grow
-    and a lost executor repeats one round.
+    A basin has one basin below it, so paths are doubled: after round k every basin knows
+    the zones within 2^k steps down and the basin 2^k steps down. Rounds grow with the
+    logarithm of the longest path; cycles end when a path would be longer than the network.
+    Each round is written to the checkpoint folder, so the plan does not grow.
     """
-    network = basins.where(F.col("up_area") <= max_area).select(
-        F.col("next_down").alias("_at"), F.col("hybas_id").alias("_up")
-    )
-    frontier = cut_lineage(seeds.select(zone, "hybas_id").distinct())
-    known = frontier
-    for _ in range(max_rounds):
-        found = frontier.join(network, frontier.hybas_id == network._at).select(
-            zone, F.col("_up").alias("hybas_id")
-        ).distinct()
-        frontier = cut_lineage(found.join(known, [zone, "hybas_id"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier)
-    raise ValueError(f"closure not reached in {max_rounds} rounds")
+    network = basins.where(F.col("up_area") <= max_area).select("hybas_id", F.col("next_down").alias("_to")).distinct()
+    jumps = cut_lineage(network)
+    start = seeds.select(zone, "hybas_id").distinct()
+    below = start.withColumnRenamed("hybas_id", "_to")
+    known = cut_lineage(jumps.join(below, "_to").select(zone, "hybas_id"))
+    reach, n = 1, jumps.count()
+    while reach < n:
+        there = jumps.join(known.select(zone, F.col("hybas_id").alias("_to")), "_to").select(zone, "hybas_id")
+        known = cut_lineage(known.unionByName(there).distinct())
+        jumps = cut_lineage(jumps.join(jumps.select(F.col("hybas_id").alias("_to"), F.col("_to").alias("_then")), "_to").select(
+            "hybas_id", F.col("_then").alias("_to")
+        ))
+        reach *= 2
+        if jumps.isEmpty():
+            break
+    return known.unionByName(start).distinct()
+
+
+def catchments(basins: DataFrame, basin_edges: DataFrame, zone_edges: DataFrame, zone: str = "zone", max_area: float = 25000,
+               tile: float = 1.0) -> DataFrame:
+    """Boundary of each zone's catchment: basins without lakes that meet the zone, all that drains into them, dissolved.
+
+    `basins` has hybas_id, next_down, up_area and lake.
+    """
+    dry = basins.where(F.col("lake") == 0)
+    edges = basin_edges.join(dry.select("hybas_id"), "hybas_id", "left_semi")
+    seeds = polygon_intersects(edges, "hybas_id", zone_edges, zone, tile).select(zone, "hybas_id")
+    members = upstream_closure(dry, seeds, zone, max_area)
+    return dissolve_boundary(edges, members, "hybas_id", zone)
 
 
 def dissolve_boundary(edges: DataFrame, members: DataFrame, key: str, zone: str) -> DataFrame:

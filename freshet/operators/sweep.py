@@ -123,21 +123,26 @@ def fit_threshold(
     split = chronological_split(supported(days), keys, "time")
     train = split.where(F.col("is_train"))
     thresholds = block_quantiles(block_maxima(train, keys, block_col), keys, percents)
-    trained = sweep_scores(train, thresholds, keys, predictor, percents)
-    best = best_by(trained, ["district"], loss, ["station", "percent"]).select(
-        "district", "station", "percent", "threshold"
-    )
-    test = split.where(~F.col("is_train")).join(best, keys)
-    hit = F.coalesce((F.col(predictor) >= F.col("threshold")).cast("int"), F.lit(0))
-    o, p = F.col("flood") == 1, hit == 1
-    table = test.groupBy("district", "station", "percent", "threshold").agg(
-        F.count(F.when(o & p, 1)).alias("hits"),
-        F.count(F.when(o & ~p, 1)).alias("misses"),
-        F.count(F.when(~o & p, 1)).alias("false_alarms"),
-        F.count(F.when(~o & ~p, 1)).alias("corr_neg"),
+    # Early and late days are counted in their levels together: one pass gives both tables.
+    levels = (
+        split.join(thresholds, keys)
+        .withColumn("_level", level_of(F.col(predictor), F.col("thresholds")))
+        .groupBy(*keys, "_level")
+        .agg(*[F.count(F.when(condition, 1)).alias(name) for name, condition in {
+            "_rows": F.col("is_train"),
+            "_floods": F.col("is_train") & (F.col("flood") == 1),
+            "_rows_test": ~F.col("is_train"),
+            "_floods_test": ~F.col("is_train") & (F.col("flood") == 1),
+        }.items()])
     )
-    n_test = sum((F.col(c) for c in CELLS[1:]), F.col(CELLS[0]))
-    return add_skill(table).withColumn("n_test", n_test).withColumn("n_floods", F.col("hits") + F.col("misses"))
+    sums = _suffix_sums(levels, keys, ["_rows", "_floods", "_rows_test", "_floods_test"], percents)
+    sums = sums.join(thresholds, keys).withColumn("threshold", F.element_at("thresholds", F.col("_level")))
+    tests = [f"{m}{suffix}" for m in ("_rows_test", "_floods_test") for suffix in ("", "_total")]
+    trained = add_skill(_cells(sums, [*keys, "percent", "threshold", *tests]))
+    best = best_by(trained, ["district"], loss, ["station", "percent"]).where(F.col("_rows_test_total") > 0)
+    named = best.select(*keys, "percent", "threshold", *[F.col(c).alias(c.replace("_test", "")) for c in tests])
+    scored = add_skill(_cells(named, [*keys, "percent", "threshold", "_rows_total"]))
+    return scored.withColumnRenamed("_rows_total", "n_test").withColumn("n_floods", F.col("hits") + F.col("misses"))
 
 
 def cross_validate_thresholds(

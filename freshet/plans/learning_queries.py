@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from freshet.functions.expressions import season_of
 from freshet.operators import blocks as B, learn as L
@@ -15,6 +15,7 @@ from freshet.operators.scores import daily_scores
 from freshet.operators.windows import rain_history, spread_label_back, trailing_max
 from freshet.plans import workflows, views as V
 from freshet.plans.registry import query
+from freshet.sources.tables import read_table
 
 WINDOW = 7
 FEATURES = ["dis_station1", "dis_station2", "dis_station3", "rainfall", "soil", "spring", "summer", "winter"]
@@ -61,8 +62,7 @@ def lr_coefficient_ranks(spark, d):
 
 @query("svc_linear")
 def svc_linear(spark, d):
-    predictions = L.linear_svc(district_blocks(spark, d), FEATURES, grid=[0.1, 1], max_iter=10)
-    return L.model_scores(predictions)
+    return L.model_scores(L.district_svc(district_blocks(spark, d), FEATURES))
 
 
 def _discharge_wide(spark, d) -> DataFrame:
@@ -75,7 +75,7 @@ def _discharge_wide(spark, d) -> DataFrame:
 @query("gbt_discharge")
 def gbt_discharge(spark, d):
     wide = _discharge_wide(spark, d)
-    predictions = L.boosted_trees(wide, columns_like(wide, "dis_station[1-3]"), max_iter=20)
+    predictions = L.district_boosted(wide, columns_like(wide, "dis_station[1-3]"))
     return daily_scores(predictions, ["district"])
 
 
@@ -83,7 +83,7 @@ def gbt_discharge(spark, d):
 def gbt_discharge_rain(spark, d):
     rain = rain_history(V.v_rain(spark, d), peak="rain_max", mean="rain_mean", steps=8)
     wide = _discharge_wide(spark, d).join(rain, ["district", "time"], "left")
-    predictions = L.boosted_trees(wide, columns_like(wide, "dis_station|rainfall_"), max_iter=20)
+    predictions = L.district_boosted(wide, columns_like(wide, "dis_station|rainfall_"))
     return daily_scores(predictions, ["district"])
 
 
@@ -102,7 +102,7 @@ def panel_sequence(spark, d):
     sequenced = B.sequences(
         blocked, ["district", "block", "fold"], "time", columns, B.sequence_steps(WINDOW)
     ).withColumn("flood", F.col("flood").cast("int"))
-    _, per_district = L.sequence_classifier(sequenced, seeds=(1, 2), max_iter=5)
+    _, per_district = L.sequence_classifier(sequenced)
     return per_district
 
 
@@ -115,9 +115,25 @@ def forecast_panel(spark, d) -> DataFrame:
 
 @query("district_features")
 def district_features(spark, d):
-    return workflows.district_features(forecast_panel(spark, d), 5, 2, max_stations=3)
+    return workflows.district_features(forecast_panel(spark, d), 5, 2)
 
 
 @query("district_forecast")
 def district_forecast(spark, d):
-    return workflows.district_forecast(forecast_panel(spark, d), [(7, 1)], [False, True], max_stations=3)
+    return workflows.district_forecast(forecast_panel(spark, d), None, [False, True])
+
+
+@query("panel_forecast")
+def panel_forecast(spark, d):
+    """Country-level scores per district with all feature groups."""
+    rain = V.v_rain(spark, d)
+    regions = read_table(spark, d, "supplier").join(V.supplier_district(spark, d), "s_suppkey").groupBy(
+        F.col("r_name").alias("district")
+    ).agg(F.avg("s_acctbal").alias("occurrence"), F.max("s_acctbal").alias("mean"))
+    w = Window.orderBy("district")
+    edges = regions.select("district", F.explode(F.array(F.lag("district").over(w), F.lead("district").over(w))).alias("neighbour"))
+    _, per_district = workflows.panel_forecast(
+        forecast_panel(spark, d), edges.where(F.col("neighbour").isNotNull()),
+        rain.select("district", "time", F.col("soil1").alias("EVI_mean")), regions, regions, 7, 1,
+    )
+    return per_district

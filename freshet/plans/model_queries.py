@@ -487,13 +487,14 @@ def season_matrix(spark, d):
 
 
 @query("year_profile", "v_impact v_rain", """
-SELECT CAST(y AS INT) AS year, COALESCE(f.n, 0) AS n_floods, r.rain FROM RANGE(2000, 2020) t(y)
+SELECT CAST(y AS INT) AS year, f.n AS n_floods, r.rain
+FROM (SELECT UNNEST(RANGE(MIN(YEAR(time)), MAX(YEAR(time)) + 1)) AS y FROM v_rain) t
 LEFT JOIN (SELECT YEAR(time) AS yy, CAST(SUM(flood) AS BIGINT) AS n FROM v_impact GROUP BY 1) f ON f.yy = y
 LEFT JOIN (SELECT YEAR(time) AS yy, ROUND(AVG(rain_mean), 6) AS rain FROM v_rain GROUP BY 1) r ON r.yy = y""")
 def year_profile(spark, d):
     floods = E.by_year(V.v_impact(spark, d), F.sum("flood"), "n_floods", zero=True)
     rain = E.by_year(V.v_rain(spark, d), F.round(F.avg("rain_mean"), 6), "rain")
-    return floods.join(rain, "year").orderBy("year")
+    return rain.join(floods, "year", "left").select("year", "n_floods", "rain").orderBy("year")
 
 
 @query("year_season_keys", "v_impact", f"""
@@ -568,7 +569,7 @@ SELECT district, model AS best_model, f1, csi, ROUND(hits / t, 6) AS hits, ROUND
 FROM (SELECT *, hits + misses + false_alarms + corr_neg AS t,
         ROW_NUMBER() OVER (PARTITION BY district ORDER BY f1 DESC, {_ORDER}) AS r FROM v_results WHERE f1 > 0) WHERE r = 1""")
 def best_model(spark, d):
-    best = C.best_model(C.proportions(V.v_results(spark, d)), MODELS)
+    best = C.best_model(S.add_rates(V.v_results(spark, d)), MODELS)
     return best.select("district", "best_model", "f1", "csi", *rounded(S.CELLS))
 
 
@@ -576,7 +577,7 @@ def best_model(spark, d):
 SELECT model, district, """ + ", ".join(
     f"ROUND({c} / (hits + misses + false_alarms + corr_neg), 6) AS {c}" for c in S.CELLS) + " FROM v_results")
 def proportions(spark, d):
-    return C.proportions(V.v_results(spark, d)).select("model", "district", *rounded(S.CELLS))
+    return S.add_rates(V.v_results(spark, d)).select("model", "district", *rounded(S.CELLS))
 
 
 _WINDOWS, _AHEADS = [3, 5, 7], [1, 3, 5]
@@ -624,9 +625,9 @@ def score_matrix(spark, d):
 
 
 @query("score_bins", "v_results", """
-SELECT (b * 5) || '-' || (b * 5 + 4) AS "interval", COUNT(r.district) AS n_districts, ROUND(AVG(f1), 12) AS avg_f1,
+SELECT CASE WHEN b = 11 THEN '55+' ELSE (b * 5) || '-' || (b * 5 + 4) END AS "interval", COUNT(r.district) AS n_districts, ROUND(AVG(f1), 12) AS avg_f1,
        ROUND(MEDIAN(f1), 12) AS med_f1
-FROM RANGE(0, 11) t(b) LEFT JOIN (SELECT * FROM v_results WHERE model = 'Q80') r ON r.n_floods // 5 = b GROUP BY b""")
+FROM RANGE(0, 12) t(b) LEFT JOIN (SELECT * FROM v_results WHERE model = 'Q80') r ON LEAST(r.n_floods // 5, 11) = b GROUP BY b""")
 def score_bins(spark, d):
     binned = C.score_bins(V.v_results(spark, d).where(F.col("model") == "Q80"), "n_floods", "f1")
     return binned.select("interval", "n_districts", *rounded(["avg_f1", "med_f1"], 12))
@@ -766,17 +767,24 @@ def zone_period_sum(spark, d):
     return reduced.select("zone", "period", F.round("sum", 2).alias("sum"))
 
 
-@query("basin_intersects", "v_basin_edges v_zone_edges", """
-WITH inside AS (SELECT b.hybas_id, e.zone FROM v_basin_edges b JOIN v_zone_edges e
+def _intersects_sql(basins: str) -> str:
+    """CTEs and a select of (hybas_id, zone) for polygons that share a point."""
+    overlap = " AND ".join(
+        f"LEAST(e.{c}1, e.{c}2) <= GREATEST(b.{c}1, b.{c}2) AND LEAST(b.{c}1, b.{c}2) <= GREATEST(e.{c}1, e.{c}2)" for c in "xy"
+    )
+    return f"""inside AS (SELECT b.hybas_id, e.zone FROM {basins} b JOIN v_zone_edges e
   ON (e.y1 > b.y1) <> (e.y2 > b.y1) AND b.x1 < (e.x2 - e.x1) * (b.y1 - e.y1) / (e.y2 - e.y1) + e.x1
   GROUP BY b.hybas_id, b.x1, b.y1, e.zone HAVING COUNT(*) % 2 = 1),
-corner AS (SELECT b.hybas_id, e.zone FROM v_zone_edges e JOIN v_basin_edges b
+corner AS (SELECT b.hybas_id, e.zone FROM v_zone_edges e JOIN {basins} b
   ON (b.y1 > e.y1) <> (b.y2 > e.y1) AND e.x1 < (b.x2 - b.x1) * (e.y1 - b.y1) / (b.y2 - b.y1) + b.x1
   GROUP BY b.hybas_id, e.x1, e.y1, e.zone HAVING COUNT(*) % 2 = 1),
-crossing AS (SELECT b.hybas_id, e.zone FROM v_basin_edges b JOIN v_zone_edges e ON
-  ((e.x2-e.x1)*(b.y1-e.y1) - (e.y2-e.y1)*(b.x1-e.x1)) * ((e.x2-e.x1)*(b.y2-e.y1) - (e.y2-e.y1)*(b.x2-e.x1)) < 0 AND
-  ((b.x2-b.x1)*(e.y1-b.y1) - (b.y2-b.y1)*(e.x1-b.x1)) * ((b.x2-b.x1)*(e.y2-b.y1) - (b.y2-b.y1)*(e.x2-b.x1)) < 0)
-SELECT DISTINCT hybas_id, zone FROM (SELECT * FROM inside UNION ALL SELECT * FROM corner UNION ALL SELECT * FROM crossing)""")
+crossing AS (SELECT b.hybas_id, e.zone FROM {basins} b JOIN v_zone_edges e ON {overlap} AND
+  ((e.x2-e.x1)*(b.y1-e.y1) - (e.y2-e.y1)*(b.x1-e.x1)) * ((e.x2-e.x1)*(b.y2-e.y1) - (e.y2-e.y1)*(b.x2-e.x1)) <= 0 AND
+  ((b.x2-b.x1)*(e.y1-b.y1) - (b.y2-b.y1)*(e.x1-b.x1)) * ((b.x2-b.x1)*(e.y2-b.y1) - (b.y2-b.y1)*(e.x2-b.x1)) <= 0),
+meets AS (SELECT DISTINCT hybas_id, zone FROM (SELECT * FROM inside UNION ALL SELECT * FROM corner UNION ALL SELECT * FROM crossing))"""
+
+
+@query("basin_intersects", "v_basin_edges v_zone_edges", f"WITH {_intersects_sql('v_basin_edges')} SELECT hybas_id, zone FROM meets")
 def basin_intersects(spark, d):
     basins = V.v_basin_edges(spark, d).drop("brand")
     return G.polygon_intersects(basins, "hybas_id", V.v_zone_edges(spark, d), "zone")
@@ -790,6 +798,21 @@ def upstream_closure(spark, d):
     return G.upstream_closure(V.v_basin(spark, d), V.v_seeds(spark, d))
 
 
+@query("catchments", "v_basin v_basin_edges v_zone_edges", f"""
+WITH RECURSIVE_ dry AS (SELECT * FROM v_basin WHERE hybas_id % 7 <> 0),
+edges AS (SELECT e.* FROM v_basin_edges e JOIN dry USING (hybas_id)),
+{_intersects_sql("edges")},
+up AS (SELECT zone, hybas_id FROM meets
+  UNION SELECT u.zone, b.hybas_id FROM up u JOIN dry b ON b.next_down = u.hybas_id AND b.up_area <= 25000),
+sides AS (SELECT u.zone, LEAST({{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}) AS a, GREATEST({{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}) AS b
+  FROM up u JOIN edges e ON e.hybas_id = u.hybas_id)
+SELECT zone, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM sides GROUP BY zone, a, b HAVING COUNT(*) = 1""")
+def catchments(spark, d):
+    """Zones to basins without lakes, upstream, then dissolved."""
+    basins = V.v_basin(spark, d).withColumn("lake", (F.col("hybas_id") % 7 == 0).cast("int"))
+    return G.catchments(basins, V.v_basin_edges(spark, d).drop("brand"), V.v_zone_edges(spark, d))
+
+
 @query("dissolve_boundary", "v_basin_edges", """
 SELECT zone, x1, y1, x2, y2 FROM (
   SELECT brand AS zone,
@@ -806,11 +829,9 @@ def dissolve_boundary(spark, d):
 
 @query("station_points", "v_stations", """
 SELECT s.station, s.lon, s.lat FROM v_stations s
-WHERE s.station IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)""")
+WHERE s.station IN (SELECT l_suppkey FROM lineitem)""")
 def station_points(spark, d):
-    panel = read_table(spark, d, "lineitem").where(
-        (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)
-    ).select(F.col("l_suppkey").alias("station"))
+    panel = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("station"))
     return G.station_points(V.v_stations(spark, d), panel).select("station", "point.lon", "point.lat")
 
 

@@ -90,9 +90,14 @@ def rain_lag_features(spark, d):
 @query("runs", "v_days", """
 SELECT district, station, time, high, SUM(ch) OVER (PARTITION BY district, station ORDER BY time) AS run FROM (
   SELECT *, CASE WHEN high = LAG(high) OVER (PARTITION BY district, station ORDER BY time) THEN 0 ELSE 1 END AS ch
-  FROM (SELECT district, station, time, CASE WHEN dis >= 100000 THEN 1 ELSE 0 END AS high FROM v_days))""")
+  FROM (SELECT d.district, d.station, d.time, CASE WHEN d.dis >= t.cut THEN 1 ELSE 0 END AS high FROM v_days d
+        JOIN (SELECT district, station, QUANTILE_CONT(dis, 0.75) AS cut FROM v_days GROUP BY 1, 2) t
+        ON t.district = d.district AND t.station = d.station))""")
 def runs(spark, d):
-    days = V.v_days(spark, d).select(*KEYS, "time", (F.col("dis") >= 100000).cast("int").alias("high"))
+    """Runs of days in the upper quarter of their own series."""
+    series = V.v_days(spark, d)
+    cuts = series.groupBy(*KEYS).agg(F.percentile("dis", F.lit(0.75)).alias("cut"))
+    days = series.join(cuts, KEYS).select(*KEYS, "time", (F.col("dis") >= F.col("cut")).cast("int").alias("high"))
     return W.run_ids(days, KEYS, "time", "high")
 
 
@@ -162,7 +167,9 @@ for _w in (3, 5, 7):
 
 
 @query("resample_gaps", "v_nation_series", """
-WITH s AS (SELECT * FROM v_nation_series WHERE dis >= 60000),
+WITH s AS (SELECT n.* FROM v_nation_series n
+  JOIN (SELECT district, QUANTILE_CONT(dis, 0.9) AS cut FROM v_nation_series GROUP BY 1) t ON t.district = n.district
+  WHERE n.dis >= t.cut),
 f AS (SELECT district, MIN(time) AS f, MAX(time) AS l FROM s GROUP BY 1),
 spine AS (SELECT district, f, UNNEST(RANGE(0, CAST(FLOOR(DATE_DIFF('day', f, l) / 3) AS BIGINT) + 1)) AS b FROM f),
 agg AS (SELECT s.district, CAST(FLOOR(DATE_DIFF('day', f.f, s.time) / 3) AS BIGINT) AS b, SUM(dis) AS total,
@@ -170,8 +177,10 @@ agg AS (SELECT s.district, CAST(FLOOR(DATE_DIFF('day', f.f, s.time) / 3) AS BIGI
 SELECT s.district, CAST(s.f + CAST(s.b * 3 AS INTEGER) AS DATE) AS time, ROUND(COALESCE(a.total, 0.0), 2) AS total, a.dis
 FROM spine s LEFT JOIN agg a ON a.district = s.district AND a.b = s.b""")
 def resample_gaps(spark, d):
-    """High-discharge days only, so that most bins are empty."""
-    high = V.v_nation_series(spark, d).where(F.col("dis") >= 60000).withColumn("total", F.col("dis"))
+    """Days in the upper tenth of their series only, so that most bins are empty."""
+    series = V.v_nation_series(spark, d)
+    cuts = series.groupBy("district").agg(F.percentile("dis", F.lit(0.9)).alias("cut"))
+    high = series.join(cuts, "district").where(F.col("dis") >= F.col("cut")).drop("cut").withColumn("total", F.col("dis"))
     return RS.resample(high, ["district"], 3, ["total"], ["dis"]).withColumn("total", F.round("total", 2))
 
 

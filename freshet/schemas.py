@@ -14,6 +14,13 @@ LINK_KEN = (
     "pcode string, name string, Impact_data int, Glofas_st string, Glofas_st2 string, Glofas_st3 string,"
     " Glofas_st4 string, Total_Glofas int, mountainuous int, close_to_lake int, Affected_noGlofas int"
 )
+LINK_UGA = (
+    "name string, pcode string, Impact_data int, Glofas_st string, Glofas_st2 string, Glofas_st3 string,"
+    " Glofas_st4 string"
+)
+VEGETATION = "Day int, Month int, Year int, District string, EVI_mean double, NDVI_mean double"
+WATER = "district string, occurrence double"
+SLOPE = "district string, mean double"
 RAINFALL = "Day int, Month int, Year int, District string, PCODE string, max double, mean double"
 SOIL_UGA = (
     "Day int, Month int, Year int, District string, SoilMoi0_10cm_inst_mean double,"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +34,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder: on a cluster that folder
-    would die with its machine.
+    Without the setting only a master inside this process may use a temporary folder; a
+    cluster, also one of processes on one machine, must name a folder all executors share.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="freshet-checkpoint-")
     context.setCheckpointDir(folder)

@@ -14,23 +14,41 @@ from freshet.schemas import nan_to_null
 ARCHIVE_START, ARCHIVE_END = "2000-01-01", "2019-12-01"
 
 
-_schemas: dict[str, T.StructType] = {}
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table; its footer is read for the schema on first use only."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def read_csv(
     spark: SparkSession, paths: str | list[str], schema: str, columns: list[str] | None = None
 ) -> DataFrame:
-    """Latin-1 CSV with a declared schema; the selected columns are all the reader parses."""
-    df = spark.read.schema(schema).option("header", True).option("encoding", "ISO-8859-1").csv(paths)
-    return nan_to_null(df.select(*columns) if columns else df)
+    """Latin-1 CSV whose columns are found by the names in the header of each file.
+
+    The declared types are kept; a declared column that no header has is an error, further
+    columns are dropped, and files of one read need the same header.
+    """
+    declared = T.StructType.fromDDL(schema)
+    reader = spark.read.option("header", True).option("encoding", "ISO-8859-1")
+    # With inference off only the first line is read here; a byte-order mark is not part of a name.
+    header = reader.csv(paths).columns
+    bare = {name.removeprefix("\ufeff").removeprefix("ï»¿"): name for name in header}
+    if missing := [f.name for f in declared if f.name not in bare]:
+        raise ValueError(f"columns {missing} are not in the header {list(bare)}")
+    kinds = {bare[f.name]: f.dataType for f in declared}
+    in_file = T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in header])
+    df = reader.schema(in_file).option("enforceSchema", False).csv(paths)
+    wanted = columns or declared.names
+    return nan_to_null(df.select(*[F.col(f"`{bare[c]}`").alias(c) for c in wanted]))
+
+
+def read_matrix(spark: SparkSession, path: str, key: str = "District") -> DataFrame:
+    """A wide 1 / empty matrix in UTF-8 with or without a byte-order mark; every cell column is an int."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    header = [name.removeprefix("\ufeff") for name in reader.csv(path).columns]
+    require = [key, *[c for c in header if c != key]]
+    if key not in header:
+        raise ValueError(f"no column {key!r} in {header}")
+    table = reader.csv(path).toDF(*header)
+    return table.select(key, *[F.col(f"`{c}`").cast("int").alias(c) for c in require[1:]])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

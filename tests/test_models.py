@@ -247,8 +247,107 @@ def test_panel_learners_return_one_row_per_district(spark):
     assert trees.count() == df.count()
     assert S.daily_scores(trees, ["district"]).where("pod > 0.5").count() == 2
     blocked = B.event_blocks(df, None)
-    svc = L.linear_svc(blocked, ["x"], grid=[1.0], max_iter=5)
+    svc = L.district_svc(blocked, ["x"], grid=[1.0])
     assert svc.count() == blocked.count()
     seqs = B.sequences(B.block_folds(blocked), ["district", "block", "fold"], "time", ["x"], 3)
     overall, per_district = L.sequence_classifier(seqs, seeds=(1,), max_iter=2, n_folds=2)
     assert overall.count() == 2 and per_district.count() == 2
+
+
+def learner_rows(seed=21, n=500, gap=60):
+    """Days of one district with an event every `gap` days that x announces weakly."""
+    rng = np.random.default_rng(seed)
+    flood = np.array([int(i % gap == 25) for i in range(n)])
+    x = np.column_stack([flood * 2 + rng.normal(size=n), rng.normal(size=n)])
+    return [("d", START + dt.timedelta(days=i), int(flood[i]), float(x[i, 0]), float(x[i, 1])) for i in range(n)]
+
+
+def descent(x, y, c, slope):
+    """Minimiser of |w|^2 / 2 + c * sum of weighted losses, by plain descent with shrinking steps."""
+    a = np.column_stack([x, np.ones(len(x))])
+    w = c * np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    keep = np.array([1.0] * x.shape[1] + [0.0])
+    b, rate = np.zeros(a.shape[1]), 1.0 / (1 + 2 * (w[:, None] * a * a).sum())
+    for _ in range(60_000):
+        b = b - rate * (keep * b + a.T @ (w * slope(a @ b, y)))
+    return b
+
+
+def logistic_slope(z, y):
+    return 1 / (1 + np.exp(-z)) - y
+
+
+def hinge_slope(z, y):
+    s = 2 * y - 1
+    return -2 * s * np.maximum(1 - s * z, 0)
+
+
+@pytest.mark.parametrize("fit, slope", [(L.logistic_fit, logistic_slope), (L.margin_fit, hinge_slope)])
+def test_linear_fits_equal_plain_descent(fit, slope):
+    rng = np.random.default_rng(3)
+    y = (rng.random(60) < 0.3).astype(float)
+    x = rng.normal(size=(60, 2)) + y[:, None]
+    for c in (0.05, 1.0):
+        assert np.allclose(fit(x, y, c), descent(x, y, c, slope), atol=1e-4)
+    with pytest.raises(ValueError, match="converge"):
+        fit(x, y, 1.0, n_steps=1)
+
+
+@pytest.mark.parametrize("model, fit, grid", [
+    (L.district_logistic, L.logistic_fit, L.LOGISTIC_C), (L.district_svc, L.margin_fit, L.SVC_C),
+])
+def test_district_models_equal_a_plain_restatement(spark, model, fit, grid):
+    df = spark.createDataFrame(learner_rows(), "district string, time date, flood int, a double, b double")
+    blocked = B.event_blocks(df, None).cache()
+    got = model(blocked, ["a", "b"]).toPandas().sort_values(["test_fold", "time"])
+    rows = B.block_folds(blocked).toPandas().sort_values(["time", "block"])
+    for k in range(1, 6):
+        train, test = rows[rows.fold != k], rows[rows.fold == k]
+        load, inner = [0] * min(5, train.block.nunique()), {}
+        for block, size in sorted(train.groupby("block").size().items(), key=lambda s: -s[1]):
+            inner[block] = load.index(min(load))
+            load[inner[block]] += size
+        place, y = train.block.map(inner).to_numpy(), train.flood.to_numpy().astype(float)
+        x = train[["a", "b"]].to_numpy()
+        means = []
+        for c in grid:
+            scores = []
+            for j in range(len(load)):
+                beta = fit(x[place != j], y[place != j], c)
+                p = x[place == j] @ beta[:-1] + beta[-1] > 0
+                hits = (p & (y[place == j] == 1)).sum()
+                scores.append(2 * hits / (2 * hits + (p != (y[place == j] == 1)).sum()) if hits else 0.0)
+            means.append(np.mean(scores))
+        best = grid[int(np.argmax(means))]
+        beta = fit(x, y, best)
+        mine = got[got.test_fold == k]
+        assert set(mine.best_c) == {best}
+        assert mine.predicted.tolist() == (test[["a", "b"]].to_numpy() @ beta[:-1] + beta[-1] > 0).astype(int).tolist()
+        assert np.allclose(np.abs(mine.coefs.dropna().iloc[0]), np.abs(beta[:-1]))
+
+
+def test_few_blocks_are_refused(spark):
+    df = spark.createDataFrame(learner_rows(n=230), "district string, time date, flood int, a double, b double")
+    blocked = B.event_blocks(df, None)
+    assert B.block_support(blocked).first().reason == "fewer blocks than folds"
+    assert L.district_logistic(blocked, ["a", "b"]).count() == 0
+
+
+def test_boosted_trees_by_hand():
+    x = np.array([[0.0], [1.0], [2.0], [3.0]])
+    y = np.array([0.0, 0.0, 1.0, 1.0])
+    # Balanced classes start at odds 0; the split at 1.5 has leaves -2 and +2.
+    assert np.allclose(L.boosted_scores(x, y, 1, 1, 0.1), [-0.2, -0.2, 0.2, 0.2])
+    p = 1 / (1 + np.exp(-0.2))
+    second = 0.2 + 0.1 * (1 - p) / (p * (1 - p))
+    assert np.allclose(L.boosted_scores(x, y, 2, 1, 0.1), [-second, -second, second, second])
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(300, 3))
+    target = ((z[:, 0] > 0.5) & (z[:, 1] < 0)).astype(float)
+    assert ((L.boosted_scores(z, target) > 0) == target).mean() > 0.98
+
+
+def test_district_boosted_predicts_every_day(spark):
+    df = spark.createDataFrame(learner_rows(), "district string, time date, flood int, a double, b double")
+    out = L.district_boosted(df, ["a", "b"], n_trees=20)
+    assert out.count() == 500 and S.daily_scores(out, ["district"]).first()["pod"] > 0.5

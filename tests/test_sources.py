@@ -4,9 +4,10 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from freshet import schemas
-from freshet.operators import panel as P, reshape as R
+from freshet.operators import compare as C, explore as E, panel as P, reshape as R
 from freshet.plans import catalog
 from freshet.sources import sinks, tables
 
@@ -140,3 +141,37 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir, capsys):
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(l_quantity,10.0)" in plan and "l_discount" not in plan
     assert "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "uga.csv").write_text("name,pcode,Impact_data,Glofas_st,Glofas_st2,Glofas_st3,Glofas_st4,Total_Glofas\nabim,UG314,1,G1,,,,1\n")
+    for schema in (schemas.LINK_UGA, schemas.LINK_KEN.split(", Total_Glofas")[0]):
+        row = tables.read_csv(spark, str(tmp_path / "uga.csv"), schema).first()
+        assert (row["name"], row["pcode"], row["Impact_data"], row["Glofas_st"], row["Glofas_st2"]) == ("abim", "UG314", 1, "G1", None)
+    with pytest.raises(ValueError, match="Day"):
+        tables.read_csv(spark, str(tmp_path / "uga.csv"), schemas.RAINFALL)
+
+
+def test_matrix_with_byte_order_mark(spark, tmp_path):
+    (tmp_path / "m.csv").write_bytes("﻿District,Abim,Agago\nAbim,,1\nAgago,1,\n".encode())
+    table = tables.read_matrix(spark, str(tmp_path / "m.csv"))
+    assert table.columns == ["District", "Abim", "Agago"]
+    assert {tuple(r) for r in table.collect()} == {("Abim", None, 1), ("Agago", 1, None)}
+
+
+def test_wide_stations_keep_or_refuse_every_station(spark):
+    rows = [("d", f"s{k}", dt.date(2000, 1, 1), float(k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "district string, station string, time date, dis double")
+    wide = R.stations_wide(df, {"dis": "dis_station"}).first()
+    assert [wide[f"dis_station{n}"] for n in range(1, 7)] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+    with pytest.raises(Exception, match="more than 4 stations in d"):
+        R.stations_wide(df, {"dis": "dis_station"}, 4).collect()
+
+
+def test_bins_and_years_lose_no_row(spark):
+    counts = spark.createDataFrame([(k, 0.5) for k in (0, 4, 54, 55, 900)] + [(None, 0.5)], "n int, f1 double")
+    binned = {r.interval: r.n_districts for r in C.score_bins(counts, "n", "f1").collect()}
+    assert sum(binned.values()) == 6 and binned["55+"] == 2 and binned["0-4"] == 3
+    events = spark.createDataFrame([(dt.date(y, 5, 1), 1) for y in (1992, 1995, 1995, 2030)], "time date, flood int")
+    years = {r.year: r.n for r in E.by_year(events, F.sum("flood"), "n", zero=True).collect()}
+    assert sum(years.values()) == 4 and min(years) == 1992 and max(years) == 2030

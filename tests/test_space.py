@@ -85,3 +85,41 @@ def test_zone_reduce_rejects_nothing_silently(spark):
     zones = spark.createDataFrame([(0.0, 0.0, "z"), (1.0, 0.0, "z")], "lat double, lon double, zone string")
     row = G.zone_period_reduce(cube, zones, F.lit(1), "mean", ["mean", "max", "sum"]).first()
     assert (row["mean"], row["max"], row["sum"]) == (6.0, 10.0, 12.0)
+
+
+def shifted(key, x, y, side=1.0):
+    return edges_of(key, [(x, y), (x + side, y), (x + side, y + side), (x, y + side)])
+
+
+def test_intersections_of_parts_and_of_touching_shapes(spark):
+    schema = "{} string, x1 double, y1 double, x2 double, y2 double"
+    zone = spark.createDataFrame(shifted("z", 0.0, 0.0, 4.0), schema.format("zone"))
+    shapes = (
+        shifted("second part inside", -9.0, -9.0) + shifted("second part inside", 1.0, 1.0) + shifted("same", 0.0, 0.0, 4.0)
+        + shifted("half over", 2.0, 0.0, 4.0) + shifted("shared side", 4.0, 0.0, 4.0) + shifted("corner", 4.0, 4.0)
+        + shifted("apart", 4.5, 0.0) + shifted("in line", 6.0, 0.0, 4.0)
+    )
+    basins = spark.createDataFrame(shapes, schema.format("basin"))
+    got = {r.basin for r in G.polygon_intersects(basins, "basin", zone, "zone", 1.5).collect()}
+    assert got == {"second part inside", "same", "half over", "shared side", "corner"}
+    parts = basins.withColumn("part", (F.col("x1") < -1).cast("int"))
+    again = G.polygon_intersects(parts, "basin", zone.withColumn("part", F.lit(0)), "zone", 1.5, "part").collect()
+    assert {r.basin for r in again} == got
+
+
+def test_catchments_follow_the_network(spark):
+    schema = "hybas_id long, x1 double, y1 double, x2 double, y2 double"
+    edges = [(k, *e[1:]) for k in range(1, 6) for e in shifted("", float(k - 1), 0.0)]
+    basins = spark.createDataFrame(
+        [(1, 0, 10, 0), (2, 1, 10, 0), (3, 2, 10, 0), (4, 3, 10, 1), (5, 4, 10, 0)], "hybas_id long, next_down long, up_area int, lake int"
+    )
+    zone = spark.createDataFrame(shifted("z", 0.2, 0.2, 0.3), "zone string, x1 double, y1 double, x2 double, y2 double")
+    out = G.catchments(basins, spark.createDataFrame(edges, schema), zone).collect()
+    assert {x for r in out for x in (r.x1, r.x2)} == {0.0, 1.0, 2.0, 3.0} and len(out) == 8
+
+
+def test_long_river_needs_few_rounds(spark):
+    chain = spark.createDataFrame([(k, k - 1, 1) for k in range(1, 301)], "hybas_id long, next_down long, up_area int")
+    seeds = spark.createDataFrame([("a", 5), ("b", 200)], "zone string, hybas_id long")
+    out = {(r.zone, r.hybas_id) for r in G.upstream_closure(chain, seeds).collect()}
+    assert out == {("a", k) for k in range(5, 301)} | {("b", k) for k in range(200, 301)}

@@ -87,3 +87,53 @@ def test_benchmark_and_forecast_find_the_signal(spark, panel, tmp_path):
     sinks.write_results(forecast, str(tmp_path / "scores"))
     back = tables.read_results(spark, str(tmp_path / "scores"), ["LR"], False)
     assert back.count() == 3 and back.where(F.col("window") == 5).count() == 3
+
+
+def late_panel(spark, second_from):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(N):
+        day = START + dt.timedelta(days=i)
+        for s in ("a", "b") if i >= second_from else ("a",):
+            rows.append(("d", s, day, float(rng.gamma(2, 3)), int(i % 75 == 40), "fall", *map(float, rng.random(5))))
+        rows.append(("e", "a", day, float(rng.gamma(2, 3)), int(i % 300 == 40), "fall", *map(float, rng.random(5))))
+    schema = "district string, station string, time date, dis double, flood int, season string, rainfall double, soil1 double, soil2 double, soil3 double, soil4 double"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_late_station_drops_days_and_absent_station_is_zero(spark):
+    out = workflows.district_features(late_panel(spark, 200), 5, 1, spline=False).toPandas()
+    first = out[out.district == "d"].time.min()
+    assert first >= START + dt.timedelta(days=200)
+    assert (out[out.district == "e"].dis_station2 == 0).all() and out[out.district == "e"].time.min() < first
+    raw = workflows.daily_features(late_panel(spark, 200), spline=False)
+    assert raw.where("district = 'd' and (dis_station1 is null or dis_station2 is null)").count() == 0
+
+
+def test_forecast_names_refused_districts(spark):
+    out = workflows.district_forecast(late_panel(spark, 0), [(7, 1)], spline=False).collect()
+    by = {r.district: r for r in out}
+    assert by["d"].reason == "ok" and by["d"].avg_f1 is not None
+    assert by["e"].reason == "fewer blocks than folds" and by["e"].avg_f1 is None
+
+
+def test_panel_forecast_scores_every_fold_and_district(spark, tmp_path):
+    panel = late_panel(spark, 0)
+    edges = spark.createDataFrame([("d", "e"), ("e", "d")], "district string, neighbour string")
+    vegetation = panel.where("dayofmonth(time) = 1").groupBy("district", "time").agg(F.max("soil1").alias("EVI_mean"))
+    static = spark.createDataFrame([("d", 0.1, 2.0), ("e", 0.4, 3.0)], "district string, occurrence double, mean double")
+    overall, per_district = workflows.panel_forecast(
+        panel, edges, vegetation, static, static, 7, 1, spline=False, seeds=(1, 2), max_iter=2
+    )
+    assert {r.test_fold for r in overall.collect()} == {1, 2, 3, 4, 5}
+    found = per_district.collect()
+    assert {r.district for r in found} == {"d", "e"} and {(r.model, r.window, r.n_ahead, r.wt) for r in found} == {("SEQ", 7, 1, False)}
+    sinks.write_results(per_district, str(tmp_path / "panel"))
+    assert tables.read_results(spark, str(tmp_path / "panel"), ["SEQ"], False).count() == 2
+
+
+def test_best_station_follows_ranks_or_the_maximum(spark):
+    frame = spark.createDataFrame([("d", 1.0, 5.0), ("e", 2.0, 7.0)], "district string, dis_station1 double, dis_station2 double")
+    ranks = spark.createDataFrame([("d", "dis_station1", 3.0), ("d", "dis_station2", 9.0), ("d", "rainfall", 1.0)], "district string, var string, rank_sum double")
+    out = {r.district: r.best_dis for r in workflows.best_station_columns(frame, ranks, ["dis_station1", "dis_station2"]).collect()}
+    assert out == {"d": 1.0, "e": 7.0}
