@@ -174,7 +174,7 @@ def active_districts(spark, d):
 @query("station_pivot", "v_series", """
 SELECT district, time,
   MAX(dis) FILTER (WHERE n = 1) AS dis_station1, MAX(dis) FILTER (WHERE n = 2) AS dis_station2,
-  MAX(dis) FILTER (WHERE n = 3) AS dis_station3, MAX(dis) FILTER (WHERE n = 4) AS dis_station4
+  MAX(dis) FILTER (WHERE n = 3) AS dis_station3
 FROM (SELECT *, DENSE_RANK() OVER (PARTITION BY district ORDER BY station) AS n FROM v_series) GROUP BY 1, 2""")
 def station_pivot(spark, d):
     return R.stations_wide(V.v_series(spark, d), {"dis": "dis_station"})
