@@ -69,26 +69,28 @@ def bags(texts: pa.Array) -> Bags:
     return Bags(found.codes, found.names, np.cumsum(new) - 1, docs, at, to, len(bounds) - 1)
 
 
-def word_features(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word and of its byte runs, and the word that each bucket belongs to."""
-    raw = np.frombuffer(b"\0" + b"\0".join(names), np.uint8)
-    lengths = np.fromiter(map(len, names), np.int64, len(names)) + 1
-    owner = np.repeat(np.arange(len(names)), lengths)
-    left = np.cumsum(lengths)[owner] - np.arange(len(owner))  # bytes to the end of the word
+def feature_runs(names: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, words that have them): first whole words, then the byte runs of each length."""
     whole = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
-    buckets, owners = [whole & np.uint64(BUCKETS - 1)], [np.arange(len(names))]
+    yield (whole & np.uint64(BUCKETS - 1)).astype(np.int32), np.arange(len(names), dtype=np.int32)
+    raw = np.frombuffer(b"\0" + b"\0".join(names), np.uint8)
+    lengths = np.fromiter(map(len, names), np.int32, len(names)) + 1
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), lengths)
+    left = np.cumsum(lengths, dtype=np.int32)[owner] - np.arange(len(owner), dtype=np.int32)  # bytes to the end of the word
     rolled = np.zeros(len(raw), np.uint64)
     for k in range(max(RUNS)):
         rolled = rolled[:len(raw) - k]
-        if not len(rolled):
-            break
         with np.errstate(over="ignore"):
             rolled = rolled * np.uint64(0x100000001B3) + raw[k:] + np.uint64(1)
         if k + 1 in RUNS:
             inside = np.flatnonzero(left[:len(rolled)] > k)
-            buckets.append(mix(rolled[inside]) & np.uint64(BUCKETS - 1))
-            owners.append(owner[inside])
-    return np.concatenate(buckets).astype(np.int32), np.concatenate(owners).astype(np.int32)
+            yield (mix(rolled[inside]) & np.uint64(BUCKETS - 1)).astype(np.int32), owner[inside]
+
+
+def word_features(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of each word, and the word that each bucket belongs to."""
+    buckets, owners = zip(*feature_runs(names), strict=True)
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
@@ -99,8 +101,9 @@ class Model:
     def sentence_logits(self, b: Bags) -> np.ndarray:
         if not len(b.names):
             return np.full(len(b.doc), self.bias)
-        buckets, owners = word_features(b.names)
-        worth = np.bincount(owners, self.weights[buckets], len(b.names))
+        worth = np.zeros(len(b.names))
+        for buckets, owners in feature_runs(b.names):
+            worth += np.bincount(owners, self.weights[buckets], len(b.names))
         return self.bias + np.bincount(b.sentence, worth[b.codes], len(b.doc))
 
     def scores(self, b: Bags) -> np.ndarray:
@@ -122,13 +125,17 @@ def fit(
     owner = b.doc[b.sentence].astype(np.int64)
     pairs = np.unique(owner * len(b.names) + b.codes)
     word, truth = pairs % len(b.names), labels[pairs // len(b.names)].astype(float)
-    buckets, owners = word_features(b.names)
-    n_docs = np.bincount(buckets, np.bincount(word, minlength=len(b.names))[owners], BUCKETS)
-    n_toxic = np.bincount(buckets, np.bincount(word, truth, len(b.names))[owners], BUCKETS)
+    docs_of, toxic_of = np.bincount(word, minlength=len(b.names)), np.bincount(word, truth, len(b.names))
     base = truth.mean()
+    del pairs, word, truth, owner
+    n_docs, n_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for buckets, owners in feature_runs(b.names):
+        n_docs += np.bincount(buckets, docs_of[owners], BUCKETS)
+        n_toxic += np.bincount(buckets, toxic_of[owners], BUCKETS)
     excess = (n_toxic - n_docs * base) / np.sqrt(np.maximum(n_docs, 1) * base * (1 - base) + 1e-12)
     usable = (excess >= significant) & (n_docs >= least_docs)
-    buckets, owners = buckets[usable[buckets]], owners[usable[buckets]]
+    kept = [(f[usable[f]], w[usable[f]]) for f, w in feature_runs(b.names)]
+    buckets, owners = (np.concatenate(x) for x in zip(*kept, strict=True))
     sentences = np.bincount(b.doc, minlength=b.n_docs)
     bias = float(np.log(share / max(1.0, float(sentences.mean()))))
     w, y = np.zeros(BUCKETS), labels.astype(bool)
