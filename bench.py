@@ -19,7 +19,7 @@ HEADLINE = [
     "lagged_forecast_w3_a3", "resample_w5", "robust_scale_panel", "sweep_scores", "quantile_threshold_best",
     "threshold_fit", "threshold_cv", "event_scores", "event_blocks_trimmed", "flood_count_folds", "sign_test",
     "neighbour_max", "nearest_cell_series", "zonal_stats", "basin_intersects", "upstream_closure",
-    "interpolate_linear", "interpolate_spline", "wavelet_swt", "spectrum",
+    "interpolate_linear", "interpolate_spline", "wavelet_swt", "spectrum", "lr_district_cv", "svc_linear",
 ]
 RUNS = 3
 

@@ -80,15 +80,43 @@ def cubic_through(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     )
 
 
+def _quadratic_basis(knots: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values at `at` of the quadratic B-splines over the knots, one column each."""
+    last = np.flatnonzero(knots < knots[-1])[-1]
+    cell = np.clip(np.searchsorted(knots, at, side="right") - 1, 2, last)
+    values = np.zeros((len(at), len(knots) - 1))
+    values[np.arange(len(at)), cell] = 1.0
+    for degree in (1, 2):
+        n = len(knots) - 1 - degree
+        rise, fall = knots[degree:degree + n] - knots[:n], knots[degree + 1:degree + 1 + n] - knots[1:n + 1]
+        up = np.divide(at[:, None] - knots[:n], rise, out=np.zeros((len(at), n)), where=rise > 0)
+        down = np.divide(knots[degree + 1:degree + 1 + n] - at[:, None], fall, out=np.zeros((len(at), n)), where=fall > 0)
+        values = up * values[:, :n] + down * values[:, 1:n + 1]
+    return values
+
+
+def quadratic_through(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Spline of order two through the known points, knots midway between them; needs three points, else NaN.
+
+    The first and the last gap between points belong to the piece beside them, so there are
+    as many pieces as the points determine.
+    """
+    if len(x) < 3:
+        return np.full(len(at), np.nan)
+    inner = (x[1:-2] + x[2:-1]) / 2
+    knots = np.concatenate([np.repeat(x[0], 3), inner, np.repeat(x[-1], 3)])
+    return _quadratic_basis(knots, at) @ np.linalg.solve(_quadratic_basis(knots, x), y)
+
+
 def interpolate_spline(
-    df: DataFrame, keys: list[str], columns: list[str], time: str = "time", backfill: bool = False
+    df: DataFrame, keys: list[str], columns: list[str], time: str = "time", backfill: bool = False, order: int = 3
 ) -> DataFrame:
-    """Cubic-spline interpolation per series; leading nulls stay unless `backfill`.
+    """Spline interpolation of order 3 or 2 per series; leading nulls stay unless `backfill`.
 
     A spline couples all points of a series, so each series is one group; a daily series
     is bounded by the calendar. Series are independent and run in parallel.
     """
-    order = df.columns
+    names, through = df.columns, {2: quadratic_through, 3: cubic_through}[order]
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
@@ -103,10 +131,10 @@ def interpolate_spline(
                 missing &= day > day[known][0]
             filled = values.copy()
             inner = missing & (day > day[known][0])
-            filled[inner] = cubic_through(day[known], values[known], day[inner])
+            filled[inner] = through(day[known], values[known], day[inner])
             filled[missing & ~inner] = values[known][0]
             pdf[c] = filled
-        return pdf[order]
+        return pdf[names]
 
     return df.groupBy(*keys).applyInPandas(fill, df.schema)
 

@@ -95,11 +95,14 @@ def best_by(
 ) -> DataFrame:
     """The row with the best score per key; ties go to the smallest tie columns, NULLs last.
 
+    Where every score of a key is NULL, the most hits decide if the table has them.
+
     A struct minimum, so it combines partially and a hot key never needs a sort.
     """
     rank = -F.col(score) if highest else F.col(score)
     rest = [c for c in scores.columns if c not in {*keys, *ties}]
-    order = F.struct(rank.isNull().alias("_null"), rank.alias("_rank"), *ties)
+    instead = [F.when(rank.isNull(), -F.col("hits")).alias("_hits")] if "hits" in rest else []
+    order = F.struct(rank.isNull().alias("_null"), rank.alias("_rank"), *instead, *ties)
     picked = scores.groupBy(*keys).agg(F.min_by(F.struct(*ties, *rest), order).alias("_best"))
     return picked.select(*keys, "_best.*")
 

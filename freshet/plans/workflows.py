@@ -169,7 +169,10 @@ def panel_forecast(
     around = {c: f"max14_{c}" for c in stations} | {"flood": "flood14"}
     recent = trailing_max(daily, ["district"], "time", around)
     with_static = attach_static(attach_vegetation(recent, [vegetation]), water, slope)
-    with_static = interpolate_linear(with_static, ["district"], ["EVI_mean"], backfill=True)
+    if spline:  # vegetation is sparse in time: a spline of order two
+        with_static = interpolate_spline(with_static, ["district"], ["EVI_mean"], backfill=True, order=2)
+    else:
+        with_static = interpolate_linear(with_static, ["district"], ["EVI_mean"], backfill=True)
     daily = cut_lineage(with_static.na.drop(subset=["flood14"]))
     static = ["EVI_mean", "perc_water", "avg_slope"]
     frame = interval_features(daily, window, n_ahead, wavelet, [*static, *around.values()], ["flood14"])
