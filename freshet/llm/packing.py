@@ -137,9 +137,10 @@ def pack(
 
     `columns` also break ties between pieces of one length.
     """
-    cut = pieces(docs, length, max(capacities), columns)
+    # The pieces are read three times: once written without their texts, they are small.
+    cut = cut_lineage(pieces(docs, length, max(capacities), columns))
     # At most one row per length up to the largest capacity.
-    counts = cut_lineage(cut.groupBy("length").agg(F.count(F.lit(1)).alias("rows")))
+    counts = cut.groupBy("length").agg(F.count(F.lit(1)).alias("rows"))
     histogram = {r["length"]: r["rows"] for r in counts.collect()}
     runs, bins = plan(histogram, capacities, overhead)
     spark = docs.sparkSession
