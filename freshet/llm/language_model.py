@@ -21,7 +21,7 @@ word; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.arrow_text import lower_table, mix, words
-from freshet.session import cut_lineage
 
 #: Bytes of text in a chunk, on average.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 #: Added to each count of a single word.
 ADDED = 0.1
 #: Hashes of the start and the end; no word contains white space.
@@ -141,7 +140,9 @@ def requests(table: pa.Table, buckets: int, hot: np.ndarray) -> pa.Table:
     return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
 
-ANSWER = "chunk int, bucket int, counts binary, followers binary, id_counts binary, hot_counts binary, n long, v long, hot_followers array<long>"
+ANSWER = "chunk int, bucket int, counts binary, followers binary, id_counts binary, hot_counts binary"
+#: Bucket number of the row with the sums over all buckets.
+ALL = -1
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,41 +153,53 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, place, total
 
 
-def answers(table: pa.Table, n_hot: int) -> pa.Table:
-    """Totals of a bucket for each chunk that asked, in the order of its request, and one row of sums (chunk -1)."""
-    asked = table.to_pylist()
-    parts = {name: [] for name in ("words", "counts", "histories", "ids", "id_counts", "hot", "hot_ids", "hot_counts")}
-    for row in asked:
-        w = from_rising(row["words"])
-        parts["words"].append(w)
-        parts["counts"].append(from_planes(row["counts"]))
-        parts["histories"].append(np.repeat(w, from_planes(row["followers"]).astype(np.int64)))
-        parts["ids"].append(from_follower_bytes(row["ids"]))
-        parts["id_counts"].append(from_planes(row["id_counts"]))
-        parts["hot"].append(from_planes(row["hot"]))
-        parts["hot_ids"].append(from_follower_bytes(row["hot_ids"]))
-        parts["hot_counts"].append(from_planes(row["hot_counts"]))
-    joined = {name: np.concatenate(x) for name, x in parts.items()}
-    vocabulary, place, counts = _summed(joined["words"], joined["counts"])
-    pairs, at, pair_counts = _summed(mix(joined["histories"] * _ODD + joined["ids"]), joined["id_counts"])
-    # Of each distinct bigram one history; those seen in training count as followers.
-    owner = np.zeros(len(pairs), np.uint64)
-    owner[at] = joined["histories"]
-    followers = np.bincount(np.searchsorted(vocabulary, owner[pair_counts > 0]), minlength=len(vocabulary))
-    hot_pairs, hot_at, hot_counts = _summed(mix((joined["hot"] + np.uint64(1)) * _ODD + joined["hot_ids"]), joined["hot_counts"])
-    hot_owner = np.zeros(len(hot_pairs), np.int64)
-    hot_owner[hot_at] = joined["hot"].astype(np.int64)
-    token = vocabulary != START
-    rows = [(-1, -1, b"", b"", b"", b"", int(counts[token].sum()), int(((counts > 0) & token).sum()), np.bincount(hot_owner[hot_counts > 0], minlength=n_hot).tolist())]
-    w = b = h = 0
-    for k, row in enumerate(asked):
-        nw, nb, nh = len(parts["words"][k]), len(parts["ids"][k]), len(parts["hot"][k])
-        mine = place[w:w + nw]
+class Bucket:
+    """Requests of all chunks to one bucket, added up."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.asked = table.select(["chunk", "bucket"]).to_pylist()
+
+        def each(name: str, decode: Callable[[bytes], np.ndarray]) -> list[np.ndarray]:
+            return [decode(x) for x in table.column(name).to_pylist()]
+
+        words, followers = each("words", from_rising), each("followers", from_planes)
+        ids, hot = each("ids", from_follower_bytes), each("hot", from_planes)
+        self.sizes = [(len(w), len(b), len(h)) for w, b, h in zip(words, ids, hot, strict=True)]
+        histories = np.concatenate([np.repeat(w, f.astype(np.int64)) for w, f in zip(words, followers, strict=True)])
+        self.vocabulary, self.place, self.counts = _summed(np.concatenate(words), np.concatenate(each("counts", from_planes)))
+        pairs, self.at, self.pair_counts = _summed(mix(histories * _ODD + np.concatenate(ids)), np.concatenate(each("id_counts", from_planes)))
+        # Of each distinct bigram one history; those seen in training count as followers.
+        owner = np.zeros(len(pairs), np.uint64)
+        owner[self.at] = histories
+        self.followers = np.bincount(np.searchsorted(self.vocabulary, owner[self.pair_counts > 0]), minlength=len(self.vocabulary))
+        hot = np.concatenate(hot)
+        hot_pairs, self.hot_at, self.hot_counts = _summed(
+            mix((hot + np.uint64(1)) * _ODD + np.concatenate(each("hot_ids", from_follower_bytes))), np.concatenate(each("hot_counts", from_planes))
+        )
+        self.hot_owner = np.zeros(len(hot_pairs), np.int64)
+        self.hot_owner[self.hot_at] = hot.astype(np.int64)
+
+
+def bucket_sums(table: pa.Table, n_hot: int) -> pa.Table:
+    """Training tokens, distinct words, and followers of each hot word in one bucket."""
+    found = Bucket(table)
+    token = found.vocabulary != START
+    hot = np.bincount(found.hot_owner[found.hot_counts > 0], minlength=n_hot)
+    return pa.table({"sums": pa.array([[int(found.counts[token].sum()), int(((found.counts > 0) & token).sum()), *hot.tolist()]], pa.list_(pa.int64()))})
+
+
+def answers(table: pa.Table) -> pa.Table:
+    """Totals of a bucket for each chunk that asked, in the order of its request."""
+    found = Bucket(table)
+    rows, w, b, h = [], 0, 0, 0
+    for row, (nw, nb, nh) in zip(found.asked, found.sizes, strict=True):
+        mine = found.place[w:w + nw]
         rows.append((
-            row["chunk"], row["bucket"], planes(counts[mine]), planes(followers[mine]), planes(pair_counts[at[b:b + nb]]), planes(hot_counts[hot_at[h:h + nh]]), 0, 0, None,
+            row["chunk"], row["bucket"], planes(found.counts[mine]), planes(found.followers[mine]),
+            planes(found.pair_counts[found.at[b:b + nb]]), planes(found.hot_counts[found.hot_at[h:h + nh]]),
         ))
         w, b, h = w + nw, b + nb, h + nh
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     names = [f.strip().split(" ")[0] for f in ANSWER.split(",")]
     return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
@@ -230,14 +243,20 @@ class Automaton:
         return out
 
 
-def scored(docs: pa.Table, told: pa.Table, buckets: int, hot: np.ndarray, hot_followers: np.ndarray, n: int, v: int) -> pa.Table:
+def scored(docs: pa.Table, told: pa.Table, buckets: int, hot: np.ndarray) -> pa.Table:
     """Scores of the texts of a chunk from the totals that the buckets sent."""
+    names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    if not docs.num_rows:
+        kinds = [docs.column("key").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
+        return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
     held = docs.column("held").to_numpy()
     chunk = Chunk(docs.column("text").combine_chunks(), held)
     size = len(chunk.vocabulary)
     counts, followers = np.zeros(size), np.zeros(size)
     pairs = np.zeros(len(chunk.bigrams))
     by_bucket = {row["bucket"]: row for row in told.to_pylist()}
+    n, v, *hot_followers = from_planes(by_bucket[ALL]["counts"]).astype(np.int64).tolist()
+    hot_followers = np.array(hot_followers, float)
     for k, w, b, h in chunk.dealt(buckets, hot):
         row = by_bucket[k]
         counts[w], followers[w] = from_planes(row["counts"]), from_planes(row["followers"])
@@ -258,11 +277,20 @@ def scored(docs: pa.Table, told: pa.Table, buckets: int, hot: np.ndarray, hot_fo
     base = np.concatenate([[0.0], np.cumsum(automaton.words[chunk.targets])])
     known = np.concatenate([[0], np.cumsum(token_counts[chunk.targets] > 0)])
     low, high = chunk.bounds[:-1], chunk.bounds[1:]
-    return pa.table({
-        "key": docs.column("key"), "held_out": docs.column("held"), "n_tokens": pa.array(high - low, pa.int64()),
-        "n_known": pa.array(known[high] - known[low], pa.int64()), "train_tokens": pa.array(np.full(len(low), n), pa.int64()),
-        "base_score": pa.array(base[high] - base[low]), "score": pa.array(automaton.walk(chunk.targets, chunk.bounds, chunk.start)),
-    })
+    columns = [
+        docs.column("key"), docs.column("held"), pa.array(high - low, pa.int64()), pa.array(known[high] - known[low], pa.int64()),
+        pa.array(np.full(len(low), n), pa.int64()), pa.array(base[high] - base[low]),
+        pa.array(automaton.walk(chunk.targets, chunk.bounds, chunk.start)),
+    ]
+    return pa.table(dict(zip(names, columns, strict=True)))
+
+
+def _planes_column(name: str) -> Column:
+    """`planes` of an array of integers: byte 0 of each, then byte 1, and so on."""
+    def plane(k: int) -> Column:
+        return F.transform(F.col(name), lambda x: F.lpad(F.hex(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255).cast("long"))), 2, "0"))
+
+    return F.unhex(F.concat(*(F.array_join(plane(k), "") for k in range(8))))
 
 
 def hot_words(docs: DataFrame, text: str, share: float) -> np.ndarray:
@@ -293,16 +321,20 @@ def score_texts(
     dealt = slim.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)).cast("int"))
     kind = slim.schema["key"].dataType.simpleString()
 
-    asked = dealt.groupBy("chunk").applyInArrow(lambda t: requests(t, buckets, hot), REQUEST)
-    told = cut_lineage(asked.groupBy("bucket").applyInArrow(lambda t: answers(t, len(hot)), ANSWER))
-    sums = told.where("chunk < 0")
-    n, v = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    hot_followers = np.zeros(len(hot))
-    for row in sums.select(F.posexplode("hot_followers").alias("k", "t")).groupBy("k").agg(F.sum("t").alias("t")).collect():
-        hot_followers[row["k"]] = row["t"]
+    # One plan without a stop: the exchanges of texts and of requests are each read twice.
+    asked = dealt.groupBy("chunk").applyInArrow(lambda t: requests(t, buckets, hot), REQUEST).groupBy("bucket")
+    told = asked.applyInArrow(answers, ANSWER)
+    sums = asked.applyInArrow(lambda t: bucket_sums(t, len(hot)), "sums array<long>")
+    added = sums.select(F.posexplode("sums").alias("k", "s")).groupBy("k").agg(F.sum("s").alias("s"))
+    whole = added.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("sums"))
+    everywhere = whole.select("sums", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    empty = F.lit(None).cast("binary")
+    for_all = everywhere.select(
+        "chunk", F.lit(ALL).alias("bucket"), _planes_column("sums").alias("counts"), *(empty.alias(c) for c in ("followers", "id_counts", "hot_counts"))
+    )
+    per_chunk = told.unionByName(for_all)
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    per_chunk = told.where("chunk >= 0").select("chunk", "bucket", "counts", "followers", "id_counts", "hot_counts")
     found = dealt.groupBy("chunk").cogroup(per_chunk.groupBy("chunk")).applyInArrow(
-        lambda d, t: scored(d, t, buckets, hot, hot_followers, n, v), schema
+        lambda d, t: scored(d, t, buckets, hot), schema
     )
     return found.withColumnRenamed("key", key)
