@@ -131,7 +131,8 @@ def panel_forecast(spark, d):
         F.col("r_name").alias("district")
     ).agg(F.avg("s_acctbal").alias("occurrence"), F.max("s_acctbal").alias("mean"))
     w = Window.orderBy("district")
-    edges = regions.select("district", F.explode(F.array(F.lag("district").over(w), F.lead("district").over(w))).alias("neighbour"))
+    beside = regions.select("district", F.array(F.lag("district").over(w), F.lead("district").over(w)).alias("_b"))
+    edges = beside.select("district", F.explode("_b").alias("neighbour"))
     _, per_district = workflows.panel_forecast(
         forecast_panel(spark, d), edges.where(F.col("neighbour").isNotNull()),
         rain.select("district", "time", F.col("soil1").alias("EVI_mean")), regions, regions, 7, 1,

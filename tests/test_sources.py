@@ -144,7 +144,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir, capsys):
 
 
 def test_csv_columns_are_found_by_name(spark, tmp_path):
-    (tmp_path / "uga.csv").write_text("name,pcode,Impact_data,Glofas_st,Glofas_st2,Glofas_st3,Glofas_st4,Total_Glofas\nabim,UG314,1,G1,,,,1\n")
+    (tmp_path / "uga.csv").write_text("name,pcode,Impact_data,Glofas_st,Glofas_st2,Glofas_st3,Glofas_st4,Total_Glofas,mountainuous,close_to_lake,Affected_noGlofas\nabim,UG314,1,G1,,,,1,0,,0\n")
     for schema in (schemas.LINK_UGA, schemas.LINK_KEN.split(", Total_Glofas")[0]):
         row = tables.read_csv(spark, str(tmp_path / "uga.csv"), schema).first()
         assert (row["name"], row["pcode"], row["Impact_data"], row["Glofas_st"], row["Glofas_st2"]) == ("abim", "UG314", 1, "G1", None)
