@@ -5,13 +5,12 @@ and markup dropped, everything but letters and digits turned into single blanks.
 that form is joined to the digests of known texts. Whole documents are looked up, and every line
 of a document, so that notices inside other text are found as well.
 
-All of it is DataFrame functions. Only digests move: the table of known texts is aggregated to one
-row per digest and left to Spark's size checks, and the document side is reduced to distinct digests
-before the join, so a text or line that a third of all rows share is looked up once.
+All of it is DataFrame functions. Texts are read once and only digests are written and joined; the
+table of known texts is aggregated to one row per digest and left to Spark's size checks.
 
 Defined cases: null counts as empty; a text or line that is empty in canonical form matches nothing;
 repeated rows get a result each; of several licences with one canonical text the first by name is
-reported; empty tables give no rows or no matches; further columns are kept.
+reported; empty tables give no rows or no matches; further columns are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.session import cut_lineage
+
 #: Spellings held to be equal, as (pattern, replacement) on lower-case words.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"),
@@ -78,21 +79,34 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 #: Lines that name a holder of rights differ from copy to copy.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
-BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII other than letters, digits and the line feed.
+BETWEEN_WORDS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def spelled(form: Column) -> Column:
+    """Equivalent spellings made one. Words stand between two blanks each, so neighbours share none."""
+    for old, new in SPELLINGS:
+        form = F.replace(form, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} ".replace(" ", "  ")[1:-1]))
+    return form
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; empty for null.
+def canonical_lines(text: Column) -> Column:
+    """The text with each line in canonical form, words between blanks, line feeds kept; null is empty.
 
-    Only A-Z are lower-cased, and all ASCII but letters and digits separates words, so that the
-    form is the same in every engine.
+    All ASCII but letters and digits separates words.
     """
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.regexp_replace(F.regexp_replace(lowered, COPYRIGHT_LINE, "\n"), BETWEEN_WORDS, " ")
-    out = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
-    for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    words = F.regexp_replace(F.regexp_replace(lowered, COPYRIGHT_LINE, "\n"), BETWEEN_WORDS, "  ")
+    return spelled(F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" ")))
+
+
+def plain(form: Column) -> Column:
+    return F.trim(F.replace(form, F.lit("  "), F.lit(" ")))
+
+
+def whole_form(lines: Column) -> Column:
+    """Canonical form of a whole text from `canonical_lines`: its words in one line."""
+    return plain(spelled(F.regexp_replace(lines, r"[ \n]+", "  ")))
 
 
 def digest(form: Column) -> Column:
@@ -101,31 +115,37 @@ def digest(form: Column) -> Column:
 
 def known_digests(known: DataFrame) -> DataFrame:
     """One row per canonical text: (_digest, _license)."""
-    listed = known.select(digest(canonical(F.col("text"))).alias("_digest"), "license").where("_digest is not null")
+    forms = known.select("license", whole_form(canonical_lines(F.col("text"))).alias("_form"))
+    listed = forms.select(digest(F.col("_form")).alias("_digest"), "license").where("_digest is not null")
     return listed.groupBy("_digest").agg(F.min("license").alias("_license"))
 
 
-def whole_texts(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `license_digest` and `license`, the known licence that the entire text is, or null."""
-    plain = docs.withColumn("license_digest", digest(canonical(docs[text])))
-    listed = known_digests(known)
-    return plain.join(listed, plain["license_digest"] == listed["_digest"], "left").withColumnRenamed("_license", "license").drop("_digest")
+def text_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, license_digest, line_digests): of the whole text, and of each of its lines as 32 bytes.
 
-
-def notices(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, license) for each licence that a single line of a document announces, once each."""
-    lines = docs.select(F.col(key).alias("_key"), F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
-    found = lines.select("_key", digest(canonical(F.col("_line"))).alias("_of")).where("_of is not null")
-    listed = known_digests(known)
-    return found.join(listed, found["_of"] == listed["_digest"]).select(F.col("_key").alias(key), F.col("_license").alias("license")).distinct()
+    The texts are read and brought to their form once; what is written are digests.
+    """
+    lined = docs.select(F.col(key).alias("_key"), canonical_lines(F.col(text)).alias("_lines"))
+    formed = lined.select(
+        "_key", whole_form(F.col("_lines")).alias("_whole"),
+        F.array_distinct(F.filter(F.transform(F.split("_lines", "\n", -1), plain), lambda x: x != "")).alias("_each"),
+    )
+    return cut_lineage(formed.select(
+        F.col("_key").alias(key), digest(F.col("_whole")).alias("license_digest"),
+        F.transform("_each", lambda x: F.unhex(F.sha2(x, 256))).alias("line_digests"),
+    ))
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, license_digest, license, notices (sorted names, comma-joined).
+    """One row per document: key, license_digest, license (that the entire text is, or null), notices.
 
-    Rows that share a key share their notices.
+    `notices` names the licences that single lines announce, sorted and comma-joined. Rows that
+    share a key share their notices.
     """
-    whole = whole_texts(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), known, "_text").drop("_text")
-    by_key = notices(docs, known, key, text).groupBy(F.col(key).alias("_of")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    joined = whole.join(by_key, whole["_key"].eqNullSafe(by_key["_of"]), "left")
-    return joined.select(F.col("_key").alias(key), "license_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    looked, listed = text_digests(docs, key, text), known_digests(known)
+    lines = looked.select(F.col(key).alias("_of"), F.explode("line_digests").alias("_line"))
+    announced = lines.join(listed, lines["_line"] == F.unhex(listed["_digest"])).select("_of", "_license").distinct()
+    by_key = announced.groupBy("_of").agg(F.array_join(F.array_sort(F.collect_set("_license")), ",").alias("notices"))
+    whole = looked.drop("line_digests").join(listed, looked["license_digest"] == listed["_digest"], "left")
+    joined = whole.join(by_key, whole[key].eqNullSafe(by_key["_of"]), "left")
+    return joined.select(key, "license_digest", F.col("_license").alias("license"), F.coalesce("notices", F.lit("")).alias("notices"))

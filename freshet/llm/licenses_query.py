@@ -12,28 +12,40 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical_sql(text: str) -> str:
-    lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    bare = f"regexp_replace({lowered}, {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
-    out = f"' ' || trim(regexp_replace({bare}, {_quoted(BETWEEN_WORDS)}, ' ', 'g')) || ' '"
+def _spelled_sql(form: str) -> str:
     for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+        padded = [" " + w.replace(" ", "  ") + " " for w in (old, new)]
+        form = f"replace({form}, '{padded[0]}', '{padded[1]}')"
+    return form
+
+
+def _lines_sql(text: str) -> str:
+    bare = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    words = f"regexp_replace({bare}, {_quoted(BETWEEN_WORDS)}, '  ', 'g')"
+    return _spelled_sql(f"(' ' || replace({words}, chr(10), ' ' || chr(10) || ' ') || ' ')")
+
+
+def _plain_sql(form: str) -> str:
+    return f"trim(replace({form}, '  ', ' '))"
+
+
+def _whole_sql(text: str) -> str:
+    return _plain_sql(_spelled_sql(f"regexp_replace({_lines_sql(text)}, '[ \\n]+', '  ', 'g')"))
 
 
 SQL = f"""
 WITH known AS (
   SELECT sha256(form) AS digest, min(license) AS license
-  FROM (SELECT license, {_canonical_sql("text")} AS form
+  FROM (SELECT license, {_whole_sql("text")} AS form
         FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, _, t in KNOWN)}) v(license, text))
   WHERE form <> '' GROUP BY 1),
 whole AS (
   SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS license_digest
-  FROM (SELECT doc_id, {_canonical_sql("text")} AS form FROM documents)),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+  FROM (SELECT doc_id, {_whole_sql("text")} AS form FROM documents)),
+lines AS (SELECT doc_id, unnest(string_split({_lines_sql("text")}, chr(10))) AS line FROM documents),
 found AS (
   SELECT DISTINCT l.doc_id, k.license
-  FROM (SELECT doc_id, {_canonical_sql("line")} AS form FROM lines) l JOIN known k ON l.form <> '' AND sha256(l.form) = k.digest),
+  FROM (SELECT doc_id, {_plain_sql("line")} AS form FROM lines) l JOIN known k ON l.form <> '' AND sha256(l.form) = k.digest),
 notices AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM found GROUP BY doc_id)
 SELECT w.doc_id, w.license_digest, k.license, coalesce(n.notices, '') AS notices
 FROM whole w LEFT JOIN known k ON w.license_digest = k.digest LEFT JOIN notices n ON w.doc_id = n.doc_id
