@@ -5,10 +5,13 @@ they block are distrusted ones. Trust spreads along host edges by personalised P
 spreads against them, since who links to a blocked host is suspect. A host whose share of trust
 falls below a threshold is blocked, and so are its pages that no rule judges.
 
-Host edges are the absolute links in the pages; besides, a host and the host left after its first
-label (as in m.example.org and example.org) vouch for each other if both have pages. Edges of
-equal ends are summed first, so a hot host is one row per neighbour. Each round is one join and
-one partial aggregate; lineage is cut into the checkpoint folder every few rounds.
+Host edges are the links in the pages that name a host, quoted or not, with a scheme or with `//`
+alone; besides, a host and the host left after its first label (as in m.example.org and
+example.org) vouch for each other. With `domains` this goes on label by label down to two labels,
+and domains without pages of their own are nodes as well, so hosts of one domain reach each other;
+without it both hosts need pages. Edges of equal ends are summed first, so a hot host is one row
+per neighbour. Each round is one join and one partial aggregate; lineage is cut into the checkpoint
+folder every few rounds.
 
 Defined cases: a url that is null or has no `://` has an empty host and path, fits no rule and is
 allowed; null html has no links; repeated pages count repeatedly; a host without any mass is
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from freshet.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Target of an absolute link in quotes.
-LINK = r"""(?i)href\s*=\s*["']([a-z][a-z0-9+.-]*://[^"'<>\s]+)["']"""
+#: Target of a link that names a host, with or without quotes and scheme.
+LINK = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'<>\s]+)"""
+#: Longest name of a host; longer ones and numeric addresses have no domain.
+HOST_CHARS = 253
 
 
 @dataclass(frozen=True)
@@ -58,13 +63,32 @@ def match_rules(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
-def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst, weight): links between different hosts, and kinship of hosts with pages."""
+def domain_chains(hosts: DataFrame) -> DataFrame:
+    """(src, dst): each of `hosts` (src) and its parents down to two labels, with the parent of each; distinct.
+
+    One row per label of a host, which its name bounds. Siblings share the rows of their domain.
+    """
+    named = hosts.where((F.length("src") <= HOST_CHARS) & ~F.col("src").rlike(r"\.[0-9]+(:[0-9]*)?$"))
+    labels = named.select(F.split("src", r"\.").alias("_l")).where(F.size("_l") > 2)
+    at = labels.select("_l", F.explode(F.sequence(F.lit(1), F.size("_l") - 2)).alias("_k"))
+
+    def rest(first: Column) -> Column:
+        return F.array_join(F.slice("_l", first, F.size("_l")), ".")
+
+    return at.select(rest(F.col("_k")).alias("src"), rest(F.col("_k") + 1).alias("dst")).distinct()
+
+
+def host_edges(pages: DataFrame, url: str = "url", html: str = "html", domains: bool = False) -> DataFrame:
+    """(src, dst, weight): links between different hosts, and kinship of hosts with pages or with `domains`."""
     linked = pages.select(url_host(F.col(url)).alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(LINK), 1)).alias("_to"))
-    links = linked.select("src", url_host(F.col("_to")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    to = F.when(F.col("_to").startswith("//"), F.concat(F.lit("http:"), "_to")).otherwise(F.col("_to"))
+    links = linked.select("src", url_host(to).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     hosts = pages.select(url_host(F.col(url)).alias("src")).where("src <> ''").distinct()
-    parents = hosts.select("src", F.regexp_replace("src", r"^[^.]*\.", "").alias("dst")).where("src <> dst")
-    known = parents.join(hosts.select(F.col("src").alias("dst")), "dst", "left_semi")
+    if domains:
+        known = domain_chains(hosts)
+    else:
+        parents = hosts.select("src", F.regexp_replace("src", r"^[^.]*\.", "").alias("dst")).where("src <> dst")
+        known = parents.join(hosts.select(F.col("src").alias("dst")), "dst", "left_semi")
     kin = known.select("src", "dst").unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return (
         links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
@@ -101,13 +125,13 @@ def host_seeds(judged: DataFrame, verdict: str) -> DataFrame:
 
 def judge_pages(
     pages: DataFrame, rules: tuple[Rule, ...], threshold: float = 0.5, rounds: int = 20, key: str = "page_id",
-    url: str = "url", html: str = "html",
+    url: str = "url", html: str = "html", domains: bool = False,
 ) -> DataFrame:
     """One row per page: key, host, path, rule, verdict, trust, distrust (masses of its host)."""
     host, path = url_host(F.col(url)), url_path(F.col(url))
     judged = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
     judged = judged.withColumn("_by_rule", match_rules(F.col("host"), F.col("path"), rules))
-    edges = host_edges(pages, url, html)
+    edges = host_edges(pages, url, html, domains)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     trust = spread(edges, host_seeds(judged, "allow"), rounds).withColumnRenamed("mass", "trust")
     distrust = spread(back, host_seeds(judged, "block"), rounds).withColumnRenamed("mass", "distrust")

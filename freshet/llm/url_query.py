@@ -15,4 +15,4 @@ RULES = (
 
 @query("op7_host_trust")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_pages(table(spark, sf_dir, "pages"), RULES)
+    return judge_pages(table(spark, sf_dir, "pages"), RULES, domains=True)
