@@ -1,7 +1,7 @@
 """URL filter by trust and distrust that spread over the host graph.
 
-Rules judge what they fit. Hosts whose pages the rules allow are trusted seeds, hosts whose pages
-they block are distrusted ones. Trust spreads along host edges by personalised PageRank; distrust
+Rules judge what they fit. Hosts with pages that the rules allow are trusted seeds, hosts with pages
+that they block are distrusted ones, each weighted by the number of these pages; a host can be both. Trust spreads along host edges by personalised PageRank; distrust
 spreads against them, since who links to a blocked host is suspect. A host whose share of trust
 falls below a threshold is blocked, and so are its pages that no rule judges.
 
@@ -115,10 +115,9 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float
 
 
 def host_seeds(judged: DataFrame, verdict: str) -> DataFrame:
-    """(host, share): hosts of whose pages the rules give more than half this verdict, weighted by these pages."""
-    hosts = judged.where("host <> ''").groupBy("host").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum((F.col("_by_rule.verdict") == verdict).cast("long")).alias("_hits")
-    ).where(F.col("_hits") * 2 > F.col("_n"))
+    """(host, share): hosts with pages that the rules give this verdict, weighted by these pages."""
+    hits = judged.where((F.col("host") != "") & (F.col("_by_rule.verdict") == verdict))
+    hosts = hits.groupBy("host").agg(F.count(F.lit(1)).alias("_hits"))
     total = hosts.agg(F.sum("_hits")).first()[0] or 1
     return hosts.select("host", (F.col("_hits") / F.lit(total)).alias("share"))
 

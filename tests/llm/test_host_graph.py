@@ -30,3 +30,12 @@ def test_given_pages_have_edges_and_propagated_verdicts(spark, sf_dir):
     reached = [r for r in rows if r.rule is None and r.host not in ruled and r.trust + r.distrust > 0]
     assert reached
     assert all(r.verdict == ("block" if r.trust < r.distrust else "allow") for r in reached)
+
+
+def test_every_ruled_page_is_evidence(spark):
+    """A third of the pages of one host and a fifth of another are blocked: both are seeds, by their counts."""
+    rows = [("http://a.net/fr/1",)] * 2 + [("http://a.net/en/",)] * 4 + [("http://b.net/es/",)] + [("http://b.net/",)] * 4 + [("http://c.com/",), (None,)]
+    judged = spark.createDataFrame(rows, "url string").select(url_graph.url_host(F.col("url")).alias("host"), url_graph.url_path(F.col("url")).alias("path"))
+    judged = judged.withColumn("_by_rule", url_graph.match_rules(F.col("host"), F.col("path"), RULES))
+    assert {r.host: round(r.share, 9) for r in url_graph.host_seeds(judged, "block").collect()} == {"a.net": round(2 / 3, 9), "b.net": round(1 / 3, 9)}
+    assert {r.host: r.share for r in url_graph.host_seeds(judged, "allow").collect()} == {"c.com": 1.0}
