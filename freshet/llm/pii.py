@@ -23,8 +23,18 @@ from freshet.llm.arrow_text import slices
 
 #: The kinds in their order of report. The first four have given definitions.
 KINDS = ("email", "ip", "card", "phone", "account", "address")
-#: Words that announce an identifier when `=` or `:` and a value follow.
+#: Words that announce an identifier when a value follows, after `=`, `:`, a word for number or blanks.
 CUES = ("account", "acct", "iban", "passport", "token", "api_key", "apikey", "secret", "password", "passwd")
+NUMBER_WORDS = ("number", "num", "nr", "no")
+#: Characters of an account number by country code, as registered for IBAN.
+IBAN_CHARS = {
+    code: n for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for code in codes.split()
+}
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -108,35 +118,68 @@ def phone(text: str, at: int) -> tuple[int, Span | None]:
 
 
 def account(text: str, after: int, cue: int) -> Span | None:
-    """Value announced by the cue that ends at `after`: `cue = "value"` with a digit in the value."""
+    """Value announced by the cue that ends at `after`, with a digit in it: `cue = "value"`, `cue number value`.
+
+    Without `=` or `:` the value needs six digits. A first group of three to five characters goes on
+    over single blanks, as account numbers are printed.
+    """
     if cue and (text[cue - 1] in LETTERS or text[cue - 1] in DIGITS):
         return None
     at = _run(text, after, frozenset(" "))
-    if at >= len(text) or text[at] not in ":=":
+    if at > after:
+        word = next((w for w in NUMBER_WORDS if text[at:at + len(w)].lower() == w), "")
+        stop = at + len(word)
+        if word and stop < len(text) and text[stop] in " .:=#":
+            at = _run(text, stop, frozenset(" .#"))
+        elif text[at:at + 1] == "#":
+            at = _run(text, at, frozenset(" #"))
+    set_off = at < len(text) and text[at] in ":="
+    if not set_off and at == after:
         return None
-    at = _run(text, at + 1, frozenset(" \"'"))
-    end = _run(text, at, VALUE)
-    return (at, end) if end - at >= 6 and any(c in DIGITS for c in text[at:end]) else None
+    if set_off:
+        at = _run(text, at + 1, frozenset(" \"'"))
+    if (whole := iban(text, at + 2)) is not None:
+        return whole
+
+    def grouped(group: str) -> bool:
+        return all(c in DIGITS or "A" <= c <= "Z" for c in group) and any(c in DIGITS for c in group)
+
+    end = first = _run(text, at, VALUE)
+    if 3 <= first - at < 6 and grouped(text[at:first]):
+        while end < len(text) and text[end] == " " and (stop := _run(text, end + 1, VALUE)) > end + 1:
+            if not grouped(text[end + 1:stop]):
+                break
+            end = stop
+    digits = sum(c in DIGITS for c in text[at:end])
+    return (at, end) if end - at >= 6 and digits >= (1 if set_off and end == first else 6) else None
 
 
 def iban(text: str, at: int) -> Span | None:
-    """Account number whose check digits start at `at`, valid by the remainder of 97."""
+    """Account number whose check digits start at `at`, valid by the remainder of 97.
+
+    It has the length of its country, or for other codes is the longest run of 15 to 34 characters
+    that is valid; either ends where no upper-case letter or digit follows at once.
+    """
     start = at - 2
     if start < 0 or not all("A" <= c <= "Z" for c in text[start:at]) or (start and (text[start - 1] in LETTERS or text[start - 1] in DIGITS)):
         return None
-    end, plain = at, text[start:at]
-    while end < len(text) and len(plain) < 34:
+    if len(text[start:at + 2]) < 4 or not all(c in DIGITS for c in text[at:at + 2]):
+        return None
+    most = IBAN_CHARS.get(text[start:at], 34)
+    least = IBAN_CHARS.get(text[start:at], 15)
+    end, plain, found = at, text[start:at], None
+    while end < len(text) and len(plain) < most:
         if "A" <= text[end] <= "Z" or text[end] in DIGITS:
             plain += text[end]
             end += 1
+            bound = end == len(text) or not ("A" <= text[end] <= "Z" or text[end] in DIGITS)
+            if bound and len(plain) >= least and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                found = (start, end)
         elif text[end] == " " and end + 1 < len(text) and ("A" <= text[end + 1] <= "Z" or text[end + 1] in DIGITS):
             end += 1
         else:
             break
-    if len(plain) < 15 or not all(c in DIGITS for c in plain[2:4]):
-        return None
-    number = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
-    return (start, end) if int(number) % 97 == 1 else None
+    return found
 
 
 def address(text: str, at: int) -> Span | None:
