@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form: lower case, equivalent spellings made one, copyright lines
-and markup dropped, everything but letters and digits turned into single blanks. The SHA-256 of
+A text is brought to a canonical form: lower case, equivalent spellings made one, lines that name a
+holder of rights and markup dropped, everything but letters and digits turned into single blanks. The SHA-256 of
 that form is joined to the digests of known texts. Whole documents are looked up, and every line
 of a document, so that notices inside other text are found as well.
 
@@ -77,7 +77,19 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN), "license string, form string, text string")
 
 
-#: Lines that name a holder of rights differ from copy to copy.
+#: What follows `copyright` or `(c)` in the clauses of a licence, where a line was wrapped before it or as an item of a list.
+CLAUSE = (
+    r"(?:notices?|holders?|owners?|licen[sc]e[sd]?|licensors?|laws?|statements?|interests?|disclaimers?|permissions?|rights?|treat(?:y|ies)|protection|"
+    r"infringement|status|terms?|control|information|ownership|claims?|doctrines?|patents?|trademarks?|conditions?|and|or|in|on|of|to|for|from|is|are|"
+    r"as|at|that|which|with|under|it|you|your|may|must|shall|will|can|if|any|all|each|such|this|a|an|no|not|neither|where|when|use|resulting|including|representations?|"
+    r"(?:the|our|your)(?:(?= *(?:\n|$))| (?:licen[sc]es?|software|library|program|work|above|following|material|original|initial|contributor|licensed)))"
+)
+#: Lines that name a holder of rights differ from copy to copy. A sign or word alone, or before a clause, is no such line.
+HOLDER_LINE = (
+    r"(^|\n)[ \t*#/;-]*(?:©|(?:copyright|\(c\))(?![a-z])(?:[ \t:-]*(?:copyright|\(c\)|©)(?![a-z]))*"
+    r"(?!-|[ \t]*(?:[.,;)'\"”’/]|\n|$))(?![ \t:-]*" + CLAUSE + r"(?![a-z0-9])))[^\n]*"
+)
+#: Fixed value of the SQL, which drops every line that begins like a notice.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
 #: ASCII other than letters, digits and the line feed.
 BETWEEN_WORDS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -96,7 +108,7 @@ def canonical_lines(text: Column) -> Column:
     All ASCII but letters and digits separates words.
     """
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_replace(F.regexp_replace(lowered, COPYRIGHT_LINE, "\n"), BETWEEN_WORDS, "  ")
+    words = F.regexp_replace(F.regexp_replace(lowered, HOLDER_LINE, "\n"), BETWEEN_WORDS, "  ")
     return spelled(F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" ")))
 
 
