@@ -15,6 +15,9 @@ reported; empty tables give no rows or no matches; further columns are left out.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +75,38 @@ KNOWN = (
 )
 
 
+#: Whole texts, one file per licence with its SPDX name.
+TEXTS = Path(__file__).with_name("license_texts")
+#: Headings that copies of a text carry or lack.
+HEADINGS = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License", "BSD License"),
+}
+_CLAUSE_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+#: Where the advice on use begins that many copies leave out.
+ADVICE = re.compile(r"\n[ \t]*(APPENDIX: How to apply|(Appendix: )?How to Apply These Terms)")
+
+
+def whole_texts() -> list[tuple[str, str, str]]:
+    """The texts of TEXTS and HEADINGS as (license, form, text), in the variants that copies have."""
+    files = {f.stem: f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
+    out = [(name, "text", text) for name, text in files.items()]
+    out += [(name, "text", text[:found.start()]) for name, text in files.items() if (found := ADVICE.search(text))]
+    two = files["BSD-2-Clause"]
+    cut = two.index("THIS SOFTWARE IS PROVIDED")
+    short = {"MIT": [_MIT], "ISC": [_ISC], "BSD-2-Clause": [two], "BSD-3-Clause": [two[:cut] + _CLAUSE_3 + two[cut:]]}
+    for name, texts in short.items():
+        reserved = ("", "All rights reserved.\n") if name.startswith("BSD") else ("",)
+        bare = [re.sub(r"(?m)^[0-9]\. ", "* ", t) for t in texts]
+        out += [(name, "text", f"{h}\n{r}{t}") for h in HEADINGS[name] for r in reserved for t in dict.fromkeys(texts + bare)]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """The built-in texts as (license, form, text); a larger table of the same shape may be used instead."""
-    return spark.createDataFrame(list(KNOWN), "license string, form string, text string")
+    return spark.createDataFrame([*KNOWN, *whole_texts()], "license string, form string, text string")
 
 
 #: What follows `copyright` or `(c)` in the clauses of a licence, where a line was wrapped before it or as an item of a list.
