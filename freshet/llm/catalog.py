@@ -6,6 +6,7 @@ from freshet.llm import (  # noqa: F401
     jaccard_query,
     language_model_query,
     licenses_query,
+    line_dedup_query,
     packing_query,
     pii_query,
     quality_query,
