@@ -9,6 +9,7 @@ from freshet.llm import (  # noqa: F401
     line_dedup_query,
     packing_query,
     pii_query,
+    prefix_trie_query,
     quality_query,
     toxicity_query,
     url_query,
