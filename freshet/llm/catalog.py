@@ -5,6 +5,7 @@ from freshet.llm import (  # noqa: F401
     hilbert_query,
     jaccard_query,
     language_model_query,
+    lexical_search_query,
     licenses_query,
     line_dedup_query,
     packing_query,
