@@ -109,20 +109,23 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*KNOWN, *whole_texts()], "license string, form string, text string")
 
 
-#: What follows `copyright` or `(c)` in the clauses of a licence, where a line was wrapped before it or as an item of a list.
-CLAUSE = (
-    r"(?:notices?|holders?|owners?|licen[sc]e[sd]?|licensors?|laws?|statements?|interests?|disclaimers?|permissions?|rights?|treat(?:y|ies)|protection|"
+#: Words that follow `copyright` or `(c)` in the clauses of a licence, where a line was wrapped before it or as an
+#: item of a list; and what may follow `the`, `our` or `your` there.
+CLAUSE_WORDS = (
+    r"notices?|holders?|owners?|licen[sc]e[sd]?|licensors?|laws?|statements?|interests?|disclaimers?|permissions?|rights?|treat(?:y|ies)|protection|"
     r"infringement|status|terms?|control|information|ownership|claims?|doctrines?|patents?|trademarks?|conditions?|and|or|in|on|of|to|for|from|is|are|"
-    r"as|at|that|which|with|under|it|you|your|may|must|shall|will|can|if|any|all|each|such|this|a|an|no|not|neither|where|when|use|resulting|including|representations?|"
-    r"(?:the|our|your)(?:(?= *(?:\n|$))| (?:licen[sc]es?|software|library|program|work|above|following|material|original|initial|contributor|licensed)))"
+    r"as|at|that|which|with|under|it|you|your|may|must|shall|will|can|if|any|all|each|such|this|a|an|no|not|neither|where|when|use|resulting|including|representations?"
 )
+ARTICLES = r"(?:the|our|your)"
+CLAUSE_NOUNS = r"(?:licen[sc]es?|software|library|program|work|above|following|material|original|initial|contributor|licensed)"
+#: What stands ahead of a notice in its line, the words and signs of one, and what ends a word that is no notice.
+AHEAD, SIGN, NO_NOTICE = r"[ \t*#/;-]*", r"copyright|\(c\)|©", r"""-|[ \t]*[.,;)'"”’/]"""
 #: Lines that name a holder of rights differ from copy to copy. A sign or word alone, or before a clause, is no such line.
+#: Repetitions are possessive: they go through a line of any length in a loop and never come back.
 HOLDER_LINE = (
-    r"(^|\n)[ \t*#/;-]*(?:©|(?:copyright|\(c\))(?![a-z])(?:[ \t:-]*(?:copyright|\(c\)|©)(?![a-z]))*"
-    r"(?!-|[ \t]*(?:[.,;)'\"”’/]|\n|$))(?![ \t:-]*" + CLAUSE + r"(?![a-z0-9])))[^\n]*"
+    rf"(?:^|\n){AHEAD}+(?:©|(?:copyright|\(c\))(?![a-z])(?:[ \t:-]*+(?:{SIGN})(?![a-z]))*+"
+    rf"(?!{NO_NOTICE}|[ \t]*(?:\n|\z))(?![ \t:-]*(?:{CLAUSE_WORDS}|{ARTICLES}(?:(?= *(?:\n|\z))| {CLAUSE_NOUNS}))(?![a-z0-9])))[^\n]*+"
 )
-#: Fixed value of the SQL, which drops every line that begins like a notice.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
 #: ASCII other than letters, digits and the line feed.
 BETWEEN_WORDS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 

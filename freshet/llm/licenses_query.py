@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm.licenses import BETWEEN_WORDS, COPYRIGHT_LINE, KNOWN, SPELLINGS, known_licenses, scan
+from freshet.llm.licenses import (
+    AHEAD, ARTICLES, BETWEEN_WORDS, CLAUSE_NOUNS, CLAUSE_WORDS, KNOWN, NO_NOTICE, SIGN, SPELLINGS, known_licenses, scan, whole_texts,
+)
 from freshet.llm.registry import query, table
 
 
@@ -19,8 +21,24 @@ def _spelled_sql(form: str) -> str:
     return form
 
 
+def _holder_sql(line: str) -> str:
+    """Whether a line names a holder of rights, without looking ahead: what follows its signs is cut out and tested by itself.
+
+    A sign that a letter follows is part of a word; a mark keeps it from being read as one.
+    """
+    marked = f"regexp_replace({line}, '({SIGN})([a-z])', chr(1) || '\\1\\2', 'g')"
+    rest = f"replace(regexp_replace({marked}, '^{AHEAD}(copyright|\\(c\\))([ \\t:-]*({SIGN}))*', ''), chr(1), '')"
+    clause = f"^[ \\t:-]*((({CLAUSE_WORDS})|{ARTICLES} {CLAUSE_NOUNS})([^a-z0-9]|$)|{ARTICLES} *$)"
+    return (
+        f"(regexp_matches({line}, '^{AHEAD}©') OR (regexp_matches({marked}, '^{AHEAD}(copyright|\\(c\\))')"
+        f" AND NOT regexp_matches({rest}, {_quoted('^(' + NO_NOTICE + ')')}) AND NOT regexp_matches({rest}, '^[ \\t]*$')"
+        f" AND NOT regexp_matches({rest}, {_quoted(clause)})))"
+    )
+
+
 def _lines_sql(text: str) -> str:
-    bare = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    each = f"string_split(lower(coalesce({text}, '')), chr(10))"
+    bare = f"array_to_string(list_transform({each}, lambda line: CASE WHEN {_holder_sql('line')} THEN '' ELSE line END), chr(10))"
     words = f"regexp_replace({bare}, {_quoted(BETWEEN_WORDS)}, '  ', 'g')"
     return _spelled_sql(f"(' ' || replace({words}, chr(10), ' ' || chr(10) || ' ') || ' ')")
 
@@ -37,7 +55,7 @@ SQL = f"""
 WITH known AS (
   SELECT sha256(form) AS digest, min(license) AS license
   FROM (SELECT license, {_whole_sql("text")} AS form
-        FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, _, t in KNOWN)}) v(license, text))
+        FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, _, t in [*KNOWN, *whole_texts()])}) v(license, text))
   WHERE form <> '' GROUP BY 1),
 whole AS (
   SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS license_digest
