@@ -11,6 +11,7 @@ offsets count code points of the whole text, ends are exclusive; further columns
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -117,7 +118,25 @@ def phone(text: str, at: int) -> tuple[int, Span | None]:
     return end, (at, end) if 9 <= sum(c in DIGITS for c in text[at:end]) <= 15 else None
 
 
-def account(text: str, after: int, cue: int) -> Span | None:
+class Values:
+    """Runs of value characters of a text, each walked once, with the places of its digits."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.low, self.high, self.digits = text, 0, 0, []
+
+    def end(self, at: int) -> int:
+        if not self.low <= at < self.high:
+            self.low, self.high = at, _run(self.text, at, VALUE)
+            self.digits = [k for k in range(at, self.high) if self.text[k] in DIGITS]
+        return self.high
+
+    def count(self, at: int, end: int) -> int:
+        """Digits in `at` to `end`, counted from the known run as far as it goes."""
+        inside = bisect_left(self.digits, min(end, self.high)) - bisect_left(self.digits, at) if self.low <= at else 0
+        return inside + sum(c in DIGITS for c in self.text[max(at, self.high):end])
+
+
+def account(text: str, after: int, cue: int, values: Values) -> Span | None:
     """Value announced by the cue that ends at `after`, with a digit in it: `cue = "value"`, `cue number value`.
 
     Without `=` or `:` the value needs six digits. A first group of three to five characters goes on
@@ -144,13 +163,13 @@ def account(text: str, after: int, cue: int) -> Span | None:
     def grouped(group: str) -> bool:
         return all(c in DIGITS or "A" <= c <= "Z" for c in group) and any(c in DIGITS for c in group)
 
-    end = first = _run(text, at, VALUE)
+    end = first = values.end(at)
     if 3 <= first - at < 6 and grouped(text[at:first]):
         while end < len(text) and text[end] == " " and (stop := _run(text, end + 1, VALUE)) > end + 1:
             if not grouped(text[end + 1:stop]):
                 break
             end = stop
-    digits = sum(c in DIGITS for c in text[at:end])
+    digits = values.count(at, end)
     return (at, end) if end - at >= 6 and digits >= (1 if set_off and end == first else 6) else None
 
 
@@ -183,15 +202,24 @@ def iban(text: str, at: int) -> Span | None:
 
 
 def address(text: str, at: int) -> Span | None:
-    """Network address around `://` at `at` that names a user before its host."""
+    """Network address around `://` at `at` that names a user before its host.
+
+    Only the host is read before it is known to name a user, and it ends at a slash, so a text of
+    nothing but such signs is read once.
+    """
     start = at
     while start and (text[start - 1] in LETTERS or text[start - 1] in DIGITS):
         start -= 1
     end, n = at + 3, len(text)
+    if start == at:
+        return None
+    while end < n and text[end] not in URL_END and text[end] != "/":
+        end += 1
+    if "@" not in text[at + 3:end].strip("@"):
+        return None
     while end < n and text[end] not in URL_END:
         end += 1
-    host = text[at + 3:end].split("/", 1)[0]
-    return (start, end) if start < at and "@" in host.strip("@") else None
+    return start, end
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -208,6 +236,7 @@ def automaton() -> ahocorasick.Automaton:
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind in the order of KINDS, then by start."""
     found: dict[str, list[Span]] = {kind: [] for kind in KINDS}
+    values = Values(text)
     after = dict.fromkeys(KINDS, 0)  # each kind goes on behind its last match
 
     def keep(kind: str, span: Span | None) -> None:
@@ -240,7 +269,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
             if at >= after["address"]:
                 keep("address", address(text, at))
         elif at >= after["account"]:
-            keep("account", account(text, last + 1, at))
+            keep("account", account(text, last + 1, at, values))
     return [(kind, *span) for kind in KINDS for span in found[kind]]
 
 

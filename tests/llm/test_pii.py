@@ -71,3 +71,19 @@ def test_mask_and_edges(spark):
     assert [len(r.found) for r in pii.with_spans(docs, to="found").collect()] == [1, 1, 0, 0, 1, 1]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.mask(empty).count() == 0 and pii.find_spans(empty).count() == 0
+
+
+@pytest.mark.parametrize("part", ["a://", "a://u@", "://", "a://u@h/", "://@", "@", "a@", "+1", "1.", "account ", "account: 1 ", "password=", "DE89", "DE8 9", "12 ", "a.", "a@b."])
+def test_long_runs_are_read_once(part):
+    """A long run of one anchor takes seconds, not hours."""
+    import time
+
+    anchors, text = pii.automaton(), part * (300_000 // len(part))
+    start = time.process_time()
+    pii.spans(text, anchors)
+    assert time.process_time() - start < 15
+
+
+def test_addresses_that_name_a_user():
+    text = "see ftp://u:p@h.org/x?y=1 and http://h.org/u@v or x://@h, a://u@b://c@d"
+    assert [text[a:b] for k, a, b in pii.spans(text, pii.automaton()) if k == "address"] == ["ftp://u:p@h.org/x?y=1", "a://u@b://c@d"]
