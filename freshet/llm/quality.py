@@ -1,8 +1,10 @@
 """Quality rules with thresholds that follow each language and source.
 
 Signals of every whole text are measured once. Mergeable KLL sketches of each signal per
-(language, source) give the quartiles; sketches of small groups are merged by language and then
-over all rows. A joined filter drops texts beyond the fences.
+(language, source) give the quartiles; the sketches are merged by language and over all rows too.
+The quartiles of a group of n texts count n / (n + `prior_rows`), those of its language the rest,
+which in turn lean on those of all rows, so nothing jumps at some size. A joined filter drops
+texts beyond the fences.
 
 Defined cases: a null text counts as empty; null language or source form groups of their own;
 repeated rows are judged one by one; an empty table gives an empty result; further columns are
@@ -94,6 +96,10 @@ def measured(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_
     return slim.mapInArrow(run, schema)
 
 
+#: Texts that the quartiles of a wider group count as beside a group's own.
+PRIOR_ROWS = 20.0
+
+
 @dataclass(frozen=True)
 class Fence:
     """Keeps `signal` within quartiles -/+ `reach` times their distance, which is at least `least`."""
@@ -127,39 +133,40 @@ def signals() -> dict[str, Column]:
 
 
 def thresholds(
-    counts: DataFrame, groups: tuple[str, str] = ("lang", "source"), fences: tuple[Fence, ...] = FENCES, least_rows: int = 200
+    counts: DataFrame, groups: tuple[str, str] = ("lang", "source"), fences: tuple[Fence, ...] = FENCES, prior_rows: float = PRIOR_ROWS
 ) -> DataFrame:
     """Per (language, source): the fences `<signal>_low` and `<signal>_high`.
 
-    A group of fewer than `least_rows` takes the merged sketch of its language, a language of
-    fewer that of all rows. Sketches are partial aggregates, so a hot source moves as one sketch
-    per task.
+    Quartiles of a group are blended with those of its language, and these with those of all rows:
+    n texts that have the signal weigh n against `prior_rows` of the wider quartile. Sketches
+    are partial aggregates, so a hot source moves as one sketch per task.
     """
     first, second = groups
     named = [f.signal for f in fences]
     measures = signals()
-    base = counts.groupBy(first, second).agg(
-        F.count(F.lit(1)).alias("_n"), *(F.kll_sketch_agg_double(measures[s]).alias(s) for s in named)
-    )
+    base = counts.groupBy(first, second).agg(*(F.kll_sketch_agg_double(measures[s]).alias(s) for s in named))
 
     def merged(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            F.sum("_n").alias(f"_n{tag}"), *(F.kll_merge_agg_double(s).alias(f"{s}{tag}") for s in named)
-        )
+        return df.groupBy(*keys).agg(*(F.kll_merge_agg_double(s).alias(f"{s}{tag}") for s in named))
 
     by_first = merged(base, [first], "_1").withColumnRenamed(first, "_first")
     # One row of a few KB, whatever the size of the input: the sketches of all rows.
     total = by_first.groupBy().agg(*(F.kll_merge_agg_double(f"{s}_1").alias(s) for s in named)).first()
     joined = base.join(by_first, base[first].eqNullSafe(by_first["_first"]), "left")
+
+    def blended(sketches: list[Column], q: float) -> Column:
+        """Quantile of the first sketch, leaning on that of the others, which are ever wider."""
+        n = F.coalesce(F.kll_sketch_get_n_double(sketches[0]), F.lit(0)).cast("double")
+        own = F.kll_sketch_get_quantile_double(F.when(n > 0, sketches[0]), F.lit(q))
+        if len(sketches) == 1:
+            return own
+        wider = blended(sketches[1:], q)
+        return F.when(n > 0, (own * n + wider * prior_rows) / (n + prior_rows)).otherwise(wider)
+
     columns = []
     for f in fences:
-        sketch = (
-            F.when(F.col("_n") >= least_rows, F.col(f.signal))
-            .when(F.col("_n_1") >= least_rows, F.col(f"{f.signal}_1"))
-            .otherwise(F.lit(total[f.signal]).cast("binary"))
-        )
-        filled = F.when(F.kll_sketch_get_n_double(sketch) > 0, sketch)
-        q1, q3 = (F.kll_sketch_get_quantile_double(filled, F.lit(q)) for q in (0.25, 0.75))
+        sketches = [F.col(f.signal), F.col(f"{f.signal}_1"), F.lit(total[f.signal]).cast("binary")]
+        q1, q3 = (blended(sketches, q) for q in (0.25, 0.75))
         spread = F.greatest(q3 - q1, F.lit(f.least)) * f.reach
         columns.append((q1 - spread if f.low else F.lit(None).cast("double")).alias(f"{f.signal}_low"))
         columns.append((q3 + spread if f.high else F.lit(None).cast("double")).alias(f"{f.signal}_high"))
@@ -168,14 +175,14 @@ def thresholds(
 
 def judge(
     docs: DataFrame, base_failed: Column | None = None, groups: tuple[str, str] = ("lang", "source"),
-    fences: tuple[Fence, ...] = FENCES, least_rows: int = 200, key: str = "doc_id", text: str = "text",
+    fences: tuple[Fence, ...] = FENCES, prior_rows: float = PRIOR_ROWS, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per document: `key`, COUNTS, `groups`, `base_failed`, `beyond` (signals out of bounds), `kept`.
 
     `base_failed` is a condition on COUNTS that rejects a text whatever its group is like.
     """
     counts = cut_lineage(measured(docs, text, (key, *groups)))
-    bounds = thresholds(counts, groups, fences, least_rows)
+    bounds = thresholds(counts, groups, fences, prior_rows)
     bounds = bounds.withColumnsRenamed({g: f"_{g}" for g in groups})
     same = [counts[g].eqNullSafe(bounds[f"_{g}"]) for g in groups]
     joined = counts.join(bounds, same, "left")

@@ -1,5 +1,6 @@
 """Counts, base rule and adaptive fences against plain Python."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -59,3 +60,41 @@ def test_thresholds_follow_their_group(spark):
     kept = quality.filter_documents(docs, fences=fences)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 1
     assert quality.judge(docs.where("false"), fences=fences).count() == 0
+
+
+def plain_fences(rows, prior=20.0):
+    """{(lang, source): {signal: (low, high)}} from plain sorted lists; rows are (lang, source, {signal: value or None})."""
+    def quantile(values, q):
+        values = sorted(values)
+        return values[max(0, math.ceil(q * len(values)) - 1)] if values else None
+
+    def blend(n, own, wider):
+        return wider if n == 0 else (own * n + wider * prior) / (n + prior)
+
+    out = {}
+    for group in {r[:2] for r in rows}:
+        out[group] = {}
+        for f in quality.FENCES:
+            sets = [[r[2][f.signal] for r in rows if fits(r) and r[2][f.signal] is not None] for fits in (lambda r: r[:2] == group, lambda r: r[0] == group[0], lambda r: True)]
+            q1, q3 = (blend(len(sets[0]), quantile(sets[0], q), blend(len(sets[1]), quantile(sets[1], q), quantile(sets[2], q))) for q in (0.25, 0.75))
+            spread = max(q3 - q1, f.least) * f.reach
+            out[group][f.signal] = (q1 - spread if f.low else -math.inf, q3 + spread if f.high else math.inf)
+    return out
+
+
+def test_verdicts_equal_plain_fences(spark, sf_dir):
+    """The registered query against fences restated from the texts alone."""
+    rows = {r.doc_id: r for r in QUERIES["op10_adaptive_quality"](spark, sf_dir).collect()}
+    measured = []
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        n, chars, symbols, lines, dup, repeat = brute(d.text)
+        pairs = {"symbol_ratio": (symbols, chars), "word_length": (chars, n), "dup_line_ratio": (dup, lines), "repeat_ratio": (repeat, n)}
+        measured.append((d.lang, d.source, {k: a / b if b else None for k, (a, b) in pairs.items()}, d.doc_id))
+    fences = plain_fences(measured)
+    beyond = 0
+    for lang, source, values, doc in measured:
+        want = [f.signal for f in quality.FENCES if values[f.signal] is not None and not fences[lang, source][f.signal][0] <= values[f.signal] <= fences[lang, source][f.signal][1]]
+        assert rows[doc].beyond == ",".join(want), doc
+        assert rows[doc].kept == (not rows[doc].base_failed and not want)
+        beyond += bool(want)
+    assert beyond > 0
