@@ -94,34 +94,129 @@ def bounding_boxes(edges: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: Edges up to which a tile stays whole, and halvings after which it does in any case.
+TILE_EDGES, TILE_LEVELS = 32, 24
+_TILE = ["_level", "_tx", "_ty"]
+
+
+def _side(level: Column) -> Column:
+    """Side of the tiles of a level, a power of two, so their bounds are exact."""
+    return F.pow(F.lit(2.0), -level)
+
+
+def _turns(e: dict[str, Column], px: Column, py: Column, right: Column, low: Column) -> Column:
+    """How often an edge changes the status on the way from (right, low) to (px, py), up and then left.
+
+    The status of a point is the parity of the edges that cross its ray towards larger x. On the way
+    up an edge counts if it passes the vertical line between both heights, which its ends or its
+    place at a height tell without rounding of their own; on the way left it counts where it crosses the ray.
+    """
+    x1, y1, x2, y2 = (e[c] for c in ("x1", "y1", "x2", "y2"))
+    first = y1 <= y2
+
+    def at(y: Column) -> Column:
+        return (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1
+
+    def beyond(y: Column) -> Column:
+        """Is the edge, held at its end where `y` is above or below it, right of the line?"""
+        upper, lower = F.when(first, x2).otherwise(x1), F.when(first, x1).otherwise(x2)
+        return F.when(F.greatest(y1, y2) <= y, upper > right).when(F.least(y1, y2) > y, lower > right).otherwise(at(y) > right)
+
+    left = ((y1 > py) != (y2 > py)) & (px < at(py)) & (at(py) <= right)
+    return (beyond(py) != beyond(low)).cast("int") + F.coalesce(left, F.lit(False)).cast("int")
+
+
+def _touches(level: Column, tx: Column, ty: Column) -> Column:
+    """Does an edge (x1, y1, x2, y2) pass a tile? A margin far above rounding makes it rather yes than no."""
+    side = _side(level)
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    margin = (F.greatest(F.abs(x1), F.abs(x2), F.abs(y1), F.abs(y2)) + side) * 1e-9
+    left, low = tx * side - margin, ty * side - margin
+    right, high = (tx + 1) * side + margin, (ty + 1) * side + margin
+
+    def at(y: Column) -> Column:
+        return F.coalesce((x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1, x1)
+
+    inside = (F.greatest(y1, y2) >= low) & (F.least(y1, y2) <= high)
+    a, b = at(F.greatest(F.least(y1, y2), low)), at(F.least(F.greatest(y1, y2), high))
+    flat = y1 == y2
+    least, most = F.when(flat, F.least(x1, x2)).otherwise(F.least(a, b)), F.when(flat, F.greatest(x1, x2)).otherwise(F.greatest(a, b))
+    return inside & (most >= left) & (least <= right)
+
+
+def tile_tree(edges: DataFrame, zone: str, most_edges: int = TILE_EDGES, most_levels: int = TILE_LEVELS) -> DataFrame:
+    """Leaves of a quadtree per zone: (zone, _level, _tx, _ty, status, edges).
+
+    A zone begins with the at most four tiles that hold its extent. Tiles with more than `most_edges` edges
+    are cut in four until none is left or `most_levels` are passed, so the leaves are small where the boundary
+    is dense and large inside and outside. `status` is 1 if the lower right corner of the tile is inside; a tile
+    without edges has that status as a whole. A child's status follows from its parent's and the edges in the
+    parent alone, so no tile ever meets the edges of a whole zone but the first four.
+    """
+    keys = [zone, *_TILE]
+    lines = edges.select(zone, *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    boxes = bounding_boxes(lines, zone)
+    extent = F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1"), F.lit(1e-9))
+    level = (-F.ceil(F.log2(extent))).cast("int")
+    across = [F.explode(F.sequence(F.floor(F.col(f"b{c}1") / _side(F.col("_level"))), F.floor(F.col(f"b{c}2") / _side(F.col("_level"))))) for c in "xy"]
+    roots = boxes.withColumn("_level", level).withColumn("_tx", across[0]).withColumn("_ty", across[1]).select(*keys)
+    right, low = (F.col("_tx") + 1) * _side(F.col("_level")), F.col("_ty") * _side(F.col("_level"))
+    open_tiles = lines.join(roots, zone).select(
+        *keys, "x1", "y1", "x2", "y2", F.lit(0).alias("_above"),
+        _touches(*map(F.col, _TILE)).alias("_in"), F.coalesce(crosses_ray(right, low), F.lit(False)).cast("int").alias("_turns"),
+    )
+    done = None
+    for depth in range(most_levels + 1):
+        marked = cut_lineage(open_tiles)
+        tiles = marked.groupBy(*keys).agg(
+            ((F.max("_above") + F.sum("_turns")) % 2).cast("int").alias("status"), F.sum(F.col("_in").cast("int")).alias("_n")
+        )
+        counted = cut_lineage(tiles.withColumn("_full", (F.col("_n") > most_edges) & F.lit(depth < most_levels)))
+        whole, full = counted.where("not _full").select(*keys, "status"), counted.where("_full").select(*keys, "status")
+        held = marked.where("_in").select(*keys, "x1", "y1", "x2", "y2")
+        listed = held.join(whole.drop("status"), keys).groupBy(*keys).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        leaves = whole.join(listed, keys, "left")
+        done = leaves if done is None else done.unionByName(leaves)
+        if full.isEmpty():
+            break
+        parts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+        child = held.join(full, keys).withColumn("_part", parts).select(
+            zone, (F.col("_level") + 1).alias("_level"), (F.col("_tx") * 2 + F.col("_part.i")).alias("_tx"), (F.col("_ty") * 2 + F.col("_part.j")).alias("_ty"),
+            right.alias("_right"), low.alias("_low"), F.col("status").alias("_above"), "x1", "y1", "x2", "y2",
+        )
+        turns = _turns({c: F.col(c) for c in ("x1", "y1", "x2", "y2")}, right, low, F.col("_right"), F.col("_low"))
+        open_tiles = child.select(*keys, "x1", "y1", "x2", "y2", "_above", _touches(*map(F.col, _TILE)).alias("_in"), turns.alias("_turns"))
+    return cut_lineage(done)
+
+
 def points_in_polygons(points: DataFrame, point_keys: list[str], x: str, y: str, edges: DataFrame, zone: str,
-                       tile: float = 1.0) -> DataFrame:
+                       most_edges: int = TILE_EDGES) -> DataFrame:
     """(point keys, zone) of every point inside a polygon, by crossing parity.
 
-    Polygon extents are cut into tiles and matched by equality; surviving pairs meet only
-    the edges whose height band holds the point.
+    A point finds its leaf of each zone's `tile_tree` by equality, one row per level in use. In a leaf
+    without edges it takes the status of the tile; else it is compared with the edges of the leaf, which
+    are a short array, so no rows are multiplied. A zone has holes and parts as its edges say.
     """
-    boxes = bounding_boxes(edges, zone)
-    tiled = boxes.withColumn("_tx", _tiles("bx1", "bx2", tile)).withColumn("_ty", _tiles("by1", "by2", tile))
+    leaves = tile_tree(edges, zone, most_edges)
+    used = leaves.select("_level").distinct().agg(F.array_sort(F.collect_set("_level")).alias("l")).scalar()
     located = points.select(
-        *point_keys, F.col(x).alias("_px"), F.col(y).alias("_py"),
-        F.floor(F.col(x) / tile).alias("_tx"), F.floor(F.col(y) / tile).alias("_ty"),
+        *point_keys, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"), F.explode(used).alias("_level")
     )
-    candidates = located.join(tiled, ["_tx", "_ty"]).where(
-        F.col("_px").between(F.col("bx1"), F.col("bx2")) & F.col("_py").between(F.col("by1"), F.col("by2"))
-    ).select(*point_keys, zone, "_px", "_py", "_ty")
-    banded = edges.withColumn("_elo", F.least("y1", "y2")).withColumn("_ehi", F.greatest("y1", "y2"))
-    banded = banded.withColumn("_ty", _tiles("_elo", "_ehi", tile)).drop("_elo", "_ehi")
-    crossings = candidates.join(banded, [zone, "_ty"]).where(crosses_ray(F.col("_px"), F.col("_py")))
-    return crossings.groupBy(*point_keys, zone).agg(F.count(F.lit(1)).alias("_k")).where(
-        F.col("_k") % 2 == 1
-    ).select(*point_keys, zone)
-
-
-def cell_zones(cube: DataFrame, edges: DataFrame, zone: str = "zone", tile: float = 1.0) -> DataFrame:
+    located = located.withColumn("_tx", F.floor(F.col("_px") / _side(F.col("_level")))).withColumn("_ty", F.floor(F.col("_py") / _side(F.col("_level"))))
+    # A tile wholly outside needs no row.
+    met = located.join(leaves.where("edges IS NOT NULL OR status = 1"), _TILE)
+    right, low = (F.col("_tx") + 1) * _side(F.col("_level")), F.col("_ty") * _side(F.col("_level"))
+    turned = F.aggregate(
+        F.coalesce("edges", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")), F.col("status"),
+        lambda n, e: n + _turns({c: e[c] for c in ("x1", "y1", "x2", "y2")}, F.col("_px"), F.col("_py"), right, low),
+    )
+    return met.where(turned % 2 == 1).select(*point_keys, zone).distinct()
+
+
+def cell_zones(cube: DataFrame, edges: DataFrame, zone: str = "zone", most_edges: int = TILE_EDGES) -> DataFrame:
     """Static map from grid cell to zone; computed once and reused for every day."""
     cells = cube.select("lat", "lon").distinct()
-    return points_in_polygons(cells, ["lat", "lon"], "lon", "lat", edges, zone, tile)
+    return points_in_polygons(cells, ["lat", "lon"], "lon", "lat", edges, zone, most_edges)
 
 
 def zonal_stats(cube: DataFrame, zones: DataFrame, value: str = "dis24", zone: str = "zone") -> DataFrame:
@@ -192,10 +287,10 @@ def polygon_intersects(left: DataFrame, left_key: str, right: DataFrame, right_k
         return edges.groupBy(key, part).agg(low.alias("_v")).select(key, F.col("_v.x1").alias("_vx"), F.col("_v.y1").alias("_vy"))
 
     left_inside = points_in_polygons(
-        vertices(left, left_key), [left_key, "_vx", "_vy"], "_vx", "_vy", right, right_key, tile
+        vertices(left, left_key), [left_key, "_vx", "_vy"], "_vx", "_vy", right, right_key
     ).select(left_key, right_key)
     right_inside = points_in_polygons(
-        vertices(right, right_key), [right_key, "_vx", "_vy"], "_vx", "_vy", left, left_key, tile
+        vertices(right, right_key), [right_key, "_vx", "_vy"], "_vx", "_vy", left, left_key
     ).select(left_key, right_key)
     return crossing.unionByName(left_inside).unionByName(right_inside).distinct()
 

@@ -33,8 +33,8 @@ def inside(px, py, points):
     return hit
 
 
-@pytest.mark.parametrize("tile", [0.5, 1.0, 7.0])
-def test_points_in_polygons_equal_brute_force(spark, tile):
+@pytest.mark.parametrize("most_edges", [3, 32])
+def test_points_in_polygons_equal_brute_force(spark, most_edges):
     shapes = {
         "star": [(0.1, 0.2), (5.3, 1.1), (9.7, 0.4), (6.2, 4.9), (8.8, 9.3), (4.4, 6.1), (0.3, 9.9), (2.2, 4.7)],
         "box": [(-3.5, -2.5), (2.5, -2.5), (2.5, 3.5), (-3.5, 3.5)],
@@ -44,10 +44,66 @@ def test_points_in_polygons_equal_brute_force(spark, tile):
     )
     grid = [(i, float(x), float(y)) for i, (x, y) in enumerate((x, y) for x in range(-5, 12) for y in range(-5, 12))]
     points = spark.createDataFrame(grid, "id int, x double, y double")
-    got = {(r.id, r.zone) for r in G.points_in_polygons(points, ["id"], "x", "y", edges, "zone", tile).collect()}
+    got = {(r.id, r.zone) for r in G.points_in_polygons(points, ["id"], "x", "y", edges, "zone", most_edges).collect()}
     assert got == {(i, k) for i, x, y in grid for k, v in shapes.items() if inside(x, y, v)}
 
 
+def comb(n, left, low, width, height):
+    """A concave outline with n teeth."""
+    step = width / n
+    top = [(left + step * (k + d), low + (height if d else height / 9)) for k in range(n) for d in (0.0, 0.5)]
+    return [(left + width, low - 1.0), *reversed(top), (left, low - 1.0)]
+
+
+ROUGH = {
+    # Integer vertices on tile bounds, a hole, a hole in a second part, a dense coast, a small zone within a large one.
+    "lattice": [[(0, 0), (8, 0), (8, 4), (4, 4), (4, 8), (0, 8)], [(1, 1), (2, 1), (2, 2), (1, 2)]],
+    "holed": [[(-16, -16), (16, -16), (16, 16), (-16, 16)], [(-8, -8), (8, -8), (8, 8), (-8, 8)], [(-2, -3), (3, -2), (1, 3)]],
+    "coast": [comb(150, -15.0, 0.0, 30.0, 9.0)],
+    "tiny": [[(3.0, 3.0), (3.01, 3.0), (3.005, 3.02)]],
+    "line": [[(5, 5), (9, 5)]],
+}
+
+
+def rough_edges(spark):
+    rows = [(k, *map(float, e[1:])) for k, rings in ROUGH.items() for ring in rings for e in edges_of(k, ring)]
+    return spark.createDataFrame(rows, "zone string, x1 double, y1 double, x2 double, y2 double"), rows
+
+
+@pytest.mark.parametrize("most_edges", [6, 1000])
+def test_tile_tree_on_holes_bounds_and_coasts(spark, most_edges):
+    """Every status is that of a plain ray over all edges, also for points on vertices, edges and bounds of tiles."""
+    edges, rows = rough_edges(spark)
+    rng = np.random.default_rng(6)
+    points = [(float(x), float(y)) for x in range(-17, 18) for y in range(-17, 18)] + [(r[1], r[2]) for r in rows[::3]]
+    points += [((r[1] + r[3]) / 2, (r[2] + r[4]) / 2) for r in rows[::5]] + [(3.004, 3.001)] * 40 + rng.uniform(-17, 17, (400, 2)).tolist()
+    ends = np.array([r[1:] for r in rows])
+    name = np.array([r[0] for r in rows])
+    want = set()
+    for i, (x, y) in enumerate(points):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (ends[:, 2] - ends[:, 0]) * (y - ends[:, 1]) / (ends[:, 3] - ends[:, 1]) + ends[:, 0]
+            hit = ((ends[:, 1] > y) != (ends[:, 3] > y)) & (x < at)
+        want |= {(i, k) for k in ROUGH if hit[name == k].sum() % 2}
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "id int, x double, y double")
+    got = {(r.id, r.zone) for r in G.points_in_polygons(df, ["id"], "x", "y", edges, "zone", most_edges).collect()}
+    assert got == want and len({k for _, k in got}) == 4
+
+
+def test_refinement_bounds_the_edges_a_point_meets(spark):
+    """Edges compared over all points shrink with the tiles; a leaf holds few however dense the coast is."""
+    edges, _ = rough_edges(spark)
+    met = []
+    for most in (1000, 64, 8):
+        leaves = G.tile_tree(edges.where("zone = 'coast'"), "zone", most)
+        sizes = leaves.select(F.coalesce(F.size("edges"), F.lit(0)).alias("n"), F.pow(F.lit(4.0), -F.col("_level")).alias("area")).toPandas()
+        # Points spread evenly: the share of a leaf is its area.
+        met.append(float((sizes["n"] * sizes["area"]).sum() / sizes["area"].sum()))
+        assert sizes["n"].max() <= most
+    assert met == sorted(met, reverse=True) and met[-1] < met[0] / 20
+    assert G.tile_tree(edges.where("false"), "zone").count() == 0
+
+
 @pytest.mark.parametrize("tile", [0.7, 2.0])
 def test_polygon_intersects(spark, tile):
     def square(name, x, y, s):
