@@ -151,6 +151,33 @@ def test_exact_quantiles_with_ties_hot_keys_and_nulls(spark):
                 assert got[k, q] == pytest.approx(g.x.quantile(q), rel=1e-12)
 
 
+@pytest.mark.parametrize("most_cells", [2, 50])
+def test_quantiles_are_narrowed_pass_by_pass(spark, monkeypatch, tmp_path, most_cells):
+    """A million rows in a coarse sketch: no task orders more values of a quantile than stated."""
+    from freshet.operators import quantiles
+
+    seen = []
+    monkeypatch.setattr(quantiles, "_upto", lambda cells, by, order, f=quantiles._upto: seen.append(cells) or f(cells, by, order))
+    n = 1_000_000
+    x = F.when(F.col("id") % 3 == 0, F.pmod(F.hash("id"), F.lit(10_000)) / 7).otherwise(F.rand(5) * F.exp(F.randn(6) * 3))
+    df = spark.range(n).select((F.col("id") % 10 == 0).cast("int").alias("k"), x.alias("x")).unionByName(
+        spark.createDataFrame([(7, float(v)) for v in [*range(40), *range(10**9, 10**9 + 40)]] + [(8, float("inf")), (8, float("-inf")), (8, 1.0)], "k int, x double")
+    )
+    df.write.parquet(str(tmp_path / "values"))
+    df = spark.read.parquet(str(tmp_path / "values"))
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.k, r.q): r.value for r in quantiles.exact_quantiles(df, ["k"], "x", qs, accuracy=20, most_cells=most_cells).collect()}
+    values = df.toPandas()
+    for k in (0, 1, 7):
+        want = np.quantile(values[values["k"] == k]["x"].to_numpy(), qs)
+        assert [got[k, q] for q in qs] == pytest.approx(want.tolist(), rel=1e-12)
+    assert (got[8, 0.0], got[8, 0.5], got[8, 1.0]) == (float("-inf"), 1.0, float("inf"))
+    for cells in seen[:-1]:
+        assert cells.groupBy("k", "q").count().agg(F.max("count")).first()[0] <= quantiles.BINS
+    assert len(seen) > 1 and seen[-1].groupBy("k", "q").count().agg(F.max("count")).first()[0] <= most_cells
+
+
+
 def test_resample_equals_pandas_and_fills_empty_bins(spark):
     keep = [0, 1, 2, 9, 10, 11, 20]
     rows = [("d", days(30)[i], float(i), float(i)) for i in keep]
