@@ -9,7 +9,7 @@ table of cells which is broadcast and the windows over cells, whatever the input
 
 Defined cases: null in a dimension is the lowest cell; ties and repeated rows are ordered by hash
 and then by the given columns, equal rows are interchangeable; an empty table gives no rows;
-dimensions may be numbers, dates or strings (compared by their first seven bytes).
+dimensions may be numbers, dates or strings, which are compared as a whole by their bytes.
 """
 
 from __future__ import annotations
@@ -25,28 +25,46 @@ BITS = 4
 
 
 def as_number(df: DataFrame, name: str) -> Column:
-    """The column as a number that keeps its order; strings by their first seven bytes."""
+    """A column other than a string as a number that keeps its order."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(name, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("double")
     if isinstance(kind, T.DateType | T.TimestampType):
         return F.unix_timestamp(F.col(name).cast("timestamp")).cast("double")
     return F.nanvl(F.col(name).cast("double"), F.lit(None))
 
 
+def string_cuts(df: DataFrame, name: str, shares: list[float]) -> list[str]:
+    """Exact quantiles of a string column: the least value with each share of the rows up to it.
+
+    Equal values are counted first; distinct values are ranged over tasks, and running sums are taken
+    within a task and over the totals of the tasks, so no task orders all values.
+    """
+    counted = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = cut_lineage(counted.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.sum("_c").alias("_in"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_part", F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.withColumn("_upto", F.sum("_c").over(within)).join(starts, "_part").select("_v", (F.col("_start") + F.col("_upto")).alias("_upto"))
+    total = ranged.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    row = upto.agg(*(F.min(F.when(F.col("_upto") >= total * q, F.col("_v"))).alias(f"q{k}") for k, q in enumerate(shares))).first()
+    return [v for v in row if v is not None]
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     """For each dimension its cell, 0 to 2 ** bits - 1, cut at quantiles of the data.
 
-    The quantiles come from one aggregate of mergeable summaries over the columns alone; the
-    driver gets 2 ** bits - 1 numbers per dimension.
+    Numbers are cut by one aggregate of mergeable summaries, strings by exact quantiles; the
+    driver gets 2 ** bits - 1 values per dimension.
     """
-    cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    row = df.agg(*(F.percentile_approx(as_number(df, d), cuts, 10_000).alias(f"q{k}") for k, d in enumerate(dims))).first()
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    strings = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in strings]
+    row = df.agg(*(F.percentile_approx(as_number(df, d), shares, 10_000).alias(f"q{k}") for k, d in enumerate(numbers))).first() if numbers else []
+    cuts = {d: string_cuts(df, d, shares) for d in strings} | dict(zip(numbers, row, strict=True))
     out = []
-    for k, d in enumerate(dims):
-        bounds = sorted(set(row[f"q{k}"] or []))
-        above = sum((F.when(as_number(df, d) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-        out.append(above.cast("int"))
+    for d in dims:
+        value = F.col(d) if d in strings else as_number(df, d)
+        out.append(sum((F.when(value > b, 1).otherwise(0) for b in sorted(set(cuts[d] or []))), F.lit(0)).cast("int"))
     return out
 
 

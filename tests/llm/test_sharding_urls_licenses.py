@@ -1,5 +1,6 @@
 """Hilbert shards, licence digests and the host graph on small tables."""
 
+import math
 import re
 
 import pytest
@@ -41,6 +42,69 @@ def test_shards_edge_cases(spark):
     assert hilbert.shard_rows(df.where("false"), ["lang", "n"], ["doc_id"], 7).count() == 0
 
 
+def plain_shards(rows, dims, shards, bits=4):
+    """Share of each row's shard by plain sorting: {row number: curve}, with quantile cells and a curve built by rotation."""
+    n = len(dims)
+    cells = []
+    for d in dims:
+        values = sorted(r[d] for r in rows if r[d] is not None)
+        cuts = sorted({values[max(0, math.ceil(len(values) * k / (1 << bits)) - 1)] for k in range(1, 1 << bits)}) if values else []
+        cells.append([0 if r[d] is None else sum(r[d] > c for c in cuts) for r in rows])
+
+    def index(point):
+        x = list(point)
+        q = 1 << bits - 1
+        while q > 1:
+            for i in range(n):
+                if x[i] & q:
+                    x[0] ^= q - 1
+                else:
+                    t = (x[0] ^ x[i]) & q - 1
+                    x[0] ^= t
+                    x[i] ^= t
+            q >>= 1
+        for i in range(1, n):
+            x[i] ^= x[i - 1]
+        t, q = 0, 1 << bits - 1
+        while q > 1:
+            if x[n - 1] & q:
+                t ^= q - 1
+            q >>= 1
+        out = 0
+        for b in range(bits - 1, -1, -1):
+            for i in range(n):
+                out = out * 2 + ((x[i] ^ t) >> b & 1)
+        return out
+
+    return [index(p) for p in zip(*cells, strict=True)]
+
+
+def test_query_equals_plain_curve_and_prunes(spark, sf_dir):
+    """Cells, curve and cuts restated; shards hold narrow ranges of every dimension."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars").collect()
+    curve = dict(zip((r.doc_id for r in rows), plain_shards([r.asDict() for r in rows], ["lang", "source", "n_chars"], 40), strict=True))
+    got = QUERIES["op1_hilbert_shards"](spark, sf_dir).collect()
+    assert {r.doc_id: r.curve for r in got} == curve
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in order] == sorted(curve.values())
+    for dim in ("lang", "source", "n_chars"):
+        value = {r.doc_id: r[dim] for r in rows}
+        spans = {}
+        for r in got:
+            low, high = spans.get(r.shard, (value[r.doc_id],) * 2)
+            spans[r.shard] = (min(low, value[r.doc_id]), max(high, value[r.doc_id]))
+        probes = sorted({v for v in value.values()})
+        read = [sum(low <= p <= high for low, high in spans.values()) for p in probes]
+        assert sum(read) / len(read) < 0.7 * len(spans), dim
+
+
+def test_strings_with_a_common_start_are_told_apart(spark):
+    rows = [(k, f"common_crawl_2019_{k % 40:02d}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = hilbert.shard_rows(df, ["source"], ["doc_id"], 16).groupBy("shard").agg(F.countDistinct("source").alias("n"), F.max("source").alias("z"), F.min("source").alias("a")).orderBy("shard").collect()
+    assert max(r.n for r in got) <= 5 and all(p.z <= q.a or p.z == q.a for p, q in zip(got, got[1:], strict=False))
+
+
 def test_written_shards_read_back(spark, tmp_path):
     df = spark.range(500).withColumn("a", F.col("id") % 20).withColumn("b", F.col("id") % 7)
     hilbert.write_shards(hilbert.shard_rows(df, ["a", "b"], ["id"], 8), str(tmp_path / "s"))
