@@ -5,10 +5,11 @@ stripped at both ends, A-Z lower-cased). Distinct documents are counted per hash
 hashes that enough documents hold are dropped everywhere but in the document of the least key.
 What is left is put together by position.
 
-Only hashes, keys and positions are shuffled for the counts; each text moves once, to meet the
-positions that it loses. Documents per hash are counted by (hash, key) first and then by partial
-sums, so a line that a third of all documents carry is no task of its own; where such a line meets
-its documents again, AQE splits the join. No list is longer than the lines of one text.
+Texts are cut into lines once; only hashes, keys and positions are written and shuffled for the
+counts, and each text moves once, to meet the positions that it loses. Documents per hash are counted
+by (hash, key) first and then by partial sums, so a line that a third of all documents carry is no
+task of its own. Lines with more than one part in `HOT_PARTS` of all shared rows, fewer than
+that many by this rule, meet their rows by broadcast, the others by hash. No list is longer than the lines of one text.
 
 Defined cases: a null or empty text is one empty line and stays as it is; rows that share a key
 are one document, each row keeping its own positions; a null key is a document of its own that
@@ -21,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: white space that is stripped from a line.
 SPACE = " \t\n\x0b\x0c\r"
+#: A shared line with more than one part in so many of all rows of shared lines is hot.
+HOT_PARTS = 10_000
 
 
 def line_key(line: Column) -> Column:
@@ -45,10 +50,19 @@ def line_hashes(rows: DataFrame, least_chars: int) -> DataFrame:
 
 
 def shared_lines(hashes: DataFrame, least_docs: int) -> DataFrame:
-    """(_h1, _h2, _keeper, _docs): hashes in `least_docs` documents or more, with the least key that holds each."""
-    held = hashes.groupBy("_h1", "_h2", "_key").agg(F.lit(1).alias("_one"))
-    counted = held.groupBy("_h1", "_h2").agg(F.min("_key").alias("_keeper"), F.count("_one").alias("_docs"))
-    return counted.where(F.col("_docs") >= least_docs)
+    """(_h1, _h2, _keeper, _rows): hashes in `least_docs` documents or more, with the least key that holds each."""
+    held = hashes.groupBy("_h1", "_h2", "_key").agg(F.count(F.lit(1)).alias("_each"))
+    counted = held.groupBy("_h1", "_h2").agg(F.min("_key").alias("_keeper"), F.count("_each").alias("_docs"), F.sum("_each").alias("_rows"))
+    return counted.where(F.col("_docs") >= least_docs).drop("_docs")
+
+
+def kept_elsewhere(hashes: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of `hashes` whose line stays in another document. `shared` has been written."""
+    total = shared.agg(F.sum("_rows")).first()[0] or 0
+    is_hot = F.col("_rows") * HOT_PARTS > total
+    hot = F.broadcast(shared.where(is_hot).drop("_rows"))
+    few = hashes.join(hot, ["_h1", "_h2"], "left_anti").join(shared.where(~is_hot).drop("_rows"), ["_h1", "_h2"])
+    return hashes.join(hot, ["_h1", "_h2"]).unionByName(few).where(~F.col("_key").eqNullSafe(F.col("_keeper")))
 
 
 def drop_shared_lines(
@@ -61,10 +75,10 @@ def drop_shared_lines(
     """
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     slim = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_row"), split.alias("_lines"))
-    hashes = line_hashes(slim, least_chars)
-    shared = shared_lines(hashes, least_docs)
+    hashes = cut_lineage(line_hashes(slim, least_chars))
+    shared = cut_lineage(shared_lines(hashes, least_docs))
     lost = (
-        hashes.join(shared, ["_h1", "_h2"]).where(~F.col("_key").eqNullSafe(F.col("_keeper")))
+        kept_elsewhere(hashes, shared)
         .groupBy(F.col("_key").alias("_of"), F.col("_row").alias("_of_row")).agg(F.collect_set("_at").alias("_lost"))
     )
     # The lines stand for the text, so it moves once; the flag tells a null from an empty text.

@@ -1,5 +1,6 @@
 """Shared lines against a plain count over all lines."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from freshet.llm import line_dedup
@@ -39,7 +40,9 @@ ROWS = [
 ]
 
 
-def test_equals_plain_count(spark):
+@pytest.mark.parametrize("hot_parts", [1, 5, 10_000])
+def test_equals_plain_count(spark, monkeypatch, hot_parts):
+    monkeypatch.setattr(line_dedup, "HOT_PARTS", hot_parts)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("_key", F.lit("x")).withColumn("n_lines", F.lit(-1)).withColumn("line key", F.lit(1))
     for least_chars, least_docs in ((10, 2), (1, 3), (10, 4)):
         got = line_dedup.drop_shared_lines(docs, least_chars=least_chars, least_docs=least_docs)
@@ -53,10 +56,3 @@ def test_hot_line_and_empty_table(spark):
     got = line_dedup.drop_shared_lines(docs).collect()
     assert sorted(r.doc_id for r in got if r.n_dropped) == list(range(1, 3000)) and {r.n_dropped for r in got} == {0, 1}
     assert line_dedup.drop_shared_lines(docs.where("false")).count() == 0
-
-
-def test_texts_move_once(spark, sf_dir):
-    """The counts shuffle hashes and keys; only the last join carries lines."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    plan = line_dedup.drop_shared_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Generate posexplode") >= 1 and "CartesianProduct" not in plan
