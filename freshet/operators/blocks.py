@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 N_FOLDS = 5
 
 
-def half_width(window: int | None) -> int:
-    """Rows kept on each side of an event: 60 days of intervals, or 21 daily rows."""
+def half_width(window: int | Column | None) -> int | Column:
+    """Rows kept on each side of an event: 60 days of intervals, or 21 daily rows.
+
+    A column, over the key alone, gives every key its own interval length.
+    """
+    if isinstance(window, Column):
+        return F.ceil(60 / window).cast("int")
     return 21 if window is None else math.ceil(60 / window)
 
 
-def event_islands(df: DataFrame, window: int | None, key: str = "district", time: str = "time",
+def event_islands(df: DataFrame, window: int | Column | None, key: str = "district", time: str = "time",
                   label: str = "flood") -> DataFrame:
     """One row per block of events at most I rows apart: bounds in rows, clipped to the series."""
     reach = half_width(window)
@@ -43,17 +48,17 @@ def event_islands(df: DataFrame, window: int | None, key: str = "district", time
     )
 
 
-def trim_islands(islands: DataFrame, window: int | None, key: str = "district") -> DataFrame:
+def trim_islands(islands: DataFrame, window: int | Column | None, key: str = "district") -> DataFrame:
     """Share overlapping rows between neighbouring blocks: two thirds to the later one.
 
     e rows overlap when the events of two blocks are at most 2I intervals apart; the
     earlier block loses its last e - e//3 rows and the later one its first e//3.
     """
-    reach, days = half_width(window), window or 1
+    reach, days = half_width(window), 1 if window is None else window
     w = Window.partitionBy(key).orderBy("block")
 
     def overlap(earlier_time, later_time):
-        gap = F.ceil(F.datediff(later_time, earlier_time) / F.lit(days))
+        gap = F.ceil(F.datediff(later_time, earlier_time) / (days if isinstance(days, Column) else F.lit(days)))
         return F.when(gap <= 2 * reach, 2 * reach - gap + 1).otherwise(F.lit(0))
 
     with_next = overlap(F.col("last_time"), F.lead("first_time").over(w))
@@ -73,7 +78,7 @@ def block_rows(df: DataFrame, islands: DataFrame, key: str = "district", time: s
     return numbered.join(members, [key, "rn"]).drop("rn")
 
 
-def event_blocks(df: DataFrame, window: int | None, key: str = "district", time: str = "time",
+def event_blocks(df: DataFrame, window: int | Column | None, key: str = "district", time: str = "time",
                  label: str = "flood", trim: bool = True) -> DataFrame:
     """Cut the panel around its events; blocks are numbered by first day within a key."""
     islands = event_islands(df, window, key, time, label)

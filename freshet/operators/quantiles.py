@@ -145,22 +145,25 @@ def _scaled(c: str, low, mid, high):
     return ((F.col(c) - mid) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)).alias(c)
 
 
-def robust_scale(df: DataFrame, keys: list[str], columns: list[str], train=None) -> DataFrame:
+def robust_scale(df: DataFrame, keys: list[str], columns: list[str], train: Column | None = None) -> DataFrame:
     """(x - median) / (p75 - p25) per key; a zero range counts as 1.
 
-    Groups are daily series of one district, so the calendar bounds them. `train` is an
+    Groups are daily series of one district, so the calendar bounds them and a window over the key
+    computes its quartiles where the rows are; the frame is not evaluated a second time for them. `train` is an
     optional boolean column that restricts the rows the statistics are taken from.
     """
-    source = df if train is None else df.where(train)
-    stats = source.groupBy(*keys).agg(
-        *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
-    )
+    group = Window.partitionBy(*keys)
+
+    def quartiles(c: str) -> Column:
+        used = F.col(c) if train is None else F.when(train, F.col(c))
+        return F.percentile(used, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(group).alias(f"_q_{c}")
 
-    def scaled(c: str):
+    def scaled(c: str) -> Column:
         q = F.col(f"_q_{c}")
         return _scaled(c, q[0], q[1], q[2])
 
-    return df.join(stats, keys).select(*[scaled(c) if c in columns else F.col(c) for c in df.columns])
+    measured = df.select("*", *[quartiles(c) for c in columns])
+    return measured.select(*[scaled(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def robust_scale_all(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,17 +14,18 @@ def date_spine(df: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
 
 
 def resample(
-    df: DataFrame, keys: list[str], window: int, sums: list[str], maxima: list[str], time: str = "time"
+    df: DataFrame, keys: list[str], window: int | Column, sums: list[str], maxima: list[str], time: str = "time"
 ) -> DataFrame:
-    """Bins of `window` days anchored at each key's first day.
+    """Bins of `window` days anchored at each key's first day; a column over the keys gives each its own.
 
     Sums of an empty bin are 0 and maxima NULL. Empty bins are emitted by the bin before
     them, so no spine join is needed; the window, the aggregate and the gap filling all
     reuse one hash partitioning on the keys.
     """
     per_key = Window.partitionBy(*keys)
+    days = window if isinstance(window, Column) else F.lit(window)
     binned = df.withColumn("_first", F.min(time).over(per_key)).withColumn(
-        "_bin", F.floor(F.datediff(F.col(time), F.col("_first")) / window).cast("int")
+        "_bin", F.floor(F.datediff(F.col(time), F.col("_first")) / days).cast("int")
     )
     aggregated = binned.groupBy(*keys, "_bin").agg(
         F.first("_first").alias("_first"),
@@ -38,7 +39,7 @@ def resample(
     real = F.col("_at") == F.col("_bin")
     return filled.select(
         *keys,
-        F.expr(f"date_add(_first, _at * {int(window)})").alias(time),
+        F.date_add(F.col("_first"), (F.col("_at") * days).cast("int")).alias(time),
         *[F.when(real, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in sums],
         *[F.when(real, F.col(c)).alias(c) for c in maxima],
     )

@@ -15,6 +15,7 @@ from freshet.operators.scores import daily_scores
 from freshet.operators.windows import rain_history, spread_label_back, trailing_max
 from freshet.plans import workflows, views as V
 from freshet.plans.registry import query
+from freshet.session import cut_lineage
 from freshet.sources.tables import read_table
 
 WINDOW = 7
@@ -40,7 +41,8 @@ def district_frame(spark, d) -> DataFrame:
 
 
 def district_blocks(spark, d) -> DataFrame:
-    return B.event_blocks(district_frame(spark, d), WINDOW)
+    """Blocks of all districts, written once: supports, folds and fits read them several times."""
+    return cut_lineage(B.event_blocks(district_frame(spark, d), WINDOW))
 
 
 @query("group_folds")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.operators import blocks as B, learn as L, reshape as R
 from freshet.operators.impute import interpolate_linear, interpolate_spline
@@ -69,32 +69,61 @@ def _own_values(df: DataFrame, stations: list[str]) -> DataFrame:
     return df
 
 
-def interval_features(
-    daily: DataFrame, window: int, n_ahead: int, wavelet: bool = False, extra: Sequence[str] = (), late: Sequence[str] = ()
+def _chosen(configs: Sequence[tuple[int, int]], columns: Sequence[Column]) -> Column:
+    """Of one column per configuration the one that belongs to the row's window and n_ahead."""
+    own = [F.when((F.col("window") == w) & (F.col("n_ahead") == a), c) for (w, a), c in zip(configs, columns, strict=True)]
+    return F.coalesce(*own)
+
+
+def configured_features(
+    daily: DataFrame, configs: Sequence[tuple[int, int]], wavelet: bool = False, extra: Sequence[str] = (), late: Sequence[str] = ()
 ) -> DataFrame:
-    """Scaled interval features of every district for one configuration of `daily_features`.
+    """Scaled interval features of every district for many configurations of `daily_features` at once.
 
-    `extra` columns take their maximum per interval; those in `late` are lagged by the lead
-    as well. Only station columns that a district does not have count as 0.
+    The columns window and n_ahead tell them apart. Daily rows are copied per configuration after one
+    sort by district; from then on (window, n_ahead, district) is the key of a single shuffle, and
+    every bin, lag, filter and scale runs on its partitions. `extra` columns take their
+    maximum per interval; those in `late` are lagged by the lead as well. Only station columns
+    that a district does not have count as 0.
     """
-    key = ["district"]
+    keys = ["window", "n_ahead", "district"]
     stations = R.columns_like(daily, "^dis_station")
-    day_offset, interval_offset = discharge_offsets(window, n_ahead)
-    led = shift_columns(daily, key, "time", {c: day_offset for c in stations})
+    offsets = [discharge_offsets(w, a) for w, a in configs]
+    led = {f"_{-k}_{c}": (c, k) for k in {day for day, _ in offsets} for c in stations}
+    copied = daily.withColumns({name: F.col(c) for name, (c, _) in led.items()})
+    moved = shift_columns(copied, ["district"], "time", {name: k for name, (_, k) in led.items()})
+    options = F.array(*[
+        F.struct(F.lit(w).alias("window"), F.lit(a).alias("n_ahead"), *[F.col(f"_{-day}_{c}").alias(c) for c in stations])
+        for (w, a), (day, _) in zip(configs, offsets, strict=True)
+    ])
+    rest = [c for c in daily.columns if c not in stations]
+    expanded = moved.select(*rest, F.explode(options).alias("_o")).select(*rest, "_o.*")
     features = [*stations, "rainSM_L1", "soilM_2x4"]
-    bins = resample(led, key, window, ["rainfall"], [*features, *SEASON_DUMMIES, "flood", "n_stations", *extra])
-    lags = {c: interval_offset for c in stations} | {c: n_ahead for c in ("rainfall", "rainSM_L1", "soilM_2x4", *late)}
-    moved = shift_columns(bins, key, "time", lags)
-    complete = _own_values(moved.na.drop(subset=["rainfall", "rainSM_L1", "soilM_2x4", "flood", *late]), stations)
+    bins = resample(expanded, keys, F.col("window"), ["rainfall"], [*features, *SEASON_DUMMIES, "flood", "n_stations", *extra])
+    lagged = {c: [interval for _, interval in offsets] for c in stations}
+    lagged |= {c: [a for _, a in configs] for c in ("rainfall", "rainSM_L1", "soilM_2x4", *late)}
+    lags = {f"_{k}_{c}": (c, k) for c, each in lagged.items() for k in set(each)}
+    shifted = shift_columns(bins.withColumns({name: F.col(c) for name, (c, _) in lags.items()}), keys, "time", {name: k for name, (_, k) in lags.items()})
+    placed = shifted.select(*[
+        _chosen(configs, [F.col(f"_{k}_{c}") for k in lagged[c]]).alias(c) if c in lagged else F.col(c) for c in bins.columns
+    ])
+    complete = _own_values(placed.na.drop(subset=["rainfall", "rainSM_L1", "soilM_2x4", "flood", *late]), stations)
     absent = complete.select(*[
         F.when(F.col("n_stations") < stations.index(c) + 1, F.lit(0.0)).otherwise(F.col(c)).alias(c) if c in stations else F.col(c)
         for c in complete.columns if c != "n_stations"
     ])
     continuous = [*features, "rainfall"]
     if wavelet:
-        absent = swt(absent, key, continuous)
+        absent = swt(absent, keys, continuous)
         continuous = R.columns_like(absent, "_details_|_smooths_")
-    return robust_scale(absent, key, continuous).withColumn("flood", F.col("flood").cast("int"))
+    return robust_scale(absent, keys, continuous).withColumn("flood", F.col("flood").cast("int"))
+
+
+def interval_features(
+    daily: DataFrame, window: int, n_ahead: int, wavelet: bool = False, extra: Sequence[str] = (), late: Sequence[str] = ()
+) -> DataFrame:
+    """`configured_features` of one configuration."""
+    return configured_features(daily, [(window, n_ahead)], wavelet, extra, late).drop("window", "n_ahead")
 
 
 def district_features(
@@ -120,18 +149,26 @@ def district_forecast(
 
     The columns model, window, n_ahead and wt tell configurations apart and are the
     partition columns of the result sink. Districts without enough blocks have a row with
-    the `reason` and no scores. The filled daily frame is written once and shared.
+    the `reason` and no scores. The filled daily frame is written once and shared; features of all
+    configurations are one frame per wavelet setting, keyed by configuration and district.
     """
     daily = cut_lineage(daily_features(panel, max_stations, spline))
     parts = []
+    # A unit is one district in one configuration; blocks, folds and fits know nothing else.
+    unit = F.concat_ws("|", "window", "n_ahead", "district")
+    named = F.split("unit", "[|]", 3)
     for wavelet in wavelets:
-        for window, n_ahead in configs or configurations():
-            frame = interval_features(daily, window, n_ahead, wavelet)
-            blocked = cut_lineage(B.event_blocks(frame, window))
-            features = [c for c in frame.columns if c not in ("district", "time", "flood")]
-            scores = L.model_scores(L.district_logistic(blocked, features)).withColumn("reason", F.lit("ok"))
-            refused = B.block_support(blocked).where(F.col("reason") != "ok").select("district", "reason")
-            parts.append(_configured(union_all([scores, refused]), "LR", window, n_ahead, wavelet))
+        frame = configured_features(daily, list(configs or configurations()), wavelet)
+        features = [c for c in frame.columns if c not in ("window", "n_ahead", "district", "time", "flood")]
+        frame = cut_lineage(frame.select(unit.alias("unit"), "time", "flood", *features))
+        blocked = cut_lineage(B.event_blocks(frame, named[0].cast("int"), key="unit"))
+        scores = L.model_scores(L.district_logistic(blocked, features, key="unit"), "unit").withColumn("reason", F.lit("ok"))
+        refused = B.block_support(blocked, "unit").where(F.col("reason") != "ok").select("unit", "reason")
+        both = union_all([scores, refused])
+        parts.append(both.select(
+            F.lit("LR").alias("model"), named[0].cast("int").alias("window"), named[1].cast("int").alias("n_ahead"), F.lit(wavelet).alias("wt"),
+            named[2].alias("district"), *[c for c in both.columns if c != "unit"],
+        ))
     return union_all(parts)
 
 

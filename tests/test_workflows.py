@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators.windows import discharge_features
 from freshet.plans import workflows
+from freshet.session import cut_lineage
 from freshet.sources import sinks, tables
 
 START = dt.date(2000, 1, 1)
@@ -78,6 +79,42 @@ def test_features_are_complete_and_evenly_spaced(panel, wavelet):
     assert any(c.endswith("_details_3") for c in out) == wavelet
 
 
+def one_configuration(daily, window, n_ahead):
+    """Features of one configuration, step by step with literal window and offsets."""
+    from freshet.operators import reshape as R
+    from freshet.operators.quantiles import robust_scale
+    from freshet.operators.resample import resample
+    from freshet.operators.windows import discharge_offsets, shift_columns
+
+    stations = R.columns_like(daily, "^dis_station")
+    day, interval = discharge_offsets(window, n_ahead)
+    led = shift_columns(daily, ["district"], "time", {c: day for c in stations})
+    features = [*stations, "rainSM_L1", "soilM_2x4"]
+    bins = resample(led, ["district"], window, ["rainfall"], [*features, *workflows.SEASON_DUMMIES, "flood", "n_stations"])
+    lags = {c: interval for c in stations} | {c: n_ahead for c in ("rainfall", "rainSM_L1", "soilM_2x4")}
+    moved = shift_columns(bins, ["district"], "time", lags).na.drop(subset=["rainfall", "rainSM_L1", "soilM_2x4", "flood"])
+    whole = moved.where(" AND ".join(f"({c} IS NOT NULL OR n_stations < {k})" for k, c in enumerate(stations, 1)))
+    filled = whole.na.fill(0.0, subset=stations)
+    return robust_scale(filled, ["district"], [*features, "rainfall"])
+
+
+def test_all_configurations_come_from_one_frame(spark):
+    """Ten configurations equal ten single runs; lags, bins and scales share one exchange."""
+    daily = cut_lineage(workflows.daily_features(late_panel(spark, 200), spline=False))
+    together = workflows.configured_features(daily, workflows.configurations())
+    got = together.toPandas().sort_values(["window", "n_ahead", "district", "time"])
+    for window, n_ahead in workflows.configurations():
+        want = one_configuration(daily, window, n_ahead).toPandas().sort_values(["district", "time"])
+        mine = got[(got.window == window) & (got.n_ahead == n_ahead)]
+        assert len(mine) == len(want) > 0
+        for c in ("district", "time", "flood"):
+            assert mine[c].tolist() == want[c].tolist()
+        for c in ("dis_station1", "dis_station2", "rainfall", "rainSM_L1", "soilM_2x4", "spring"):
+            assert mine[c].astype(float).tolist() == pytest.approx(want[c].astype(float).tolist(), abs=1e-12), (window, n_ahead, c)
+    plan = workflows.configured_features(daily, workflows.configurations())._jdf.queryExecution().executedPlan().treeString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Join" not in plan
+
+
 def test_benchmark_and_forecast_find_the_signal(spark, panel, tmp_path):
     same_day = {r.district: r for r in workflows.benchmark(panel).collect()}
     assert len(same_day) == 3 and all(r.avg_pod > 0.9 for r in same_day.values())
