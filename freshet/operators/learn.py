@@ -26,6 +26,8 @@ from freshet.session import cut_lineage
 # Regularisation grids.
 LOGISTIC_C = [0.01, 0.05, 0.1, 0.5, 1, 1.25, 1.5]
 SVC_C = [0.001, 0.005, 0.01, 0.05, 0.1, 0.2, 0.5, 1]
+# Most boosting rounds of the panel model; rounds stop early on a held-back part.
+MOST_ROUNDS = 500
 # Fits of the panel model that run at once.
 PARALLEL_FITS = 8
 
@@ -311,12 +313,17 @@ def district_boosted(
 
 def sequence_classifier(
     sequenced: DataFrame, key: str = "district", label: str = "flood", seeds: tuple[int, ...] = tuple(range(1, 11)),
-    max_iter: int = 20, max_depth: int = 3, n_folds: int = N_FOLDS
+    max_iter: int = MOST_ROUNDS, max_depth: int = 3, n_folds: int = N_FOLDS, tolerance: float = 0.01
 ) -> tuple[DataFrame, DataFrame]:
     """Panel classifier on flattened sequences with district dummies.
 
-    Returns the fold scores of each fold's best seed and its scores per district.
+    Rounds are added until the loss on a held-back part falls by less than `tolerance` of itself in a
+    round, `max_iter` at most. The held-back part is the fold after the test fold, so whole event blocks
+    of every district; it is neither trained nor scored on. Returns the fold scores of each fold's
+    best seed, with the rounds it used, and its scores per district.
     """
+    if n_folds < 3:
+        raise ValueError("a test fold, a held-back fold and training rows take three folds at least")
     flat = class_weights(
         sequenced.withColumn("_flat", array_to_vector(F.flatten("sequence"))).drop("sequence"), label
     )
@@ -324,11 +331,12 @@ def sequence_classifier(
 
     def fitted(k: int, seed: int) -> DataFrame:
         gbt = GBTClassifier(
-            weightCol="weight", maxIter=max_iter, maxDepth=max_depth, stepSize=0.1, subsamplingRate=0.8, seed=seed
+            weightCol="weight", maxIter=max_iter, maxDepth=max_depth, stepSize=0.1, subsamplingRate=0.8, seed=seed,
+            validationIndicatorCol="_held", validationTol=tolerance,
         )
-        model = gbt.fit(prepared.where(F.col("fold") != k))
+        model = gbt.fit(prepared.where(F.col("fold") != k).withColumn("_held", F.col("fold") == k % n_folds + 1))
         part = model.transform(prepared.where(F.col("fold") == k))
-        return _predicted(part).withColumns({"test_fold": F.lit(k), "seed": F.lit(seed)})
+        return _predicted(part).withColumns({"test_fold": F.lit(k), "seed": F.lit(seed), "rounds": F.lit(model.getNumTrees)})
 
     # Fits are jobs of many short stages: a few at a time keep the executors busy.
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
@@ -342,6 +350,6 @@ def sequence_classifier(
         best = scored.agg(F.min_by("seed", F.struct(-F.col("f1"), "seed"))).first()[0]
         part = runs.where(F.col("seed") == best)
         best_parts = part if best_parts is None else best_parts.unionByName(part)
-    overall = add_skill(contingency(best_parts, ["test_fold", "seed"]))
+    overall = add_skill(contingency(best_parts, ["test_fold", "seed", "rounds"]))
     per_district = add_skill(contingency(best_parts, ["test_fold", key]))
     return overall, fold_summary(per_district, [key], ["f1", "csi", *CELLS])

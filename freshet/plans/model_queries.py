@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.functions.expressions import SEASONS, rounded, year_season
-from freshet.operators import blocks as B, compare as C, explore as E, reshape as R, scores as S, spatial as G, sweep as SW
+from freshet.operators import blocks as B, compare as C, explore as E, learn as L, reshape as R, scores as S, spatial as G, sweep as SW
 from freshet.operators.panel import clip_to_events
 from freshet.operators.resample import block_maxima, block_quantiles, resample
 from freshet.operators.windows import discharge_features, horizon_label, horizon_labels, minmax_scale
@@ -382,6 +382,25 @@ def block_support(spark, d):
     return B.block_support(B.event_blocks(district_days(spark, d), None))
 
 
+@query("balanced_folds", "v_days", _blocks_sql(_WEEK) + """,
+sizes AS (SELECT n.district, CAST(t.block AS BIGINT) AS block, COUNT(*) AS n_rows FROM num n
+          JOIN trimmed t ON t.district = n.district AND n.rn BETWEEN t.lo AND t.hi GROUP BY 1, 2),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY district ORDER BY n_rows DESC, block) AS k,
+           COUNT(*) OVER (PARTITION BY district) AS n_blocks FROM sizes),
+RECURSIVE_deal AS (
+  SELECT district, 0::BIGINT AS k, list_transform(range(LEAST(5, MAX(n_blocks))), lambda i: 0::BIGINT) AS loads,
+         NULL::BIGINT AS block, 0::BIGINT AS n_rows, NULL::INTEGER AS inner_fold
+  FROM ranked GROUP BY district
+  UNION ALL
+  SELECT d.district, r.k, list_transform(d.loads, lambda x, i: x + CASE WHEN i = list_position(d.loads, list_min(d.loads)) THEN r.n_rows ELSE 0 END),
+         r.block, r.n_rows, CAST(list_position(d.loads, list_min(d.loads)) - 1 AS INTEGER)
+  FROM deal d JOIN ranked r ON r.district = d.district AND r.k = d.k + 1)
+SELECT district, block, n_rows, inner_fold FROM deal WHERE block IS NOT NULL""")
+def balanced_folds(spark, d):
+    """Whole blocks dealt to the lightest fold, the largest first; the SQL deals them one by one."""
+    return L.group_folds(B.event_blocks(district_bins(spark, d), _WEEK))
+
+
 @query("fold_train_rows", "v_days", _blocks_sql(_WEEK) + """,
 f AS (SELECT n.district, n.time, n.flood, (DENSE_RANK() OVER (PARTITION BY n.district ORDER BY t.block) - 1) % 5 + 1 AS fold
       FROM num n JOIN trimmed t ON t.district = n.district AND n.rn BETWEEN t.lo AND t.hi)

@@ -162,9 +162,9 @@ def panel_completeness(spark, d):
 
 
 @query("active_districts", "v_nation_series v_nation_impact", """
-SELECT s.district, s.time, s.dis FROM v_nation_series s
-WHERE s.district IN (SELECT s2.district FROM v_nation_series s2
-                     JOIN v_nation_impact i ON i.district = s2.district AND i.time = s2.time)""")
+WITH hits AS MATERIALIZED (SELECT DISTINCT district, time FROM v_nation_impact),
+active AS MATERIALIZED (SELECT DISTINCT s.district FROM v_nation_series s JOIN hits USING (district, time))
+SELECT s.district, s.time, s.dis FROM v_nation_series s JOIN active USING (district)""")
 def active_districts(spark, d):
     """Districts whose event total over the observed days is not zero."""
     panel = P.attach_impact(V.v_nation_series(spark, d), V.v_nation_impact(spark, d))
@@ -321,10 +321,9 @@ def static_attributes(spark, d):
 
 
 @query("neighbour_max", "v_nation_series v_neigh", """
-SELECT s.district, s.time, s.dis, m."NB_dis" FROM v_nation_series s
-LEFT JOIN (SELECT k.district, f.time, MAX(f.dis) AS "NB_dis" FROM v_nation_series f
-           JOIN v_neigh k ON k.neighbour = f.district GROUP BY 1, 2) m
-ON m.district = s.district AND m.time = s.time""")
+WITH per_day AS MATERIALIZED (SELECT district, time, MAX(dis) AS dis FROM v_nation_series GROUP BY 1, 2),
+beside AS MATERIALIZED (SELECT k.district, f.time, MAX(f.dis) AS "NB_dis" FROM v_neigh k JOIN per_day f ON f.district = k.neighbour GROUP BY 1, 2)
+SELECT s.district, s.time, s.dis, m."NB_dis" FROM v_nation_series s LEFT JOIN beside m USING (district, time)""")
 def neighbour_max(spark, d):
     return P.neighbour_maxima(V.v_nation_series(spark, d), V.v_neigh(spark, d), ["dis"])
 

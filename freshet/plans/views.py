@@ -336,7 +336,8 @@ def view_sql(names: list[str], select: str) -> str:
     for name in names:
         add(name)
     recursive = "RECURSIVE " if "RECURSIVE_" in select else ""
-    ctes = ",\n".join(f"{n} AS ({_VIEWS[n][1]})" for n in done)
+    # Several parts of a statement read a view; each is computed once.
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({_VIEWS[n][1]})" for n in done)
     body = select.replace("RECURSIVE_", "").strip()
     joiner = ",\n" if body.upper().startswith("WITH ") else "\n"
     if body.upper().startswith("WITH "):

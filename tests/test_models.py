@@ -250,8 +250,13 @@ def test_panel_learners_return_one_row_per_district(spark):
     svc = L.district_svc(blocked, ["x"], grid=[1.0])
     assert svc.count() == blocked.count()
     seqs = B.sequences(B.block_folds(blocked), ["district", "block", "fold"], "time", ["x"], 3)
-    overall, per_district = L.sequence_classifier(seqs, seeds=(1,), max_iter=2, n_folds=2)
-    assert overall.count() == 2 and per_district.count() == 2
+    overall, per_district = L.sequence_classifier(seqs, seeds=(1,), max_iter=40, n_folds=3)
+    assert per_district.count() == 2
+    # Rounds end where the held-back fold no longer gains, not at the limit, and are reported per fit.
+    rounds = {r.test_fold: r.rounds for r in overall.collect()}
+    assert set(rounds) == {1, 2, 3} and all(1 <= n <= 40 for n in rounds.values()) and min(rounds.values()) < 40
+    with pytest.raises(ValueError, match="three folds"):
+        L.sequence_classifier(seqs, n_folds=2)
 
 
 def learner_rows(seed=21, n=500, gap=60):
