@@ -347,6 +347,73 @@ def dissolve_boundary(edges: DataFrame, members: DataFrame, key: str, zone: str)
     )
 
 
+def directed_boundary(edges: DataFrame, members: DataFrame, key: str, zone: str) -> DataFrame:
+    """`dissolve_boundary` with directions: every edge has the zone on its left.
+
+    A polygon that runs clockwise as a whole is turned; its holes must run against its outline.
+    """
+    turned = edges.groupBy(key).agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) < 0).alias("_turn"))
+    start, end = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    sided = edges.join(turned, key).join(members, key).select(
+        zone, F.least(start, end).alias("_a"), F.greatest(start, end).alias("_b"), ((start <= end) != F.col("_turn")).alias("_up")
+    )
+    once = sided.groupBy(zone, "_a", "_b").agg(F.count(F.lit(1)).alias("_k"), F.first("_up").alias("_up")).where(F.col("_k") == 1)
+    a, b = F.when(F.col("_up"), F.col("_a")).otherwise(F.col("_b")), F.when(F.col("_up"), F.col("_b")).otherwise(F.col("_a"))
+    return once.select(zone, a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+
+
+def rings(boundary: DataFrame, zone: str) -> DataFrame:
+    """Ordered rings of directed edges (zone, x1, y1, x2, y2) with the zone on their left, one row per ring.
+
+    (zone, x, y, n_vertices, area, outer, closed, vertices): a ring begins at its least vertex (x, y); `area` is
+    negative for holes. Each edge points to the next one; where rings touch, to the first edge clockwise
+    from where it came. Pointers are then doubled: after round k an edge knows the least edge among the next
+    2^k and its distance, so a ring takes rounds with the logarithm of its length, each one join written to the
+    checkpoint folder. Lines that do not close are rows with `closed` false, from their first edge on.
+    """
+    named = cut_lineage(boundary.withColumn("_e", F.monotonically_increasing_id()))
+    leaving = named.select(zone, F.col("_e").alias("_n"), F.col("x1").alias("_vx"), F.col("y1").alias("_vy"), F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("_go"))
+    coming = named.select(zone, "_e", F.col("x2").alias("_vx"), F.col("y2").alias("_vy"), F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2")).alias("_back"))
+    angle = F.col("_back") - F.col("_go")
+    turn = F.when(angle <= 0, angle + 2 * F.pi()).otherwise(angle)
+    following = coming.join(leaving, [zone, "_vx", "_vy"]).groupBy("_e").agg(F.min_by("_n", F.struct(turn, "_n")).alias("_next"))
+    me = F.struct("x1", "y1", "x2", "y2", "_e")
+    zero = F.lit(0).cast("long")
+    state = cut_lineage(named.join(following, "_e", "left").select(
+        "_e", "_next", me.alias("_least"), zero.alias("_off"), zero.alias("_steps"), F.col("_e").alias("_last")
+    ))
+    reach = 1
+    while True:
+        there = state.select(F.col("_e").alias("_next"), *[F.col(c).alias(f"t{c}") for c in ("_next", "_least", "_off", "_steps", "_last")])
+        joined = state.join(there, "_next", "left")
+        lower = F.coalesce(F.col("t_least") < F.col("_least"), F.lit(False))
+        moved = cut_lineage(joined.select(
+            "_e", F.col("t_next").alias("_next"), F.when(lower, F.col("t_least")).otherwise(F.col("_least")).alias("_least"),
+            F.when(lower, F.col("t_off") + reach).otherwise(F.col("_off")).alias("_off"),
+            F.when(F.col("_next").isNull(), F.col("_steps")).otherwise(F.col("t_steps") + reach).alias("_steps"),
+            F.coalesce("t_last", "_last").alias("_last"), (lower | (F.col("_next").isNotNull() & F.col("t_next").isNull())).alias("_changed"),
+        ))
+        state, reach = moved.drop("_changed"), reach * 2
+        if moved.where("_changed").isEmpty():
+            break
+    # On an open line the pointer runs off its end; its edges share the last one.
+    closed = F.col("_next").isNotNull()
+    placed = named.join(state, "_e").select(
+        zone, "x1", "y1", "x2", "y2", closed.alias("closed"), F.when(closed, F.col("_least._e")).otherwise(F.col("_last")).alias("_ring"),
+        F.when(closed, -F.col("_off")).otherwise(-F.col("_steps")).alias("_at"), (closed & (F.col("_off") == 0)).alias("_head"),
+    )
+    # The head is 0 steps from itself; all others come after it in falling distance.
+    order = F.struct((~F.col("_head")).alias("h"), F.col("_at").alias("at"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    made = placed.groupBy(zone, "closed", "_ring").agg(
+        F.count(F.lit(1)).alias("n_vertices"), (F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"), F.array_sort(F.collect_list(order)).alias("_v")
+    )
+    first = F.col("_v")[0]
+    return made.select(
+        zone, first["x"].alias("x"), first["y"].alias("y"), "n_vertices", "area", (F.col("area") > 0).alias("outer"), "closed",
+        F.transform("_v", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("vertices"),
+    )
+
+
 def station_points(stations: DataFrame, panel: DataFrame) -> DataFrame:
     """Point per station, only for stations that occur in the panel."""
     return stations.join(panel.select("station").distinct(), "station", "left_semi").select(

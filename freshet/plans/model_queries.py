@@ -846,6 +846,35 @@ def dissolve_boundary(spark, d):
     return G.dissolve_boundary(edges.drop("brand"), members, "hybas_id", "zone")
 
 
+@query("boundary_rings", "v_basin_edges", """
+WITH RECURSIVE_ sides AS (SELECT hybas_id, SUM(x1 * y2 - x2 * y1) < 0 AS turned FROM v_basin_edges GROUP BY 1),
+directed AS (SELECT brand AS zone, CASE WHEN turned THEN x2 ELSE x1 END AS x1, CASE WHEN turned THEN y2 ELSE y1 END AS y1,
+  CASE WHEN turned THEN x1 ELSE x2 END AS x2, CASE WHEN turned THEN y1 ELSE y2 END AS y2 FROM v_basin_edges JOIN sides USING (hybas_id)),
+once AS (SELECT zone, x1, y1, x2, y2, COUNT(*) OVER (PARTITION BY zone, LEAST({'x': x1, 'y': y1}, {'x': x2, 'y': y2}),
+  GREATEST({'x': x1, 'y': y1}, {'x': x2, 'y': y2})) AS k FROM directed),
+e AS MATERIALIZED (SELECT zone, x1, y1, x2, y2, ROW_NUMBER() OVER (ORDER BY zone, x1, y1, x2, y2) AS id FROM once WHERE k = 1),
+turns AS (SELECT i.id, o.id AS following, ATAN2(i.y1 - i.y2, i.x1 - i.x2) - ATAN2(o.y2 - o.y1, o.x2 - o.x1) AS t
+  FROM e i JOIN e o ON o.zone = i.zone AND o.x1 = i.x2 AND o.y1 = i.y2),
+succ AS MATERIALIZED (SELECT id, ARG_MIN(following, CASE WHEN t <= 0 THEN t + 2 * PI() ELSE t END) AS following FROM turns GROUP BY 1),
+walk AS (SELECT id AS head, id AS cur, 0 AS k FROM e
+  UNION ALL SELECT w.head, s.following, w.k + 1 FROM walk w JOIN succ s ON s.id = w.cur WHERE s.following > w.head),
+ends AS (SELECT head FROM walk w JOIN succ s ON s.id = w.cur WHERE s.following = w.head)
+SELECT h.zone, h.x1 AS x, h.y1 AS y, COUNT(*) AS n_vertices, ROUND(SUM(e.x1 * e.y2 - e.x2 * e.y1) / 2, 6) AS area,
+  SUM(e.x1 * e.y2 - e.x2 * e.y1) > 0 AS "outer", ROUND(SUM(w.k * e.x1), 6) AS path_x, ROUND(SUM(w.k * e.y1), 6) AS path_y
+FROM walk w JOIN ends USING (head) JOIN e ON e.id = w.cur JOIN e h ON h.id = w.head GROUP BY w.head, h.zone, h.x1, h.y1""")
+def boundary_rings(spark, d):
+    """Outlines and holes of the dissolved zones as ordered rings; the paths weigh vertices by their place."""
+    edges = V.v_basin_edges(spark, d)
+    members = edges.select("hybas_id", F.col("brand").alias("zone")).distinct()
+    found = G.rings(G.directed_boundary(edges.drop("brand"), members, "hybas_id", "zone"), "zone")
+
+    def path(c: str):
+        placed = F.transform("vertices", lambda v, k: k * v[c])
+        return F.round(F.aggregate(placed, F.lit(0.0), lambda s, x: s + x), 6)
+
+    return found.where("closed").select("zone", "x", "y", "n_vertices", F.round("area", 6).alias("area"), "outer", path("x").alias("path_x"), path("y").alias("path_y"))
+
+
 @query("station_points", "v_stations", """
 SELECT s.station, s.lon, s.lat FROM v_stations s
 WHERE s.station IN (SELECT l_suppkey FROM lineitem)""")

@@ -179,3 +179,34 @@ def test_long_river_needs_few_rounds(spark):
     seeds = spark.createDataFrame([("a", 5), ("b", 200)], "zone string, hybas_id long")
     out = {(r.zone, r.hybas_id) for r in G.upstream_closure(chain, seeds).collect()}
     assert out == {("a", k) for k in range(5, 301)} | {("b", k) for k in range(200, 301)}
+
+
+def test_rings_of_holes_touching_parts_and_open_lines(spark):
+    """A block with a hole, a part that touches it at a corner, a clockwise neighbour, and a line that does not close."""
+    schema = "id string, x1 double, y1 double, x2 double, y2 double"
+    cells = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)] + [(3, 3)]
+    rows = [(f"{x}{y}", *e[1:]) for x, y in cells for e in (shifted("", float(x), float(y)) if (x, y) != (2, 0) else [(k, c, d, a, b) for k, a, b, c, d in shifted("", 2.0, 0.0)])]
+    edges = spark.createDataFrame(rows, schema)
+    members = edges.select("id", F.lit("z").alias("zone")).distinct()
+    boundary = G.directed_boundary(edges, members, "id", "zone")
+    line = spark.createDataFrame([("line", 9.0, 9.0, 8.0, 8.0), ("line", 8.0, 8.0, 8.5, 9.0)], "zone string, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.zone, r.x, r.y): r for r in G.rings(boundary.unionByName(line), "zone").collect()}
+    assert {k: (r.n_vertices, r.area, r.outer, r.closed) for k, r in got.items() if r.closed} == {
+        ("z", 0.0, 0.0): (12, 9.0, True, True), ("z", 1.0, 1.0): (4, -1.0, False, True), ("z", 3.0, 3.0): (4, 1.0, True, True),
+    }
+    assert [(v.x, v.y) for v in got["z", 1.0, 1.0].vertices] == [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0)]
+    assert [(v.x, v.y) for v in got["line", 9.0, 9.0].vertices] == [(9.0, 9.0), (8.0, 8.0)] and not got["line", 9.0, 9.0].closed
+    outline = [(v.x, v.y) for v in got["z", 0.0, 0.0].vertices]
+    assert outline[0] == (0.0, 0.0) and all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(outline, outline[1:] + outline[:1]))
+
+
+def test_a_long_ring_takes_logarithmic_rounds(spark, monkeypatch):
+    n, written = 100_000, []
+    monkeypatch.setattr(G, "cut_lineage", lambda df, f=G.cut_lineage: written.append(1) or f(df))
+    at = lambda k: [F.cos(2 * F.pi() * (k % n) / n).alias("x"), F.sin(2 * F.pi() * (k % n) / n).alias("y")]
+    k = F.col("id")
+    ring = spark.range(n).select(F.lit("z").alias("zone"), *(c.alias(f"x{i}" if j == 0 else f"y{i}") for i, p in ((1, at(k)), (2, at(k + 1))) for j, c in enumerate(p)))
+    row = G.rings(ring.orderBy(F.xxhash64("x1")), "zone").first()
+    assert row.n_vertices == n and row.closed and row.outer and len(written) <= 2 + 19
+    turn = np.unwrap(np.arctan2([v.y for v in row.vertices], [v.x for v in row.vertices]))
+    assert (np.diff(turn) > 0).all() and turn[-1] - turn[0] < 2 * np.pi
