@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from freshet.functions.expressions import SEASONS, rounded, year_season
 from freshet.operators import blocks as B, compare as C, explore as E, learn as L, reshape as R, scores as S, spatial as G, sweep as SW
@@ -11,7 +13,9 @@ from freshet.operators.resample import block_maxima, block_quantiles, resample
 from freshet.operators.windows import discharge_features, horizon_label, horizon_labels, minmax_scale
 from freshet.plans import workflows, views as V
 from freshet.plans.registry import query
-from freshet.sources.tables import read_table
+from freshet.session import use_checkpoint_dir
+from freshet.sources.sinks import write_results, write_table
+from freshet.sources.tables import read_ranked_results, read_results, read_table
 from freshet.plans.views import CELLS_SQL, EVENT_SCORES_SQL, MODELS, SCORES_SQL
 
 KEYS = ["district", "station"]
@@ -592,6 +596,29 @@ def best_model(spark, d):
     return best.select("district", "best_model", "f1", "csi", *rounded(S.CELLS))
 
 
+def ranked_results(spark, d, folder: str) -> DataFrame:
+    """Results and their ranking by mean f1 written to `folder`, and the best read back."""
+    results = V.v_results(spark, d).withColumns({"window": F.lit(1), "n_ahead": F.lit(1), "wt": F.lit(False)})
+    write_results(results, f"{folder}/results")
+    keys = ["model", "window", "n_ahead", "wt"]
+    means = read_results(spark, f"{folder}/results").groupBy(*keys).agg(F.round(F.avg("f1"), 9).alias("mean_f1"))
+    # One row per configuration is ranked.
+    placed = means.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_f1").desc(), "model")))
+    write_table(placed, f"{folder}/ranking")
+    return read_ranked_results(spark, f"{folder}/results", f"{folder}/ranking", 2)
+
+
+@query("best_results", "v_results", """
+WITH means AS (SELECT model, ROUND(AVG(f1), 9) AS mean_f1 FROM v_results GROUP BY 1),
+placed AS (SELECT *, ROW_NUMBER() OVER (ORDER BY mean_f1 DESC, model) AS rank FROM means)
+SELECT p.rank, p.mean_f1, r.model, r.district, r.f1, r.csi FROM v_results r JOIN placed p USING (model) WHERE p.rank <= 2""")
+def best_results(spark, d):
+    """The two best configurations' results, found through the ranking; only their folders are read."""
+    use_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/results-{uuid.uuid4().hex}"
+    return ranked_results(spark, d, folder).select("rank", "mean_f1", "model", "district", "f1", "csi")
+
+
 @query("proportions", "v_results", """
 SELECT model, district, """ + ", ".join(
     f"ROUND({c} / (hits + misses + false_alarms + corr_neg), 6) AS {c}" for c in S.CELLS) + " FROM v_results")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -103,12 +104,36 @@ def read_results(spark: SparkSession, path: str, models: list[str] | None = None
     return df
 
 
+def read_ranked_results(spark: SparkSession, path: str, ranking: str, most: int = 1) -> DataFrame:
+    """Result sets of the configurations that a ranking table places up to `most`.
+
+    The ranking (model, window, n_ahead, wt, rank) is a small table of its own. It is joined by the partition
+    columns of the results, so Spark reads it first and then opens the folders of the chosen configurations only.
+    """
+    chosen = spark.read.parquet(ranking).where(F.col("rank") <= most)
+    return read_results(spark, path).join(chosen, ["model", "window", "n_ahead", "wt"])
+
+
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table at `path`; when absent, build it, write it once, then read it back."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    build().write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    """Read the table published at `path`; when there is none, build it, publish it, then read it back.
+
+    A build goes to a folder of its own under `path`, and a marker that names it is written when it is
+    complete. What an aborted build has left is never read; of two builders at once the last to finish is read.
+    """
+    marker = f"{path}/published"
+
+    def published() -> str | None:
+        try:
+            row = spark.read.text(marker).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return row[0] if row else None
+
+    name = published()
+    if name is None:
+        name = uuid.uuid4().hex
+        build().write.mode("errorifexists").parquet(f"{path}/builds/{name}")
+        spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.mode("overwrite").text(marker)
+    return spark.read.parquet(f"{path}/builds/{name}")

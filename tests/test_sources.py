@@ -51,6 +51,29 @@ def test_read_or_build_builds_once(spark, tmp_path):
     assert calls == [1]
 
 
+def test_an_aborted_build_is_not_read(spark, tmp_path):
+    """A first write that fails half way, and a folder without a marker, are built anew."""
+    path = str(tmp_path / "cache")
+    broken = spark.range(100, numPartitions=4).select(F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        tables.read_or_build(spark, path, lambda: broken)
+    (tmp_path / "cache" / "builds" / "half").mkdir(parents=True)
+    spark.range(1).write.parquet(f"{path}/builds/half/part")
+    assert tables.read_or_build(spark, path, lambda: spark.range(5)).count() == 5
+    assert tables.read_or_build(spark, path, lambda: spark.range(7)).count() == 5
+    spark.range(3).write.parquet(str(tmp_path / "plain"))
+    assert tables.read_or_build(spark, str(tmp_path / "plain"), lambda: spark.range(2)).count() == 2
+
+
+def test_ranked_results_open_only_the_best_folders(spark, sf_dir, tmp_path):
+    from freshet.plans.model_queries import ranked_results
+
+    out = ranked_results(spark, sf_dir, str(tmp_path))
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().treeString()
+    rows = out.collect()
+    assert {r["rank"] for r in rows} == {1, 2} and len({r.model for r in rows}) == 2
+
+
 def test_results_round_trip_prunes_partitions(spark, tmp_path):
     rows = [("LR", 3, 1, True, "d", 0.5), ("LR", 3, 1, False, "d", 0.4), ("SVC", 5, 2, True, "d", 0.3)]
     df = spark.createDataFrame(rows, "model string, window int, n_ahead int, wt boolean, district string, f1 double")
