@@ -1,11 +1,13 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-`build_index` turns the documents into shards. A shard holds the postings of its words: for each
+`build_index` turns the documents into shards. A shard holds the postings of all its words: for each
 term the ascending positions at which it occurs, counted over the documents of the shard with a
-gap between documents. The index is kept in the checkpoint folder and may be searched any number
-of times. A search takes the test items in blocks of bounded size; inside each shard it intersects
-the offset-adjusted lists of a window from its rarest term on. No posting is shuffled, so a term
-that a third of all documents share costs each shard its own share only.
+gap between documents. The index is kept in the checkpoint folder, does not depend on what is searched
+and may be searched any number of times. A search takes the test items in blocks of bounded size;
+inside each shard the windows whose words all occur are looked up by their rarest term, and its
+postings are intersected with the offset-adjusted lists of the next rarer ones, step by step for all
+windows together. No posting is shuffled, so a term that a third of all documents share costs each
+shard its own share only.
 
 Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased. A window is
 `width` consecutive words of an item; an item of fewer words is one window.
@@ -32,6 +34,8 @@ from freshet.session import cut_lineage
 WIDTH = 13
 #: Bytes of item texts searched at once, and blocks between two checkpoints.
 BLOCK_BYTES = 4 << 20
+#: Positions that are looked up at once.
+CANDIDATES = 1 << 20
 BLOCKS_PER_CHECKPOINT = 8
 #: Bytes that valid UTF-8 never has; stands between two documents.
 BREAK = b"\xff"
@@ -60,8 +64,17 @@ class Block:
         for k in range(max(1, len(found) - width + 1) if found else 0):
             self.windows.setdefault(tuple(found[k:k + width]), set()).add(name)
 
-    def terms(self) -> set[bytes]:
-        return {w for window in self.windows for w in window}
+    def arrays(self) -> tuple[list[bytes], list[tuple[np.ndarray, list[list[str]]]]]:
+        """The terms, and for each length of windows their terms by number (a row each) with the items that have them."""
+        terms = sorted({w for window in self.windows for w in window})
+        number = {w: k for k, w in enumerate(terms)}
+        by_length: dict[int, list[tuple[bytes, ...]]] = {}
+        for window in self.windows:
+            by_length.setdefault(len(window), []).append(window)
+        return terms, [
+            (np.array([[number[w] for w in window] for window in same], np.int64), [sorted(self.windows[window]) for window in same])
+            for same in by_length.values()
+        ]
 
 
 def item_blocks(items: DataFrame, key: str, text: str, width: int, most: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -80,24 +93,17 @@ def _lists(values: list[np.ndarray | list], kind: pa.DataType) -> pa.Array:
     return pa.array([v.tolist() if isinstance(v, np.ndarray) and kind == pa.binary() else v for v in values], pa.list_(kind))
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: set[bytes] | None = None) -> DataFrame:
-    """Index shards of whole documents, one row per run of a few MB of text.
-
-    With `terms` only their postings are stored, which is all a search for them reads.
-    """
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Index shards of whole documents, one row per run of a few MB of text."""
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     table = word_table()
-    known = None if terms is None else {w: k for k, w in enumerate(sorted(terms), 1)}
 
     def shard(part: pa.RecordBatch) -> pa.RecordBatch:
         # Each text is followed by a break, so windows never run over its end.
         texts = [(t or "").encode() for t in part.column(1).to_pylist()]
         tokens = (b" " + BREAK + b" ").join([*texts, b""]).translate(table).split()
-        if known is None:
-            names = sorted(set(tokens) - {BREAK})
-            number = {w: k for k, w in enumerate(names, 1)}
-        else:
-            names, number = list(known), dict(known)
+        names = sorted(set(tokens) - {BREAK})
+        number = {w: k for k, w in enumerate(names, 1)}
         number[BREAK] = -1
         ids = np.fromiter(map(number.get, tokens, repeat(0)), np.int32, len(tokens))
         breaks = np.flatnonzero(ids == -1)
@@ -136,33 +142,58 @@ class Shard:
             return row[name].values.to_numpy(zero_copy_only=False)
 
         self.n_words, self.starts, self.positions = numbers("n_words"), numbers("starts"), numbers("positions")
-        ends = numbers("ends").tolist()
-        self.bounds = dict(zip(row["terms"].values.to_pylist(), zip([0, *ends], ends), strict=False))
+        self.ends = numbers("ends").astype(np.int64)
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.rank = {w: k for k, w in enumerate(row["terms"].values.to_pylist())}
         self.total = int(self.n_words.sum()) + len(self.n_words)
+        # Positions of all lists, each list in a range of its own.
+        self.keys = np.repeat(np.arange(len(self.sizes)), self.sizes) * self.total + self.positions
 
     def postings(self, term: bytes) -> np.ndarray:
-        low, high = self.bounds[term]
-        return self.positions[low:high]
+        k = self.rank[term]
+        return self.positions[self.ends[k] - self.sizes[k]:self.ends[k]]
 
     def size(self, term: bytes) -> int:
-        low, high = self.bounds.get(term, (0, 0))
-        return high - low
-
-    def occurrences(self, window: tuple[bytes, ...]) -> np.ndarray:
-        """Positions at which the window starts: lists shifted by their offsets, rarest first."""
-        sizes = [self.size(w) for w in window]
-        if not all(sizes):
-            return np.zeros(0, np.int32)
-        order = sorted(range(len(window)), key=sizes.__getitem__)
-        found = self.postings(window[order[0]]) - order[0]
-        for k in order[1:]:
-            listed = self.postings(window[k])
-            at = np.searchsorted(listed, found + k)
-            at[at == len(listed)] = 0
-            found = found[listed[at] == found + k]
-            if not len(found):
-                break
-        return found
+        return int(self.sizes[self.rank[term]]) if term in self.rank else 0
+
+    def ranks(self, terms: list[bytes]) -> np.ndarray:
+        """Place of each term among those of the shard, -1 if it has none."""
+        return np.fromiter((self.rank.get(w, -1) for w in terms), np.int64, len(terms))
+
+    def occurrences(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, position) pairs at which rows of `windows` (ranks of terms) start, for some rows after the other.
+
+        Each row begins with the postings of its rarest term; what is left of them is looked up in the next
+        rarer list at its offset. Lists lie one behind the other, so one sorted array answers for all rows.
+        """
+        rows = np.flatnonzero((windows >= 0).all(axis=1))
+        sizes = self.sizes[windows[rows]]
+        order = np.argsort(sizes, axis=1, kind="stable")
+        width = windows.shape[1]
+        starts = np.cumsum(sizes[np.arange(len(rows)), order[:, 0]]) if len(rows) else np.zeros(0, np.int64)
+        low = 0
+        while low < len(rows):
+            high = max(low + 1, int(np.searchsorted(starts, (starts[low - 1] if low else 0) + CANDIDATES, "right")))
+            own, by = windows[rows[low:high]], order[low:high]
+            first = own[np.arange(high - low), by[:, 0]]
+            counts = self.sizes[first]
+            at = np.repeat(np.arange(high - low), counts)
+            begins = self.ends[first] - counts
+            where = np.repeat(begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(at))
+            position = self.positions[where].astype(np.int64) - by[at, 0]
+            fits = (position >= 0) & (position + width <= self.total)
+            at, position = at[fits], position[fits]
+            for k in range(1, width):
+                if not len(at):
+                    break
+                offset = by[at, k]
+                wanted = own[at, offset] * self.total + position + offset
+                found = np.searchsorted(self.keys, wanted)
+                found[found == len(self.keys)] = 0
+                hit = self.keys[found] == wanted
+                at, position = at[hit], position[hit]
+            yield rows[low:high][at], position
+            low = high
 
     def near(self, terms: list[bytes], reach: int) -> np.ndarray:
         """Positions of the rarest of `terms` that have all others within `reach` words in the same document."""
@@ -192,9 +223,10 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.ListScalar]]:
 
 def _search_block(index: DataFrame, block: Block) -> DataFrame:
     """The index with the hits of one block of items added."""
-    shared = index.sparkSession.sparkContext.broadcast([(w, sorted(names)) for w, names in block.windows.items()])
+    shared = index.sparkSession.sparkContext.broadcast(block.arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, groups = shared.value
         for batch in batches:
             hit_starts, hit_ends, item_docs, item_ids = [], [], [], []
             for row in _rows(batch):
@@ -203,12 +235,13 @@ def _search_block(index: DataFrame, block: Block) -> DataFrame:
                 np.add.at(edge, row["hit_starts"].values.to_numpy(), 1)
                 np.add.at(edge, row["hit_ends"].values.to_numpy(), -1)
                 pairs = set(zip(row["item_docs"].values.to_pylist(), row["item_ids"].values.to_pylist(), strict=True))
-                for window, names in shared.value:
-                    found = shard.occurrences(window)
-                    if len(found):
+                ranks = shard.ranks(terms)
+                for windows, names in groups:
+                    for at, found in shard.occurrences(ranks[windows]):
                         np.add.at(edge, found, 1)
-                        np.add.at(edge, found + len(window), -1)
-                        pairs.update((int(d), name) for d in np.unique(shard.home(found)) for name in names)
+                        np.add.at(edge, found + windows.shape[1], -1)
+                        each = np.unique(np.stack([shard.home(found), at]), axis=1)
+                        pairs.update((d, name) for d, k in each.T.tolist() for name in names[k])
                 covered = np.diff(np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]]).astype(np.int8))
                 hit_starts.append(np.flatnonzero(covered == 1).astype(np.int32))
                 hit_ends.append(np.flatnonzero(covered == -1).astype(np.int32))
@@ -263,12 +296,7 @@ def phrase_matches(
 ) -> DataFrame:
     """One row per document: key, n_words, n_hit, hits (word ranges), items (ids with occurring windows)."""
     blocks = item_blocks(items, item_key, item_text, width, block_bytes)
-    first, second = next(blocks, None), next(blocks, None)
-    # One block: its terms are all that is ever looked up. More: store all postings once.
-    index = build_index(docs, key, text, first.terms() if first and not second else None if second else set())
-    done = 0
-    for block in filter(None, [first, second]):
-        index, done = _search_block(index, block), done + 1
+    index, done = build_index(docs, key, text), 0
     for block in blocks:
         index, done = _search_block(index, block), done + 1
         if done % BLOCKS_PER_CHECKPOINT == 0:

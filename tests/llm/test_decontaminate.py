@@ -84,3 +84,14 @@ def test_proximity(spark):
     index = dc.build_index(docs)
     got = {(r.doc_id, r.phrase, r.position) for r in dc.proximity_matches(index, {"pets": ["Cat", "dog"], "none": []}, 3).collect()}
     assert got == {(2, "pets", 0)} or got == {(2, "pets", 1)}
+
+
+def test_lookups_in_small_steps(spark, monkeypatch):
+    """Windows are looked up a few positions at a time with the same result."""
+    monkeypatch.setattr(dc, "CANDIDATES", 3)
+    docs = spark.createDataFrame([d[:2] for d in DOCS[:-1]], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = brute([d[:2] for d in DOCS[:-1]], [("" if k is None else k, t) for k, t in ITEMS])
+    got = [(r.doc_id, r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in dc.judge(docs, items, width=2).collect()]
+    short = brute([d[:2] for d in DOCS[:-1]], [("" if k is None else k, t) for k, t in ITEMS], 2)
+    assert sorted(got, key=str) == sorted(((k, n, h, i, c) for k, n, h, i, _, c in short), key=str) and want != short
