@@ -101,8 +101,11 @@ def test_query_equals_plain_curve_and_prunes(spark, sf_dir):
 def test_strings_with_a_common_start_are_told_apart(spark):
     rows = [(k, f"common_crawl_2019_{k % 40:02d}") for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = hilbert.shard_rows(df, ["source"], ["doc_id"], 16).groupBy("shard").agg(F.countDistinct("source").alias("n"), F.max("source").alias("z"), F.min("source").alias("a")).orderBy("shard").collect()
-    assert max(r.n for r in got) <= 5 and all(p.z <= q.a or p.z == q.a for p, q in zip(got, got[1:], strict=False))
+    got = hilbert.shard_rows(df, ["source"], ["doc_id"], 16)
+    # Forty sources in sixteen cells of two or three each; a shard reaches into two cells, three at most.
+    cells = got.groupBy("curve").agg(F.min("source").alias("a"), F.max("source").alias("z"), F.countDistinct("source").alias("n")).orderBy("curve").collect()
+    assert len(cells) == 16 and max(r.n for r in cells) <= 3 and all(p.z < q.a for p, q in zip(cells, cells[1:], strict=False))
+    assert got.groupBy("shard").agg(F.countDistinct("source").alias("n")).agg(F.max("n")).first()[0] <= 9
 
 
 def test_written_shards_read_back(spark, tmp_path):
@@ -211,7 +214,7 @@ def test_host_trust_equals_plain_propagation(spark, monkeypatch, domains, part_e
     monkeypatch.setattr(url_graph, "PART_EDGES", part_edges)
     rows = PAGES + MORE
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("verdict", F.lit("?"))
-    tolerance = 1e-7 if part_edges > 7 else 1e-2
+    tolerance = 1e-5 if part_edges > 7 else 1e-2
     got = url_graph.judge_pages(pages, RULES, domains=domains, tolerance=tolerance).collect()
     assert len(got) == len(rows)
     by_key = {(r.page_id, r.host, r.path): r for r in got}
