@@ -369,7 +369,8 @@ def rings(boundary: DataFrame, zone: str) -> DataFrame:
     negative for holes. Each edge points to the next one; where rings touch, to the first edge clockwise
     from where it came. Pointers are then doubled: after round k an edge knows the least edge among the next
     2^k and its distance, so a ring takes rounds with the logarithm of its length, each one join written to the
-    checkpoint folder. Lines that do not close are rows with `closed` false, from their first edge on.
+    checkpoint folder. Lines that do not close are rows with `closed` false and
+    the starts of their edges in order.
     """
     named = cut_lineage(boundary.withColumn("_e", F.monotonically_increasing_id()))
     leaving = named.select(zone, F.col("_e").alias("_n"), F.col("x1").alias("_vx"), F.col("y1").alias("_vy"), F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("_go"))
