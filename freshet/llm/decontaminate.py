@@ -34,6 +34,8 @@ from freshet.session import cut_lineage
 WIDTH = 13
 #: Bytes of item texts searched at once, and blocks between two checkpoints.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text in an index shard, one document at least.
+SHARD_BYTES = 2 << 20
 #: Positions that are looked up at once.
 CANDIDATES = 1 << 20
 BLOCKS_PER_CHECKPOINT = 8
@@ -127,7 +129,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SHARD_BYTES):
                 yield shard(part)
 
     kind = slim.schema["_key"].dataType.simpleString()
