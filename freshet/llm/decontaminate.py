@@ -25,6 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,13 @@ from freshet.llm.arrow_text import slices, word_table
 from freshet.session import cut_lineage
 
 WIDTH = 13
-#: Bytes of item texts searched at once, and blocks between two checkpoints.
+#: Bytes of item texts in a block, and blocks that one pass over the index searches.
 BLOCK_BYTES = 4 << 20
+BLOCKS_AT_ONCE = 4
 #: Bytes of text in an index shard, one document at least.
 SHARD_BYTES = 2 << 20
 #: Positions that are looked up at once.
 CANDIDATES = 1 << 20
-BLOCKS_PER_CHECKPOINT = 8
 #: Bytes that valid UTF-8 never has; stands between two documents.
 BREAK = b"\xff"
 
@@ -74,7 +75,7 @@ class Block:
         for window in self.windows:
             by_length.setdefault(len(window), []).append(window)
         return terms, [
-            (np.array([[number[w] for w in window] for window in same], np.int64), [sorted(self.windows[window]) for window in same])
+            (np.array([[number[w] for w in window] for window in same], np.int32), [sorted(self.windows[window]) for window in same])
             for same in by_length.values()
         ]
 
@@ -223,47 +224,55 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.ListScalar]]:
         yield {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
 
 
-def _search_block(index: DataFrame, block: Block) -> DataFrame:
-    """The index with the hits of one block of items added."""
-    shared = index.sparkSession.sparkContext.broadcast(block.arrays())
-
+Hits = tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]
+
+
+def _hits(row: dict[str, pa.ListScalar], shared: list[Broadcast]) -> Hits:
+    """Starts and ends of the hit runs of a shard and its (document, item) pairs: those it has and those of the blocks."""
+    starts, ends = row["hit_starts"].values.to_numpy(), row["hit_ends"].values.to_numpy()
+    pairs = list(zip(row["item_docs"].values.to_pylist(), row["item_ids"].values.to_pylist(), strict=True))
+    if not shared:
+        return starts, ends, pairs
+    shard, found_pairs = Shard(row), set(pairs)
+    edge = np.zeros(shard.total + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    for block in shared:
+        terms, groups = block.value
+        ranks = shard.ranks(terms)
+        for windows, names in groups:
+            for at, found in shard.occurrences(ranks[windows]):
+                np.add.at(edge, found, 1)
+                np.add.at(edge, found + windows.shape[1], -1)
+                each = np.unique(np.stack([shard.home(found), at]), axis=1)
+                found_pairs.update((d, name) for d, k in each.T.tolist() for name in names[k])
+    covered = np.diff(np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]]).astype(np.int8))
+    return np.flatnonzero(covered == 1).astype(np.int32), np.flatnonzero(covered == -1).astype(np.int32), sorted(found_pairs)
+
+
+def _search(index: DataFrame, shared: list[Broadcast]) -> DataFrame:
+    """The index with the hits of some blocks of items added."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, groups = shared.value
         for batch in batches:
-            hit_starts, hit_ends, item_docs, item_ids = [], [], [], []
-            for row in _rows(batch):
-                shard = Shard(row)
-                edge = np.zeros(shard.total + 1, np.int32)
-                np.add.at(edge, row["hit_starts"].values.to_numpy(), 1)
-                np.add.at(edge, row["hit_ends"].values.to_numpy(), -1)
-                pairs = set(zip(row["item_docs"].values.to_pylist(), row["item_ids"].values.to_pylist(), strict=True))
-                ranks = shard.ranks(terms)
-                for windows, names in groups:
-                    for at, found in shard.occurrences(ranks[windows]):
-                        np.add.at(edge, found, 1)
-                        np.add.at(edge, found + windows.shape[1], -1)
-                        each = np.unique(np.stack([shard.home(found), at]), axis=1)
-                        pairs.update((d, name) for d, k in each.T.tolist() for name in names[k])
-                covered = np.diff(np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]]).astype(np.int8))
-                hit_starts.append(np.flatnonzero(covered == 1).astype(np.int32))
-                hit_ends.append(np.flatnonzero(covered == -1).astype(np.int32))
-                ordered = sorted(pairs)
-                item_docs.append([d for d, _ in ordered])
-                item_ids.append([name for _, name in ordered])
-            kept = batch.schema.names[:-4]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(i) for i in range(len(kept))), _lists(hit_starts, pa.int32()), _lists(hit_ends, pa.int32()),
-                    _lists(item_docs, pa.int32()), pa.array(item_ids, pa.list_(pa.string())),
-                ],
-                batch.schema.names,
-            )
+            for k, row in enumerate(_rows(batch)):
+                starts, ends, pairs = _hits(row, shared)
+                kept = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *kept.columns[:-4], _lists([starts], pa.int32()), _lists([ends], pa.int32()),
+                        _lists([[d for d, _ in pairs]], pa.int32()), pa.array([[name for _, name in pairs]], pa.list_(pa.string())),
+                    ],
+                    batch.schema.names,
+                )
 
     return index.mapInArrow(run, index.schema)
 
 
-def _documents(index: DataFrame, key: str) -> DataFrame:
-    """Shards back to one row per document; hits are word ranges within the document."""
+def _documents(index: DataFrame, key: str, shared: list[Broadcast]) -> DataFrame:
+    """Shards back to one row per document, the last blocks searched on the way, so postings are read and not passed on.
+
+    Hits are word ranges within the document.
+    """
     kind = index.schema["keys"].dataType.elementType.simpleString()
     schema = f"`{key}` {kind}, n_words long, n_hit long, hits array<struct<start:int,stop:int>>, items array<string>"
 
@@ -271,13 +280,13 @@ def _documents(index: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 starts, n_words = row["starts"].values.to_numpy(), row["n_words"].values.to_numpy()
-                hit, stop = row["hit_starts"].values.to_numpy(), row["hit_ends"].values.to_numpy()
+                hit, stop, pairs = _hits(row, shared)
                 home = np.searchsorted(starts, hit, "right") - 1
                 spans: list[list[dict[str, int]]] = [[] for _ in starts]
                 items: list[list[str]] = [[] for _ in starts]
                 for d, a, b in zip(home.tolist(), hit.tolist(), stop.tolist(), strict=True):
                     spans[d].append({"start": a - int(starts[d]), "stop": b - int(starts[d])})
-                for d, name in zip(row["item_docs"].values.to_pylist(), row["item_ids"].values.to_pylist(), strict=True):
+                for d, name in pairs:
                     items[d].append(name)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -297,13 +306,14 @@ def phrase_matches(
     item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: key, n_words, n_hit, hits (word ranges), items (ids with occurring windows)."""
-    blocks = item_blocks(items, item_key, item_text, width, block_bytes)
-    index, done = build_index(docs, key, text), 0
-    for block in blocks:
-        index, done = _search_block(index, block), done + 1
-        if done % BLOCKS_PER_CHECKPOINT == 0:
-            index = cut_lineage(index)
-    return _documents(index, key)
+    index = build_index(docs, key, text)
+    context = index.sparkSession.sparkContext
+    shared: list[Broadcast] = []
+    for block in item_blocks(items, item_key, item_text, width, block_bytes):
+        if len(shared) == BLOCKS_AT_ONCE:
+            index, shared = cut_lineage(_search(index, shared)), []
+        shared.append(context.broadcast(block.arrays()))
+    return _documents(index, key, shared)
 
 
 def proximity_matches(index: DataFrame, phrases: dict[str, list[str]], reach: int, key: str = "doc_id") -> DataFrame:
