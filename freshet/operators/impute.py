@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from freshet.operators import splines
+
 
 def _so_far(keys: list[str], order: Column) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -42,101 +42,11 @@ def interpolate_linear(
     return known.select(*[filled(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def _not_a_knot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slopes of the cubic through the points whose third derivative is continuous at
-    the second and the second-last point; the system is tridiagonal."""
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    n = len(x)
-    lower, main, upper, right = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    main[0], upper[0] = h[1], h[0] + h[1]
-    right[0] = ((h[0] + 2 * upper[0]) * h[1] * d[0] + h[0] ** 2 * d[1]) / upper[0]
-    lower[1:-1], main[1:-1], upper[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
-    right[1:-1] = 3 * (h[1:] * d[:-1] + h[:-1] * d[1:])
-    main[-1], lower[-1] = h[-2], h[-1] + h[-2]
-    right[-1] = (h[-1] ** 2 * d[-2] + (2 * lower[-1] + h[-1]) * h[-2] * d[-1]) / lower[-1]
-    for i in range(1, n):
-        factor = lower[i] / main[i - 1]
-        main[i] -= factor * upper[i - 1]
-        right[i] -= factor * right[i - 1]
-    slopes = np.empty(n)
-    slopes[-1] = right[-1] / main[-1]
-    for i in range(n - 2, -1, -1):
-        slopes[i] = (right[i] - upper[i] * slopes[i + 1]) / main[i]
-    return slopes
-
-
-def cubic_through(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline through the known points; needs four of them, else NaN."""
-    if len(x) < 4:
-        return np.full(len(at), np.nan)
-    slopes = _not_a_knot(x, y)
-    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
-    h = x[i + 1] - x[i]
-    t = (at - x[i]) / h
-    a, b = y[i], y[i + 1]
-    return (
-        (1 + 2 * t) * (1 - t) ** 2 * a + t * (1 - t) ** 2 * h * slopes[i]
-        + t**2 * (3 - 2 * t) * b + t**2 * (t - 1) * h * slopes[i + 1]
-    )
-
-
-def _quadratic_basis(knots: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Values at `at` of the quadratic B-splines over the knots, one column each."""
-    last = np.flatnonzero(knots < knots[-1])[-1]
-    cell = np.clip(np.searchsorted(knots, at, side="right") - 1, 2, last)
-    values = np.zeros((len(at), len(knots) - 1))
-    values[np.arange(len(at)), cell] = 1.0
-    for degree in (1, 2):
-        n = len(knots) - 1 - degree
-        rise, fall = knots[degree:degree + n] - knots[:n], knots[degree + 1:degree + 1 + n] - knots[1:n + 1]
-        up = np.divide(at[:, None] - knots[:n], rise, out=np.zeros((len(at), n)), where=rise > 0)
-        down = np.divide(knots[degree + 1:degree + 1 + n] - at[:, None], fall, out=np.zeros((len(at), n)), where=fall > 0)
-        values = up * values[:, :n] + down * values[:, 1:n + 1]
-    return values
-
-
-def quadratic_through(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Spline of order two through the known points, knots midway between them; needs three points, else NaN.
-
-    The first and the last gap between points belong to the piece beside them, so there are
-    as many pieces as the points determine.
-    """
-    if len(x) < 3:
-        return np.full(len(at), np.nan)
-    inner = (x[1:-2] + x[2:-1]) / 2
-    knots = np.concatenate([np.repeat(x[0], 3), inner, np.repeat(x[-1], 3)])
-    return _quadratic_basis(knots, at) @ np.linalg.solve(_quadratic_basis(knots, x), y)
-
-
 def interpolate_spline(
     df: DataFrame, keys: list[str], columns: list[str], time: str = "time", backfill: bool = False, order: int = 3
 ) -> DataFrame:
-    """Spline interpolation of order 3 or 2 per series; leading nulls stay unless `backfill`.
-
-    A spline couples all points of a series, so each series is one group; a daily series
-    is bounded by the calendar. Series are independent and run in parallel.
-    """
-    names, through = df.columns, {2: quadratic_through, 3: cubic_through}[order]
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        day = pd.to_datetime(pdf[time]).to_numpy().astype("datetime64[D]").astype("int64").astype(float)
-        for c in columns:
-            values = pdf[c].to_numpy(dtype=float)
-            known = ~np.isnan(values)
-            if not known.any() or known.all():
-                continue
-            missing = ~known
-            if not backfill:
-                missing &= day > day[known][0]
-            filled = values.copy()
-            inner = missing & (day > day[known][0])
-            filled[inner] = through(day[known], values[known], day[inner])
-            filled[missing & ~inner] = values[known][0]
-            pdf[c] = filled
-        return pdf[names]
-
-    return df.groupBy(*keys).applyInPandas(fill, df.schema)
+    """Spline interpolation of order 3 or 2 per series; leading nulls stay unless `backfill`."""
+    return splines.fill(df, keys, columns, time, backfill, order)
 
 
 def interpolate_quadratic(

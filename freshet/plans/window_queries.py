@@ -285,9 +285,79 @@ def interpolate_backfill(spark, d):
     return impute.interpolate_linear(V.v_daily_gap(spark, d), KEYS, ["dis"], backfill=True)
 
 
-@query("interpolate_spline")
+def _spline_sql(equations: str, value: str, least: int, head: str = "") -> str:
+    """Tridiagonal equations solved by one recursion forwards and one backwards, then `value` in the gaps."""
+    same = "{0}.district = {1}.district AND {0}.station = {1}.station".format
+    return f"""
+WITH RECURSIVE_ pts AS MATERIALIZED (SELECT district, station, CAST(DATE_DIFF('day', DATE '1970-01-01', time) AS DOUBLE) AS x, dis AS y,
+    ROW_NUMBER() OVER (PARTITION BY district, station ORDER BY time) AS k, COUNT(*) OVER (PARTITION BY district, station) AS n
+  FROM v_daily_gap WHERE dis IS NOT NULL),
+gap AS MATERIALIZED (SELECT *, LEAD(x) OVER w - x AS h, (LEAD(y) OVER w - y) / (LEAD(x) OVER w - x) AS d FROM pts
+  WHERE n >= {least} WINDOW w AS (PARTITION BY district, station ORDER BY k)),
+{equations},
+fwd AS (
+  SELECT district, station, k, n, upper_ / main_ AS c, right_ / main_ AS e FROM eq WHERE k = 1
+  UNION ALL
+  SELECT q.district, q.station, q.k, q.n, q.upper_ / (q.main_ - q.lower_ * f.c), (q.right_ - q.lower_ * f.e) / (q.main_ - q.lower_ * f.c)
+  FROM fwd f JOIN eq q ON {same("q", "f")} AND q.k = f.k + 1),
+met AS MATERIALIZED (SELECT * FROM fwd),
+bwd AS (
+  SELECT district, station, k, e AS s FROM met WHERE k = n
+  UNION ALL
+  SELECT f.district, f.station, f.k, f.e - f.c * b.s FROM bwd b JOIN met f ON {same("f", "b")} AND f.k = b.k - 1),
+sol AS MATERIALIZED (SELECT * FROM bwd),
+g AS (SELECT district, station, time, dis, CAST(DATE_DIFF('day', DATE '1970-01-01', time) AS DOUBLE) AS x,
+    COUNT(dis) OVER (PARTITION BY district, station ORDER BY time) AS k FROM v_daily_gap),
+{value}"""
+
+
+_CUBIC = _spline_sql("""
+side AS (SELECT *, LAG(h) OVER w AS hb, LAG(d) OVER w AS db, LEAD(h) OVER w AS ha, LEAD(d) OVER w AS da, LAG(h, 2) OVER w AS hbb, LAG(d, 2) OVER w AS dbb
+  FROM gap WINDOW w AS (PARTITION BY district, station ORDER BY k)),
+eq AS MATERIALIZED (SELECT district, station, k, n,
+    CASE WHEN k = 1 THEN 0 WHEN k = n THEN hb + hbb ELSE h END AS lower_,
+    CASE WHEN k = 1 THEN ha WHEN k = n THEN hbb ELSE 2 * (hb + h) END AS main_,
+    CASE WHEN k = 1 THEN h + ha WHEN k = n THEN 0 ELSE hb END AS upper_,
+    CASE WHEN k = 1 THEN ((h + 2 * (h + ha)) * ha * d + h * h * da) / (h + ha)
+         WHEN k = n THEN ((hb + 2 * (hb + hbb)) * hbb * db + hb * hb * dbb) / (hb + hbb)
+         ELSE 3 * (h * db + hb * d) END AS right_ FROM side)""", """
+piece AS (SELECT p.district, p.station, p.k, p.n, p.x, p.y, p.h, p.d, a.s, b.s AS s2
+  FROM gap p JOIN sol a ON a.district = p.district AND a.station = p.station AND a.k = p.k
+  JOIN sol b ON b.district = p.district AND b.station = p.station AND b.k = p.k + 1)
+SELECT g.district, g.station, g.time, ROUND(COALESCE(g.dis, p.y + (g.x - p.x) * (p.s + (g.x - p.x) * (
+    (3 * p.d - 2 * p.s - p.s2) / p.h + (g.x - p.x) * (p.s + p.s2 - 2 * p.d) / (p.h * p.h)))), 3) AS dis
+FROM g LEFT JOIN (SELECT *, CASE WHEN k = n - 1 THEN n ELSE k END AS to_k FROM piece) p
+  ON p.district = g.district AND p.station = g.station AND g.k BETWEEN p.k AND p.to_k""", 4)
+
+_ORDER_TWO = _spline_sql("""
+cut AS MATERIALIZED (SELECT district, station, k, n, CASE WHEN k = 1 THEN x WHEN k = n - 1 THEN x + h ELSE x + h / 2 END AS u FROM gap WHERE k < n),
+span AS MATERIALIZED (SELECT *, u AS lo, LEAD(u) OVER w AS hi, COALESCE(LAG(u) OVER w, u) AS pre, COALESCE(LEAD(u, 2) OVER w, LEAD(u) OVER w) AS post
+  FROM cut WINDOW w AS (PARTITION BY district, station ORDER BY k)),
+met_at AS (SELECT p.district, p.station, p.k, p.n, p.y, (s.hi - p.x) ** 2 / ((s.hi - s.lo) * (s.hi - s.pre)) AS a,
+    (p.x - s.lo) ** 2 / ((s.hi - s.lo) * (s.post - s.lo)) AS b
+  FROM gap p LEFT JOIN span s ON s.district = p.district AND s.station = p.station AND s.k = p.k - 1 AND p.k < p.n),
+eq AS MATERIALIZED (SELECT district, station, k, n, COALESCE(a, 0) AS lower_, COALESCE(1 - a - b, 1) AS main_, COALESCE(b, 0) AS upper_, y AS right_ FROM met_at)""", """
+piece AS (SELECT s.*, a.s AS c1, b.s AS c2, c.s AS c3 FROM span s
+  JOIN sol a ON a.district = s.district AND a.station = s.station AND a.k = s.k
+  JOIN sol b ON b.district = s.district AND b.station = s.station AND b.k = s.k + 1
+  JOIN sol c ON c.district = s.district AND c.station = s.station AND c.k = s.k + 2 WHERE s.hi IS NOT NULL),
+f AS (SELECT district, station, y FROM pts WHERE k = 1)
+SELECT g.district, g.station, g.time, ROUND(COALESCE(g.dis, CASE WHEN g.k = 0 THEN f.y END,
+    p.c1 * (p.hi - g.x) ** 2 / ((p.hi - p.lo) * (p.hi - p.pre)) + p.c3 * (g.x - p.lo) ** 2 / ((p.hi - p.lo) * (p.post - p.lo))
+    + p.c2 * (1 - (p.hi - g.x) ** 2 / ((p.hi - p.lo) * (p.hi - p.pre)) - (g.x - p.lo) ** 2 / ((p.hi - p.lo) * (p.post - p.lo)))), 3) AS dis
+FROM g LEFT JOIN f ON f.district = g.district AND f.station = g.station
+LEFT JOIN piece p ON p.district = g.district AND p.station = g.station AND g.x >= p.lo AND (g.x < p.hi OR p.k = p.n - 2)""", 3)
+
+
+@query("interpolate_spline", "v_daily_gap", _CUBIC)
 def interpolate_spline(spark, d):
-    return impute.interpolate_spline(V.v_daily_gap(spark, d), KEYS, ["dis"])
+    return impute.interpolate_spline(V.v_daily_gap(spark, d), KEYS, ["dis"]).select(*KEYS, "time", *rounded(["dis"], 3))
+
+
+@query("interpolate_spline_order2", "v_daily_gap", _ORDER_TWO)
+def interpolate_spline_order2(spark, d):
+    filled = impute.interpolate_spline(V.v_daily_gap(spark, d), KEYS, ["dis"], backfill=True, order=2)
+    return filled.select(*KEYS, "time", *rounded(["dis"], 3))
 
 
 @query("interpolate_quadratic", "v_daily_gap", """

@@ -358,29 +358,6 @@ def test_district_boosted_predicts_every_day(spark):
     assert out.count() == 500 and S.daily_scores(out, ["district"]).first()["pod"] > 0.5
 
 
-def test_order_two_spline_against_a_dense_solve():
-    from freshet.operators.impute import quadratic_through
-
-    rng = np.random.default_rng(2)
-    x = np.cumsum(rng.integers(1, 20, 12)).astype(float)
-    parabola = lambda t: 0.3 * t * t - 2 * t + 1
-    at = np.linspace(x[0], x[-1], 301)
-    assert np.allclose(quadratic_through(x, parabola(x), at), parabola(at))
-    y = rng.normal(size=12)
-    # Truncated powers span the same splines: 1, t, t^2 and one square per inner knot.
-    knots = (x[1:-2] + x[2:-1]) / 2
-
-    def powers(t):
-        t = (t - x[0]) / (x[-1] - x[0])
-        k = (knots - x[0]) / (x[-1] - x[0])
-        return np.column_stack([np.ones_like(t), t, t * t, *[np.maximum(t - c, 0) ** 2 for c in k]])
-
-    want = powers(at) @ np.linalg.solve(powers(x), y)
-    assert np.allclose(quadratic_through(x, y, at), want, atol=1e-6)
-    assert np.allclose(quadratic_through(x, y, x), y)
-    assert np.isnan(quadratic_through(x[:2], y[:2], at)).all()
-
-
 def test_best_by_falls_back_to_hits(spark):
     rows = [("a", 50, None, 3), ("a", 60, None, 7), ("b", 50, 0.1, 9), ("b", 60, 0.4, 1)]
     df = spark.createDataFrame(rows, "district string, percent int, f1 double, hits int")
