@@ -7,6 +7,27 @@ from pyspark.sql import functions as F
 from freshet.operators import spatial as G
 
 
+def planned(monkeypatch, module):
+    """Collects the plan of every frame that `module` materialises."""
+    plans = []
+
+    def kept(df, f=module.cut_lineage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df)
+
+    monkeypatch.setattr(module, "cut_lineage", kept)
+    return plans
+
+
+@pytest.fixture
+def all_look_small(spark):
+    """Every side of a join is taken for small, as those of well compressed tables are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2**62))
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def edges_of(name, points):
     return [(name, *a, *b) for a, b in zip(points, points[1:] + points[:1])]
 
@@ -119,6 +140,21 @@ def test_polygon_intersects(spark, tile):
     assert got == {"cross", "within", "around"}
 
 
+def test_no_polygons_are_sent_through_the_driver(spark, monkeypatch, all_look_small):
+    """Only a tree of few edges goes to every task; with more of them no side of any join does."""
+    schema = "{} string, x1 double, y1 double, x2 double, y2 double"
+    basins = spark.createDataFrame([e for k in range(30) for e in shifted(f"b{k}", k % 6 * 0.5, k // 6 * 0.5, 0.5)], schema.format("basin"))
+    zone = spark.createDataFrame(shifted("z", 0.6, 0.6, 0.7), schema.format("zone"))
+    want = {f"b{6 * y + x}" for x in (1, 2) for y in (1, 2)}
+    plans = planned(monkeypatch, G)
+    for most in (100_000, 0):
+        monkeypatch.setattr(G, "SENT_EDGES", most, raising=False)
+        out = G.polygon_intersects(basins, "basin", zone, "zone")
+        assert {r.basin for r in out.collect()} == want
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_upstream_closure_handles_cycles_and_limits(spark):
     rows = [(1, 0, 10), (2, 1, 10), (3, 2, 99), (4, 3, 10), (5, 1, 10), (6, 7, 10), (7, 6, 10), (8, 8, 10)]
     basins = spark.createDataFrame(rows, "hybas_id long, next_down long, up_area int")
