@@ -163,6 +163,19 @@ def test_upstream_closure_handles_cycles_and_limits(spark):
     assert out == {("a", 1), ("a", 2), ("a", 5), ("b", 6), ("b", 7), ("c", 8)}
 
 
+def test_no_network_is_sent_through_the_driver(spark, monkeypatch, all_look_small):
+    basins = spark.createDataFrame([(k, k // 2, 10, int(k == 5)) for k in range(1, 9)], "hybas_id long, next_down long, up_area int, lake int")
+    edges = spark.createDataFrame([(k, *e[1:]) for k in range(1, 9) for e in shifted("", float(k - 1), 0.0)], "hybas_id long, x1 double, y1 double, x2 double, y2 double")
+    zone = spark.createDataFrame(shifted("z", 1.2, 0.2, 0.3), "zone string, x1 double, y1 double, x2 double, y2 double")
+    plans = planned(monkeypatch, G)
+    members = G.upstream_closure(basins, spark.createDataFrame([("z", 2)], "zone string, hybas_id long"))
+    assert {r.hybas_id for r in members.collect()} == {2, 4, 5, 8} and len(plans) > 3
+    monkeypatch.setattr(G, "SENT_EDGES", 0, raising=False)
+    out = G.catchments(basins, edges, zone)
+    assert len(out.collect()) == 12
+    assert not any("Broadcast" in p for p in [*plans, out._jdf.queryExecution().executedPlan().toString()])
+
+
 def test_dissolve_keeps_the_outer_boundary(spark):
     a = edges_of("a", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])
     b = edges_of("b", [(1.0, 0.0), (2.0, 0.0), (2.0, 1.0), (1.0, 1.0)])
