@@ -362,3 +362,17 @@ def test_best_by_falls_back_to_hits(spark):
     rows = [("a", 50, None, 3), ("a", 60, None, 7), ("b", 50, 0.1, 9), ("b", 60, 0.4, 1)]
     df = spark.createDataFrame(rows, "district string, percent int, f1 double, hits int")
     assert {r.district: r.percent for r in SW.best_by(df, ["district"], "f1", ["percent"]).collect()} == {"a": 60, "b": 60}
+
+
+@pytest.mark.parametrize("view", ["v_series", "v_nation_series", "v_impact", "v_rain"])
+def test_lines_are_not_sent_through_the_driver(spark, sf_dir, view):
+    """On tables that look small, lineitem stays where it is; the districts are hashed."""
+    from freshet.plans import views
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2**31))
+    try:
+        plan = getattr(views, view)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin [l_suppkey#" in plan and "BroadcastHashJoin [l_suppkey#" not in plan
