@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from freshet.session import cut_lineage
+from freshet.session import cut_lineage, shuffled
 
 ACCURACY = 100_000
 # Sketch errors, and rows, that a bracket spans at least on either side; the pass after it proves the bracket holds.
 SLACK = 4
 # Distinct values of one quantile that a task puts in order, and bins of a narrowing pass.
 MOST_CELLS, BINS = 100_000, 4096
+# Brackets, some 5 MB, up to which they are sent to every task; parts that the values of a group are dealt to beyond that.
+SENT_BRACKETS, PARTS = 100_000, 64
 
 
 def _brackets(flat: DataFrame, by: list[str], qs: list[float], accuracy: int) -> DataFrame:
@@ -104,15 +106,24 @@ def exact_quantiles(
     All passes combine before their shuffle, so a hot group costs no more than others, and at
     most `most_cells` values of a quantile are ordered in one task.
     `few_groups` states that the number of groups is fixed by the caller (columns, say),
-    and lets the brackets be broadcast; else Spark decides by their size.
+    and lets the brackets be broadcast; else they are counted. Few go to the values, where these are;
+    of many each is copied to PARTS parts of its group, so no task sorts the values of a whole group.
     """
     by = list(keys) or ["_all"]
     flat = df.where(F.col(value).isNotNull()).select(
         *keys, *([] if keys else [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v")
     )
     brackets = _brackets(flat, by, qs, accuracy)
+    if not few_groups:
+        brackets = cut_lineage(brackets)
+        few_groups = brackets.count() * len(qs) <= SENT_BRACKETS
+    if few_groups:
+        met = flat.join(F.broadcast(brackets), by)
+    else:
+        parts = brackets.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        met = flat.withColumn("_part", F.pmod(F.xxhash64("_v"), F.lit(PARTS)).cast("int")).join(shuffled(parts), [*by, "_part"])
     placed = (
-        flat.join(F.broadcast(brackets) if few_groups else brackets, by)
+        met
         .select(*by, "_v", F.explode("_b").alias("_b"))
         .select(*by, "_b.*", "_v")
         .where(F.col("_v") <= F.col("_hi"))

@@ -262,3 +262,25 @@ def test_spectrum_finds_a_sine(spark):
     df = spark.createDataFrame(rows, "s string, time date, x double")
     out = {r.cycles: r.amplitude for r in wavelet.spectrum(df, ["s"], "x", [1, 2, 3, 4]).collect()}
     assert out[3] == pytest.approx(1.0, abs=0.01) and max(out[1], out[2], out[4]) < 0.02
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_values_of_a_hot_group_are_not_gathered(spark, monkeypatch, sent):
+    """Few brackets go to the values; of many each goes to parts of its group."""
+    from freshet.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SENT_BRACKETS", sent, raising=False)
+    plans = []
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda df, f=quantiles.cut_lineage: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    df = spark.range(4000).select(F.when(F.col("id") < 3900, "hot").otherwise("b").alias("k"), (F.col("id") % 3900 * 7 % 3900).cast("double").alias("x"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table too large to be broadcast
+    try:
+        got = {(r.k, r.q): r.value for r in quantiles.exact_quantiles(df, ["k"], "x", [0.1, 0.5]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    values = df.toPandas()
+    for k, g in values.groupby("k"):
+        assert [got[k, q] for q in (0.1, 0.5)] == pytest.approx(g.x.quantile([0.1, 0.5]).tolist(), rel=1e-12)
+    met = next(p for p in plans if "Generate explode(_b" in p)
+    assert ("BroadcastHashJoin" in met and "SortMergeJoin" not in met) if sent else "SortMergeJoin [k#" in met and ", _part#" in met
