@@ -2,12 +2,15 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.functions.expressions import skill_scores
+from __spark_entry__ import oracle_sql, queries
+from check import normalise
+from freshet.functions.expressions import correlation, skill_scores
 from freshet.operators import blocks as B, compare as C, learn as L, scores as S, sweep as SW
 
 START = dt.date(2000, 1, 1)
@@ -376,3 +379,58 @@ def test_lines_are_not_sent_through_the_driver(spark, sf_dir, view):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "ShuffledHashJoin [l_suppkey#" in plan and "BroadcastHashJoin [l_suppkey#" not in plan
+
+
+def test_correlation_of_a_constant_is_nan(spark):
+    """Pairs decide: a constant side or a single pair gives NaN, no pair gives NULL, as in the SQL."""
+    rng = np.random.default_rng(3)
+    x, flood = rng.normal(size=40), (np.arange(40) % 7 == 0).astype(int)
+    groups = {
+        "varied": list(zip(x.tolist(), flood.tolist())),
+        "constant": [(0.1, f) for f in flood.tolist()],
+        "no flood": [(v, 0) for v in x.tolist()],
+        "one": [(2.0, 1)],
+        "one pair": [(2.0, 1), (None, 0), (3.0, None)],
+        "constant pairs": [(50.0, 1), (50.0, 0), (7.0, None)],
+        "tiny": [(1e-200, 1), (2e-200, 0)],
+        "none": [(None, 1), (2.0, None)],
+    }
+    rows = [(g, *pair) for g, pairs in groups.items() for pair in pairs]
+    df = spark.createDataFrame(rows, "g string, x double, flood int").repartition(3)
+    found = {r.g: r.c for r in df.groupBy("g").agg(correlation(F.col("x"), F.col("flood")).alias("c")).collect()}
+    assert found.pop("varied") == pytest.approx(np.corrcoef(x, flood)[0, 1], abs=1e-12)
+    assert found.pop("none") is None
+    assert all(np.isnan(c) for c in found.values()), found
+
+
+def test_coef_rank_of_a_fold_with_constant_rain(spark, tmp_path):
+    """With many lines a day every maximum is 50; the ranks of such folds equal the SQL's."""
+    # A day in the first block of the western district stays below.
+    low, events = 15, range(20, 500, 45)
+    lines = [
+        (s, 49.0 if (s, i) == (2, low) else 50.0, 100.0 + 37 * i % 91, (i * 7 + j) % 10 / 100, (i * 3 + j) % 8 / 100,
+         "AN"[i % 2], pd.Timestamp(START) + pd.Timedelta(days=i))
+        for s in (1, 2) for i in range(500) for j in range(10 if i in events else 1 + i % 3)
+    ]
+    tables = {
+        "region": [(0, "EAST"), (1, "WEST")],
+        "nation": [(0, "E", 0), (1, "W", 1)],
+        "supplier": [(1, 0), (2, 1)],
+        "lineitem": lines,
+    }
+    names = {
+        "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "supplier": "s_suppkey s_nationkey",
+        "lineitem": "l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_shipdate",
+    }
+    con = duckdb.connect()
+    for t, rows in tables.items():
+        frame = pd.DataFrame(rows, columns=names[t].split())
+        if t == "lineitem":
+            frame["l_shipdate"] = frame["l_shipdate"].astype("datetime64[us]")
+        frame.to_parquet(tmp_path / f"{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    out = queries()["coef_rank"](spark, str(tmp_path)).toPandas()
+    assert normalise(out).equals(normalise(con.execute(oracle_sql()["coef_rank"]).df()))
+    ranks = out.set_index(["district", "var"])
+    assert len(out) == 8 and (ranks.loc[("EAST", "rain_max"), [f"rank_{k}" for k in range(1, 6)]] == 1).all()
+    assert ranks.loc[("WEST", "rain_max"), "rank_1"] > 1 and ranks.loc[("WEST", "rain_max"), "rank_2"] == 1
